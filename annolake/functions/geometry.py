@@ -8,6 +8,40 @@ from pyspark.sql import functions as F
 FRAME_TOLERANCE = 1.5
 
 
+def decimal_units(value: Column, digits: int) -> Column:
+    """|value| in units of 10^-digits, rounded to the nearest, exact ties to even.
+
+    Java rounds the shortest decimal form half up, which differs on exact binary ties. Here
+    the value is split in halves whose products with 10^digits are exact, so the comparison
+    with one half is exact too.
+    """
+    v = F.abs(value.cast("double"))
+    scaled = v * F.lit(134217729.0)
+    high = scaled - (scaled - v)
+    a, b = high * F.lit(10.0**digits), (v - high) * F.lit(10.0**digits)
+    whole = F.floor(a)
+    carry = F.floor((a - whole) + b)
+    units = whole + carry
+    side = ((a - whole) - carry - 0.5) + b
+    up = (side > 0) | ((side == 0) & (units % 2 == 1))
+    return units + up.cast("long")
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """The double nearest to the value rounded to ``digits`` decimals, exact ties to even."""
+    rounded = decimal_units(value, digits) / F.lit(10.0**digits)
+    return F.when(value < 0, -rounded).otherwise(rounded)
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    """Fixed-point text with ``digits`` decimals, exact ties to even."""
+    units, base = decimal_units(value, digits), F.lit(10**digits)
+    return F.concat(
+        F.when(value < 0, "-").otherwise(""), F.floor(units / base).cast("string"), F.lit("."),
+        F.lpad((units % base).cast("string"), digits, "0"),
+    )
+
+
 def xywh(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
@@ -40,7 +74,7 @@ def to_xyxy(box: Column) -> Column:
 
 def box_array(box: Column) -> Column:
     """Box struct as the four-number array of the exchange format, 4 decimals."""
-    return F.array(*[F.round(box[k].cast("double"), 4) for k in ("x", "y", "w", "h")])
+    return F.array(*[round_half_even(box[k], 4) for k in ("x", "y", "w", "h")])
 
 
 def box_struct(values: Column) -> Column:
@@ -98,7 +132,7 @@ def touches_frame(points, width, height, label_flag, tolerance: float = FRAME_TO
 def box_area(box: Column) -> Column:
     """Non-negative area to 4 decimals."""
     zero = F.lit(0.0)
-    return F.round(F.greatest(zero, box["w"]) * F.greatest(zero, box["h"]), 4)
+    return round_half_even(F.greatest(zero, box["w"]) * F.greatest(zero, box["h"]), 4)
 
 
 def scale_factor(target: Column, source: Column) -> Column:
@@ -107,7 +141,7 @@ def scale_factor(target: Column, source: Column) -> Column:
 
 def scale_box(box: Column, sx: Column, sy: Column) -> Column:
     """Box rescaled and rounded to 4 decimals."""
-    r = lambda value: F.round(value, 4)
+    r = lambda value: round_half_even(value, 4)
     return xywh(r(box["x"] * sx), r(box["y"] * sy), r(box["w"] * sx), r(box["h"] * sy))
 
 
@@ -161,20 +195,18 @@ def crop_window(box: Column, context: float = 0.20) -> Column:
 
 def yolo_box_line(class_index, box, width, height) -> Column:
     """Class, centre and size relative to the image, 6 decimals."""
-    return F.format_string(
-        "%d %.6f %.6f %.6f %.6f", class_index.cast("int"),
+    numbers = [
         (box["x"] + box["w"] / 2.0) / width, (box["y"] + box["h"] / 2.0) / height,
         box["w"] / width, box["h"] / height,
-    )
+    ]
+    return F.concat_ws(" ", class_index.cast("int").cast("string"), *[fixed_text(n, 6) for n in numbers])
 
 
 def yolo_polygon_line(class_index, polygon, width, height) -> Column:
     """Class and vertices relative to the image, 6 decimals."""
     numbers = F.transform(
         polygon,
-        lambda v, i: F.format_string(
-            "%.6f", (v / F.when(i % 2 == 0, width).otherwise(height)).cast("double")
-        ),
+        lambda v, i: fixed_text(v / F.when(i % 2 == 0, width).otherwise(height), 6),
     )
     return F.concat_ws(" ", class_index.cast("int").cast("string"), F.array_join(numbers, " "))
 
