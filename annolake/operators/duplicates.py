@@ -5,15 +5,19 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.session import stable
+
 HASH_BITS = 64
 HOT_BUCKET = 2_000
 
 
-def gray_grid(pixels: DataFrame, sizes: DataFrame, side: int = 32) -> DataFrame:
-    """Grey values on an evenly spaced grid, one array of side*side per image.
+def gray_cells(pixels: DataFrame, sizes: DataFrame, side: int = 32) -> DataFrame:
+    """Grey values on an evenly spaced grid, one row per grid cell in row order.
 
     ``pixels``: image_id, y, x, b, g, r; ``sizes``: image_id, width, height.
     """
@@ -33,36 +37,37 @@ def gray_grid(pixels: DataFrame, sizes: DataFrame, side: int = 32) -> DataFrame:
                       hits(F.col("_xs"), F.col("x")).alias("_ox"))
         .select("image_id", "v", "oy", F.explode("_ox").alias("ox"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("oy") * side + F.col("ox")).alias("i"), "v")))
-    return cells.groupBy("image_id").agg(F.transform(ordered, lambda e: e["v"].cast("double")).alias("gray"))
+    return cells.select("image_id", (F.col("oy") * side + F.col("ox")).alias("i"), "v")
 
 
-def _basis(u: int, side: int) -> Column:
-    scale = math.sqrt((1.0 if u == 0 else 2.0) / side)
-    return F.array(*[F.lit(scale * math.cos(math.pi * (2 * i + 1) * u / (2 * side))) for i in range(side)])
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def gray_grid(pixels: DataFrame, sizes: DataFrame, side: int = 32) -> DataFrame:
+    """The grid cells of each image as one array of side*side values."""
+    cells = gray_cells(pixels, sizes, side)
+    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return cells.groupBy("image_id").agg(F.transform(ordered, lambda e: e["v"].cast("double")).alias("gray"))
 
 
 def perceptual_hash(gray: Column, side: int = 32) -> Column:
     """64-bit DCT hash of a side*side grey array as a signed long.
 
     Bits are the top-left 8x8 coefficients above the median of the 63 after the first,
-    row by row, most significant first.
+    row by row, most significant first. One Arrow batch is one matrix product.
     """
-    lines = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.slice(gray, y * side + 1, side))
-    across = [F.transform(lines, lambda line, v=v: _dot(line, _basis(v, side))) for v in range(8)]
-    low = F.array(*[_dot(across[v], _basis(u, side)) for u in range(8) for v in range(8)])
-    tail = F.array_sort(F.slice(low, 2, 63))
-    with_median = F.struct(low.alias("low"), F.get(tail, F.lit(31)).alias("median"))
-    bits = F.transform(
-        F.array(with_median), lambda s: F.array_join(
-            F.transform(s["low"], lambda c: F.when(c > s["median"], "1").otherwise("0")), ""
-        )
-    )
-    return F.conv(bits.getItem(0), 2, -10).cast("long")
+    u, i = np.arange(8)[:, None], np.arange(side)[None, :]
+    basis = np.sqrt(np.where(u == 0, 1.0, 2.0) / side) * np.cos(np.pi * (2 * i + 1) * u / (2 * side))
+
+    @F.pandas_udf("long")
+    def hashed(values: pd.Series) -> pd.Series:
+        known = values.notna()
+        result = pd.Series(pd.NA, index=values.index, dtype="Int64")
+        if known.any():
+            grids = np.stack(values[known].to_numpy()).astype(np.float64).reshape(-1, side, side)
+            low = (basis @ grids @ basis.T).reshape(-1, 64)
+            bits = low > np.median(low[:, 1:], axis=1, keepdims=True)
+            result[known] = np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
+        return result
+
+    return hashed(gray)
 
 
 def resolve_hash(df: DataFrame, precomputed: DataFrame, cache: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None
     """
     if not 0 <= threshold < HASH_BITS:
         raise ValueError("threshold must be between 0 and 63")
-    values = hashes.select("phash").where(F.col("phash").isNotNull()).distinct()
+    values = stable(hashes.select("phash").where(F.col("phash").isNotNull()).distinct())
     if threshold == 0:
         empty = values.limit(0)
         return empty.select(
@@ -204,7 +209,7 @@ def duplicate_summary(df: DataFrame, threshold: int = 4, cross_key: str = "split
     """
     rows = df.where(F.col("phash").isNotNull())
     counts = rows.groupBy("phash", cross_key).agg(F.count(F.lit(1)).alias("n"))
-    near = near_hash_pairs(rows, threshold)
+    near = stable(near_hash_pairs(rows, threshold))
     total = counts.groupBy("phash").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     exact = total.agg(F.coalesce(F.sum(((F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long")), F.lit(0)))
     side = lambda key, name: total.select(F.col("phash").alias(key), F.col("n").alias(name))

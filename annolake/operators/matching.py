@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +76,7 @@ def greedy_assign(
 ) -> DataFrame:
     """Each left row in ``order`` takes its heaviest free right row of weight >= threshold.
 
-    Groups up to ``group_limit`` pairs are settled by one grouped kernel. Larger ones are
+    Groups up to ``group_limit`` pairs are settled in one sorted pass. Larger ones are
     settled by joins: a pair is final once its left row comes first among all rivals for the
     right row and prefers it over its other options, so every round settles many pairs and
     the result is the same.
@@ -89,14 +88,15 @@ def greedy_assign(
     big = sizes.where(F.col("_n") > group_limit).select(*keys)
     has_big = not big.isEmpty()
     small = prepared.join(big, keys, "left_anti") if has_big else prepared
-    result = _assign_grouped(small, keys, left, right, thresholds)
+    result = _assign_sorted(small, keys, left, right, thresholds)
     if has_big:
         large = prepared.join(big, keys, "left_semi")
         result = result.unionByName(_assign_rounds(large, keys, left, right, thresholds))
     return result
 
 
-def _assign_grouped(pairs: DataFrame, keys: list[str], left: str, right: str, thresholds: Sequence[float]) -> DataFrame:
+def _assign_sorted(pairs: DataFrame, keys: list[str], left: str, right: str, thresholds: Sequence[float]) -> DataFrame:
+    """One pass over rows sorted by key and order. Only the ids already taken are kept."""
     types = {field.name: field.dataType for field in pairs.schema}
     schema = T.StructType(
         [T.StructField(k, types[k]) for k in keys]
@@ -104,31 +104,27 @@ def _assign_grouped(pairs: DataFrame, keys: list[str], left: str, right: str, th
            T.StructField(right, types[right]), T.StructField("weight", T.DoubleType())]
     )
     limits = [float(t) for t in thresholds]
-    # A window would sort too, but the kernel needs the rows as arrays anyway.
-    numbered = pairs.select(*keys, left, right, "_w", *[
-        F.col(f"_order.{name}").alias(f"_o{i}") for i, name in enumerate(types["_order"].names)
-    ])
-    sort_by = [c for c in numbered.columns if c.startswith("_o")]
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*sort_by, left, "_w", right], ascending=[True] * (len(sort_by) + 1) + [False, True])
-        lefts, rights, weights = pdf[left].to_numpy(), pdf[right].to_numpy(), pdf["_w"].to_numpy()
-        found = []
-        for limit in limits:
-            usable = np.flatnonzero(weights >= limit)
-            used_left, used_right = set(), set()
-            for i in usable:
-                if lefts[i] in used_left or rights[i] in used_right:
-                    continue
-                used_left.add(lefts[i])
-                used_right.add(rights[i])
-                found.append((limit, lefts[i], rights[i], weights[i]))
-        out = pd.DataFrame(found, columns=["threshold", left, right, "weight"])
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "threshold", left, right, "weight"]]
-
-    return numbered.groupBy(*keys).applyInPandas(settle, schema)
+    names = [*keys, "threshold", left, right, "weight"]
+    ordered = pairs.repartition(*keys).sortWithinPartitions(
+        *keys, "_order", left, F.col("_w").desc(), right
+    ).select(*keys, left, right, "_w")
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, taken = None, []
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False, name=None):
+                key, (one, two, weight) = row[: len(keys)], row[len(keys) :]
+                if key != group:
+                    group, taken = key, [(set(), set()) for _ in limits]
+                for limit, (lefts, rights) in zip(limits, taken):
+                    if weight >= limit and one not in lefts and two not in rights:
+                        lefts.add(one)
+                        rights.add(two)
+                        found.append((*key, limit, one, two, weight))
+            yield pd.DataFrame(found, columns=names)
+
+    return ordered.mapInPandas(settle, schema)
 
 
 def _assign_rounds(pairs: DataFrame, keys: list[str], left: str, right: str, thresholds: Sequence[float]) -> DataFrame:

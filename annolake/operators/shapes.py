@@ -107,10 +107,9 @@ def normalize_shapes(shapes: DataFrame) -> DataFrame:
     area are dropped; crossing edges are flagged and kept, as no repair solver exists here.
     """
     rows = parsed_shapes(shapes).withColumn("valid", F.col("parsed").isNotNull() & (F.size("polygon") >= 3))
-    rows = dedupe_instance_ids(rows, keep_all=True)
     drawn = rows.where("valid and shape_type = 'polygon'").select("file", "shape_index", "polygon")
     broken = self_intersections(drawn, ["file", "shape_index"]).groupBy("file", "shape_index").agg(F.max("defect").alias("_defect"))
-    rows = rows.join(broken, ["file", "shape_index"], "left")
+    rows = dedupe_instance_ids(rows, keep_all=True).join(broken, ["file", "shape_index"], "left")
     label = F.col("parsed")
     touches = touches_frame(F.col("polygon"), F.col("width"), F.col("height"), label["truncated"])
     primary = label["category"].isin(list(CATEGORY_IDS))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annolake.operators.catalog import union_catalogs
+from annolake.session import stable
+
 # Three hex digits of the ranking hash: 4096 evenly filled, already ordered buckets.
 _BUCKET_DIGITS = 3
 
@@ -87,40 +90,43 @@ def assign_splits(df: DataFrame, policy: dict, seed: int) -> DataFrame:
 
     1. ``bridge``: per dataset, groups owning a bridge row; every row of such a group follows.
     2. ``pooled``: several datasets share one allocation of the rows still without a split.
-    3. ``single``: one allocation per dataset of the rows still without a split.
+    3. ``single``: one allocation per dataset of the rows still without a split; a dataset is
+       in ``pooled`` or in ``single``, not in both.
     4. ``external``: datasets with a constant split, overriding what was set before.
     5. ``folds``: cross-validation folds of one dataset.
     """
     keys = ["dataset_id", "group_id"]
-    result = df.withColumn("split", F.coalesce("split", F.lit("")))
-
-    def apply(table: DataFrame, condition: Column, column: str, on: list[str]) -> DataFrame:
-        return (
-            result.join(table.withColumnRenamed(column, "_new"), on, "left")
-            .withColumn(
-                column, F.when(condition & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(column))
-            )
-            .drop("_new")
+    blank = F.coalesce("split", F.lit("")) == ""
+    # One pass over the rows gives what every step needs to know about a group.
+    groups = stable(
+        df.groupBy(*keys).agg(
+            F.max(F.col("dataset_role") == "bridge").alias("bridge"), F.max(blank).alias("open")
         )
-
-    ratios = policy.get("bridge", {"train": 0.6, "val": 0.2, "test": 0.2})
-    bridge = result.where(F.col("dataset_role") == "bridge")
-    table = allocate_groups(
-        bridge, ratios, F.lit(seed + 1000) + F.length("dataset_id"), by=["dataset_id"]
     )
-    result = apply(table, F.lit(True), "split", keys)
+    bridge = groups.where("bridge")
+    ratios = policy.get("bridge", {"train": 0.6, "val": 0.2, "test": 0.2})
+    tables = [
+        allocate_groups(bridge, ratios, F.lit(seed + 1000) + F.length("dataset_id"), by=["dataset_id"])
+        .select(*keys, F.struct(F.lit(True).alias("override"), "split").alias("chosen"))
+    ]
+
+    def fill(members: DataFrame, ratios: dict[str, float], step_seed: int) -> DataFrame:
+        table = allocate_groups(members, ratios, step_seed)
+        return members.select(*keys).join(table, "group_id").select(
+            *keys, F.struct(F.lit(False).alias("override"), "split").alias("chosen")
+        )
 
+    rest = groups.where("open and not bridge")
     pooled = policy.get("pooled")
     if pooled:
-        open_rows = F.col("dataset_id").isin(pooled["datasets"]) & (F.col("split") == "")
-        table = allocate_groups(result.where(open_rows), pooled["ratios"], seed + 1)
-        result = apply(table, open_rows, "split", ["group_id"])
-
+        tables.append(fill(rest.where(F.col("dataset_id").isin(pooled["datasets"])), pooled["ratios"], seed + 1))
     for dataset_id, ratios in policy.get("single", {}).items():
-        open_rows = (F.col("dataset_id") == dataset_id) & (F.col("split") == "")
-        table = allocate_groups(result.where(open_rows), ratios, seed + len(dataset_id))
-        result = apply(table, open_rows, "split", ["group_id"])
+        tables.append(fill(rest.where(F.col("dataset_id") == dataset_id), ratios, seed + len(dataset_id)))
 
+    # Each step owns other (dataset, group) keys, so the tables never overlap.
+    result = df.join(union_catalogs(tables), keys, "left").withColumn(
+        "split", F.when(F.col("chosen.override") | blank, F.coalesce("chosen.split", F.coalesce("split", F.lit("")))).otherwise(F.col("split"))
+    )
     external = policy.get("external")
     if external:
         result = result.withColumn(
@@ -129,10 +135,11 @@ def assign_splits(df: DataFrame, policy: dict, seed: int) -> DataFrame:
         )
     folds = policy.get("folds")
     if folds:
-        rows = F.col("dataset_id") == folds["dataset"]
-        table = assign_folds(result.where(rows), int(folds["k"]), seed, name="ring_r2_fold")
-        result = result.withColumn("ring_r2_fold", F.coalesce("ring_r2_fold", F.lit("")))
-        result = apply(table, rows, "ring_r2_fold", ["group_id"])
+        members = groups.where(F.col("dataset_id") == folds["dataset"])
+        table = assign_folds(members, int(folds["k"]), seed, name="_fold").withColumn("dataset_id", F.lit(folds["dataset"]))
+        result = result.join(table, keys, "left").withColumn(
+            "ring_r2_fold", F.coalesce("_fold", "ring_r2_fold", F.lit(""))
+        )
     return result.select(*df.columns)
 
 

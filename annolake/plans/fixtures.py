@@ -139,7 +139,8 @@ def with_fixtures(sql: str) -> str:
     visit(sql, re.compile(r"\bfx_\w+"))
     parts = [f"{name} as ({_DEPENDENCY.sub(r'\1', FIXTURES[name])})" for name in ordered]
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join([*parts, body[15:]])
     if body.lower().startswith("with "):
-        parts.append(body[5:])
-        return "with " + ", ".join(parts)
+        return "with " + ", ".join([*parts, body[5:]])
     return ("with " + ", ".join(parts) + " " if parts else "") + body

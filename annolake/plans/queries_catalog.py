@@ -663,7 +663,7 @@ def _(spark, sf):
 @query("combine_bridge_sample", """
     with ri as (select sample_id, 320 as tw, image_height * 2 as th from fx_catalog where has_ring and image_width % 5 <> 0 and image_width % 9 <> 0),
     s as (select i.id, i.sample_id, tw / greatest(1, i.width) as sx, th / greatest(1, i.height) as sy from fx_images i join ri using (sample_id))
-    select a.id, s.sample_id, round(x * sx, 4) as x, round(y * sy, 4) as y, round(w * sx, 4) as w, round(h * sy, 4) as h, round(w * h * sx * sy, 4) as area
+    select a.id, s.sample_id, round_even(x * sx, 4) as x, round_even(y * sy, 4) as y, round_even(w * sx, 4) as w, round_even(h * sy, 4) as h, round(w * h * sx * sy, 4) as area
     from fx_annotations a join s on a.image_id = s.id""")
 def _(spark, sf):
     from annolake.functions.geometry import xywh

@@ -27,12 +27,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later branches see the same rows and partitions.
+    """Write ``df`` to the shared folder and read it back, so that every later branch sees the
+    same rows and a lost executor costs a re-read only.
 
-    The rows go to the shared checkpoint folder, so a lost executor costs a re-read only.
+    A table rather than a checkpoint: later branches read only the columns they need, and the
+    planner knows the size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:

@@ -75,7 +75,7 @@ def relative_to(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), path.substr(F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
 
 
-def read_key_set(spark: SparkSession, path: str, key: str, assets: DataFrame | None = None) -> DataFrame:
+def read_key_set(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Distinct trimmed non-blank values of one CSV column; empty if the file is absent (S3)."""
     try:
         raw = spark.read.csv(path, header=True)
@@ -128,8 +128,8 @@ def read_voc_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_cvat_polylines(spark: SparkSession, paths: str | list[str], label: str = "Ring") -> DataFrame:
-    """Polylines with the given label and at least two points, per image base name."""
+def read_cvat_polylines(spark: SparkSession, paths: str | list[str], label: str = "Ring", min_points: int = 2) -> DataFrame:
+    """Polylines with the given label and enough points, per image base name."""
     raw = (
         spark.read.format("xml").option("rowTag", "image").schema(schema.CVAT_IMAGE).load(paths)
         .select(_path().alias("file"), F.col("_name").alias("name"), F.col("_width").alias("width"),
@@ -140,7 +140,7 @@ def read_cvat_polylines(spark: SparkSession, paths: str | list[str], label: str
     return raw.where(F.col("p._label") == label).select(
         "file", F.element_at(F.split("name", "/"), -1).alias("image_name"), "width", "height", "line_index",
         points.alias("points"),
-    ).where(F.size("points") >= 2)
+    ).where(F.size("points") >= min_points)
 
 
 def _fields(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -240,7 +240,10 @@ def read_prebuilt_manifest(manifest: DataFrame, inventory: DataFrame) -> DataFra
     ).drop("_excluded")
 
 
-def count_nonblank_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines per label file, files without any included as 0 where non-empty."""
-    lines = spark.read.text(paths).select(_path().alias("file"), "value")
+def count_nonblank_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """Non-blank lines per label file (S12). ``glob`` looks through all folders below."""
+    reader = spark.read
+    if glob:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    lines = reader.text(paths).select(_path().alias("file"), "value")
     return lines.groupBy("file").agg(F.count_if(F.trim("value") != "").alias("lines"))

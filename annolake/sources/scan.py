@@ -53,9 +53,12 @@ _SHAPE_DDL = (
 )
 
 
-def tree(spark: SparkSession, workspace: str, root: str) -> DataFrame:
-    """Files below ``root`` as rel (below root), path (below workspace), folder, name, stem, ext."""
-    listing = files.list_assets(spark, root)
+def tree(spark: SparkSession, workspace: str, root: str, assets: DataFrame | None = None) -> DataFrame:
+    """Files below ``root`` as rel (below root), path (below workspace), folder, name, stem, ext.
+
+    ``assets`` (path, size) takes the place of walking the folders, e.g. a store's inventory.
+    """
+    listing = files.list_assets(spark, root) if assets is None else assets.where(F.col("path").startswith(root + "/"))
     rel = files.relative_to(F.col("path"), root)
     name = F.element_at(F.split("rel", "/"), -1)
     return listing.select(rel.alias("rel"), files.relative_to(F.col("path"), workspace).alias("path"), "size").select(
@@ -72,6 +75,11 @@ def _lookup(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return df.select(*(keys or ("stem",)), F.col("path").alias(column))
 
 
+def _pith(names: DataFrame) -> DataFrame:
+    """Image stems of a pith table, its only column, with a flag."""
+    return names.select(F.col(names.columns[0]).alias("stem"), F.lit(True).alias("pith"))
+
+
 def shape_summary(shapes: DataFrame) -> DataFrame:
     """Per file: target and ignored shapes, categories, subtypes and attributes."""
     valid = parsed_shapes(shapes).where(F.col("parsed").isNotNull() & (F.size("polygon") > 0))
@@ -111,16 +119,18 @@ def _with_summary(rows: DataFrame, shapes: DataFrame, workspace: str, annotation
     return rows.join(summary.withColumnRenamed("file", annotation), annotation, "left")
 
 
-def scan_ring_and_defect_polygons(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_ring_and_defect_polygons(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    shapes: DataFrame | None = None, pith: DataFrame | None = None,
+) -> DataFrame:
     """PNG discs with ring and defect polygon files and a pith table."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     images = _at(listing, "images/images", "png")
     rings = _lookup(_at(listing, "ring_annotations/ring_annotations", "json"), "ring_path")
     defects = _lookup(_at(listing, "annotations/defects", "json"), "defect_path")
-    pith = files.read_key_set(spark, f"{root}/pith_location.csv", "Image").select(
-        F.col("Image").alias("stem"), F.lit(True).alias("pith")
-    )
-    shapes = _optional(lambda: files.read_labelme(spark, f"{root}/annotations/defects/*.json"), spark, _SHAPE_DDL)
+    pith = _pith(files.read_key_set(spark, f"{root}/pith_location.csv", "Image") if pith is None else pith)
+    if shapes is None:
+        shapes = _optional(lambda: files.read_labelme(spark, f"{root}/annotations/defects/*.json"), spark, _SHAPE_DDL)
     rows = images.join(rings, "stem", "left").join(defects, "stem", "left").join(pith, "stem", "left")
     rows = _with_summary(rows, shapes, workspace)
     physical = derive_key(F.col("stem"), r"^([A-Za-z]+\d+)")
@@ -136,18 +146,20 @@ def scan_ring_and_defect_polygons(spark: SparkSession, workspace: str, root: str
     )
 
 
-def scan_ring_polygons(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_ring_polygons(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    documents: DataFrame | None = None, pith: DataFrame | None = None,
+) -> DataFrame:
     """JPG discs whose pith is a point shape in the ring file or a row of a table."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     images = _at(listing, "images", "jpg")
     rings = _lookup(_at(listing, "annotations/annual_rings", "json"), "ring_path")
-    pith = files.read_key_set(spark, f"{root}/pith_location.txt", "Code").select(
-        F.col("Code").alias("stem"), F.lit(True).alias("pith")
-    )
-    documents = _optional(
-        lambda: files.read_shape_files(spark, f"{root}/annotations/annual_rings/*.json").select("file", "shapes"),
-        spark, "file string, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>",
-    )
+    pith = _pith(files.read_key_set(spark, f"{root}/pith_location.txt", "Code") if pith is None else pith)
+    if documents is None:
+        documents = _optional(
+            lambda: files.read_shape_files(spark, f"{root}/annotations/annual_rings/*.json").select("file", "shapes"),
+            spark, "file string, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>",
+        )
     points = documents.select(
         files.relative_to(F.col("file"), workspace).alias("ring_path"), has_point_label(F.col("shapes"), "pith").alias("point")
     )
@@ -164,14 +176,15 @@ def scan_ring_polygons(spark: SparkSession, workspace: str, root: str, dataset_i
     )
 
 
-def scan_named_discs(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_named_discs(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    pith: DataFrame | None = None,
+) -> DataFrame:
     """PNG discs named height_batch_number_view; all heights of a tree share its group."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     images = _at(listing, "images", "png")
     rings = _lookup(_at(listing, "annotations/annual_rings", "json"), "ring_path")
-    pith = files.read_key_set(spark, f"{root}/pith_location.txt", "Code").select(
-        F.col("Code").alias("stem"), F.lit(True).alias("pith")
-    )
+    pith = _pith(files.read_key_set(spark, f"{root}/pith_location.txt", "Code") if pith is None else pith)
     rows = images.join(rings, "stem", "left").join(pith, "stem", "left")
     pattern = r"^(T[^_]+)_(B[^_]+)_(N[^_]+)_(.+)$"
     part = lambda i: F.regexp_extract("stem", pattern, i)
@@ -190,9 +203,12 @@ def scan_named_discs(spark: SparkSession, workspace: str, root: str, dataset_id:
     )
 
 
-def scan_cube_faces(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_cube_faces(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    shapes: DataFrame | None = None,
+) -> DataFrame:
     """Cube folders with six faces; defects count only when all six faces have a file."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     face = F.regexp_extract("name", r"^([A-F])_col\.png$", 1)
     flat = F.regexp_extract("rel", r"^([^/]+)/[^/]+$", 1)
     images = listing.withColumn("face", face).withColumn("cube", flat).where((F.col("face") != "") & (F.col("cube") != ""))
@@ -208,7 +224,8 @@ def scan_cube_faces(spark: SparkSession, workspace: str, root: str, dataset_id:
     found = attach_annotation(letters, defects, ["cube"], names)
     whole = complete_sets(found, "cube", "face", 6).select("cube")
     chosen = found.join(whole, "cube", "left_semi").select("cube", "face", F.col("annotation_path").alias("defect_path"))
-    shapes = _optional(lambda: files.read_labelme(spark, f"{root}/*/defects/*.json"), spark, _SHAPE_DDL)
+    if shapes is None:
+        shapes = _optional(lambda: files.read_labelme(spark, f"{root}/*/defects/*.json"), spark, _SHAPE_DDL)
     rows = images.join(rings, ["cube", "face"], "left").join(chosen, ["cube", "face"], "left")
     rows = _with_summary(rows, shapes, workspace)
     has_ring, has_defect = F.col("ring_path").isNotNull(), F.col("defect_path").isNotNull()
@@ -260,9 +277,12 @@ def scan_prebuilt(spark: SparkSession, workspace: str, root: str, dataset_id: st
     )
 
 
-def scan_split_class_folders(spark: SparkSession, workspace: str, root: str, dataset_id: str, taxonomy: DataFrame) -> DataFrame:
+def scan_split_class_folders(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, taxonomy: DataFrame,
+    assets: DataFrame | None = None, lines: DataFrame | None = None,
+) -> DataFrame:
     """split/class/image.jpg folders with a centre-box file next to each image."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     pattern = r"^(?:.*/)?(train|validation|test)/([^/]+)/[^/]+$"
     placed = listing.select(
         "*", F.regexp_extract("rel", pattern, 1).alias("source_split"), F.regexp_extract("rel", pattern, 2).alias("raw_label")
@@ -270,10 +290,9 @@ def scan_split_class_folders(spark: SparkSession, workspace: str, root: str, dat
     key = ["folder", "stem"]
     images = placed.where(F.col("ext") == "jpg").withColumn("dataset_id", F.lit(dataset_id))
     boxes = _lookup(placed.where(F.col("ext") == "txt"), "box_path", *key)
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
-    lines = text.select(files.relative_to(files._path(), workspace).alias("box_path"), "value").groupBy("box_path").agg(
-        F.count_if(F.trim("value") != "").alias("lines")
-    )
+    if lines is None:
+        lines = files.count_nonblank_lines(spark, root, "*.txt")
+    lines = lines.select(files.relative_to(F.col("file"), workspace).alias("box_path"), "lines")
     rows = map_taxonomy(images, taxonomy, fallback="drop").join(boxes, key, "left").join(lines, "box_path", "left")
     has = F.col("box_path").isNotNull()
     name = F.lit(dataset_id)
@@ -294,9 +313,12 @@ def scan_split_class_folders(spark: SparkSession, workspace: str, root: str, dat
 SURFACE_FOLDERS = {"train-data": "cleaned", "train-data-dry": "dry", "train-data-rough": "rough"}
 
 
-def scan_cvat_surfaces(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_cvat_surfaces(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    polylines: DataFrame | None = None,
+) -> DataFrame:
     """Board photos by surface, ring polylines in one XML file per surface, ignore masks."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     top = F.substring_index("rel", "/", 1)
     surface = F.lit(None).cast("string")
     for folder, treatment in SURFACE_FOLDERS.items():
@@ -304,12 +326,13 @@ def scan_cvat_surfaces(spark: SparkSession, workspace: str, root: str, dataset_i
     placed = listing.withColumn("top", top).withColumn("surface", surface).where(F.col("surface").isNotNull())
     images = placed.where(F.col("folder") == F.concat("top", F.lit("/image"))).where(F.col("ext") == "jpg")
     masks = placed.where(F.col("folder") == F.concat("top", F.lit("/ignore"))).select("top", "name", F.col("path").alias("mask_path"))
-    lines = _optional(
-        lambda: files.read_cvat_polylines(spark, f"{root}/*/label/annotations.xml").select("file", F.col("image_name").alias("name")),
-        spark, "file string, name string",
-    )
-    lined = lines.distinct().select(
-        F.regexp_extract("file", r"([^/]+)/label/annotations\.xml$", 1).alias("top"), "name",
+    if polylines is None:
+        polylines = _optional(
+            lambda: files.read_cvat_polylines(spark, f"{root}/*/label/annotations.xml", min_points=0).select("file", "image_name"),
+            spark, "file string, image_name string",
+        )
+    lined = polylines.select("file", "image_name").distinct().select(
+        F.regexp_extract("file", r"([^/]+)/label/annotations\.xml$", 1).alias("top"), F.col("image_name").alias("name"),
         files.relative_to(F.col("file"), workspace).alias("xml_path"),
     )
     rows = images.join(lined, ["top", "name"], "left").join(masks, ["top", "name"], "left")
@@ -323,12 +346,16 @@ def scan_cvat_surfaces(spark: SparkSession, workspace: str, root: str, dataset_i
     )
 
 
-def scan_voc(spark: SparkSession, workspace: str, root: str, dataset_id: str, taxonomy: DataFrame) -> DataFrame:
+def scan_voc(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, taxonomy: DataFrame,
+    assets: DataFrame | None = None, named: DataFrame | None = None,
+) -> DataFrame:
     """JPEGImages with one XML box file each; labels outside the taxonomy are ignore regions."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     images = _at(listing, "JPEGImages", "jpg")
     boxes = _lookup(_at(listing, "Annotations", "xml"), "xml_path")
-    named = _optional(lambda: files.read_voc_names(spark, f"{root}/Annotations/*.xml"), spark, "file string, raw_label string")
+    if named is None:
+        named = _optional(lambda: files.read_voc_names(spark, f"{root}/Annotations/*.xml"), spark, "file string, raw_label string")
     labels = named.where(F.col("raw_label").isNotNull()).select(
         files.relative_to(F.col("file"), workspace).alias("xml_path"), "raw_label", F.lit(dataset_id).alias("dataset_id")
     )
@@ -360,9 +387,12 @@ def scan_voc(spark: SparkSession, workspace: str, root: str, dataset_id: str, ta
     )
 
 
-def scan_anomaly(spark: SparkSession, workspace: str, root: str, dataset_id: str, license_id: str = "CC-BY-NC-SA-4.0") -> DataFrame:
+def scan_anomaly(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+    license_id: str = "CC-BY-NC-SA-4.0",
+) -> DataFrame:
     """train/test category folders with masks under ground_truth; auxiliary only."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     pattern = r"^(train|test)/([^/]+)/[^/]+\.png$"
     images = listing.select(
         "*", F.regexp_extract("rel", pattern, 1).alias("source_split"), F.regexp_extract("rel", pattern, 2).alias("category")
@@ -383,9 +413,11 @@ def scan_anomaly(spark: SparkSession, workspace: str, root: str, dataset_id: str
     )
 
 
-def scan_synthetic_variants(spark: SparkSession, workspace: str, root: str, dataset_id: str) -> DataFrame:
+def scan_synthetic_variants(
+    spark: SparkSession, workspace: str, root: str, dataset_id: str, assets: DataFrame | None = None,
+) -> DataFrame:
     """variant/variant/Images derivatives; all derivatives of an image share its group."""
-    listing = tree(spark, workspace, root)
+    listing = tree(spark, workspace, root, assets)
     pattern = r"^([^/]+)/\1/Images/[^/]+\.jpg$"
     images = listing.withColumn("variant", F.regexp_extract("rel", pattern, 1)).where(F.col("variant") != "")
     labels = listing.select(
