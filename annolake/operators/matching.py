@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolake.functions.geometry import box_iou
+from annolake.functions.geometry import box_iou, xyxy
 from annolake.presets import IOU_THRESHOLDS
 from annolake.session import stable
 
@@ -32,22 +32,27 @@ def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequ
     reach = (1 - min_iou) / (1 + min_iou)
     log = math.log(base)
 
-    def sized(df: DataFrame) -> DataFrame:
-        box = F.col("box")
+    def sized(df: DataFrame, tag: str) -> DataFrame:
+        corners = {f"{tag}{k}": F.col(f"box.{k}") for k in ("x1", "y1", "x2", "y2")}
+        side = lambda axis: F.col(f"{tag}{axis}2") - F.col(f"{tag}{axis}1")
+        middle = lambda axis: (F.col(f"{tag}{axis}1") + F.col(f"{tag}{axis}2")) / 2
         return (
-            df.withColumn("_w", box["x2"] - box["x1"]).withColumn("_h", box["y2"] - box["y1"])
-            .withColumn("_cx", (box["x1"] + box["x2"]) / 2).withColumn("_cy", (box["y1"] + box["y2"]) / 2)
+            df.withColumns(corners)
+            .withColumns({"_w": side("x"), "_h": side("y"), "_cx": middle("x"), "_cy": middle("y")})
             .where((F.col("_w") > 0) & (F.col("_h") > 0))
+            .withColumn(f"{tag}area", F.col("_w") * F.col("_h"))
         )
 
     level = lambda size: F.floor(F.log(size) / log).cast("int")
     # Largest partner of a truth at this level has side base**(level+1) / t.
     cell = lambda lv: F.greatest(F.lit(1e-9), F.pow(F.lit(base), lv + 1)) * max(2 * reach / min_iou, 1e-3)
+    cells = ["_lw", "_lh", "_gx", "_gy"]
+    flat = lambda tag: [f"{tag}{k}" for k in ("x1", "y1", "x2", "y2", "area")]
     truth = (
-        sized(gts).withColumn("_lw", level(F.col("_w"))).withColumn("_lh", level(F.col("_h")))
+        sized(gts, "g").withColumn("_lw", level(F.col("_w"))).withColumn("_lh", level(F.col("_h")))
         .withColumn("_gx", F.floor(F.col("_cx") / cell(F.col("_lw"))))
         .withColumn("_gy", F.floor(F.col("_cy") / cell(F.col("_lh"))))
-        .select(*keys, "_lw", "_lh", "_gx", "_gy", "gt_id", F.col("box").alias("_gbox"))
+        .select(*keys, *cells, "gt_id", *flat("g"))
     )
     slack = 1e-9
     levels = lambda size: F.sequence(level(size * (min_iou - slack)), level(size / (min_iou - slack)))
@@ -56,15 +61,24 @@ def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequ
         F.floor((centre + reach * size / min_iou + slack) / cell(lv)),
     )
     wide = (
-        sized(preds)
+        sized(preds, "p")
         .withColumn("_lw", F.explode(levels(F.col("_w")))).withColumn("_lh", F.explode(levels(F.col("_h"))))
         .withColumn("_gx", F.explode(span(F.col("_cx"), F.col("_w"), F.col("_lw"))))
         .withColumn("_gy", F.explode(span(F.col("_cy"), F.col("_h"), F.col("_lh"))))
-        .select(*keys, "_lw", "_lh", "_gx", "_gy", "pred_id", "score", F.col("box").alias("_pbox"))
+        .select(*keys, *cells, "pred_id", "score", *flat("p"))
     )
+    # A cheap bound first, so that the ratio is worked out for likely pairs only.
+    c = F.col
+    across = F.least(c("px2"), c("gx2")) - F.greatest(c("px1"), c("gx1"))
+    down = F.least(c("py2"), c("gy2")) - F.greatest(c("py1"), c("gy1"))
+    likely = (across > 0) & (down > 0) & (
+        across * down * (1 + min_iou) >= (c("parea") + c("garea")) * (min_iou * (1 - 1e-9))
+    )
+    corners = lambda tag: xyxy(*[c(f"{tag}{k}") for k in ("x1", "y1", "x2", "y2")])
+    # The work per row is high, so the join is spread over shuffle tasks even if one side is small.
     return (
-        wide.join(truth, [*keys, "_lw", "_lh", "_gx", "_gy"])
-        .withColumn("iou", box_iou(F.col("_pbox"), F.col("_gbox")))
+        wide.hint("merge").join(truth, [*keys, *cells]).where(likely)
+        .withColumn("iou", box_iou(corners("p"), corners("g")))
         .where(F.col("iou") >= min_iou)
         .select(*keys, "pred_id", "score", "gt_id", "iou")
     )

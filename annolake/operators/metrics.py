@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from annolake.operators.matching import match_detections
 from annolake.operators.order import ranked, running
 from annolake.presets import IGNORE_VALUE, IOU_THRESHOLDS
-from annolake.session import literal_table
+from annolake.session import literal_table, stable
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -197,7 +197,7 @@ def detection_curves(preds: DataFrame, gts: DataFrame, matches: DataFrame, thres
 
 def detection_report(preds: DataFrame, gts: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, area: bool = False) -> DataFrame:
     """Per class: support, AP50-95, AP50 and recall at 0.5."""
-    matches = match_detections(pairs, thresholds)
+    matches = stable(match_detections(pairs, thresholds))
     curve, npos = detection_curves(preds, gts, matches, thresholds)
     keys = ["class", "threshold"]
     ap = (average_precision_area if area else average_precision_101)(curve, npos, keys)
