@@ -103,12 +103,13 @@ def self_intersections(polygons: DataFrame, keys: list[str], cell: float = EDGE_
 def normalize_shapes(shapes: DataFrame) -> DataFrame:
     """Shape by shape: the outcome, the new label and the list of changes.
 
-    ``shapes``: file, shape_index, label, shape_type, points, width, height. Polygons with no
-    area are dropped; crossing edges are flagged and kept, as no repair solver exists here.
+    ``shapes``: file, shape_index, label, shape_type, points, width, height. Polygons with
+    crossing edges are flagged and kept, as no repair solver exists here; those without area
+    and without crossings are beyond repair and dropped.
     """
     rows = parsed_shapes(shapes).withColumn("valid", F.col("parsed").isNotNull() & (F.size("polygon") >= 3))
     drawn = rows.where("valid and shape_type = 'polygon'").select("file", "shape_index", "polygon")
-    broken = self_intersections(drawn, ["file", "shape_index"]).groupBy("file", "shape_index").agg(F.max("defect").alias("_defect"))
+    broken = self_intersections(drawn, ["file", "shape_index"]).groupBy("file", "shape_index").agg(F.min("defect").alias("_defect"))
     rows = dedupe_instance_ids(rows, keep_all=True).join(broken, ["file", "shape_index"], "left")
     label = F.col("parsed")
     touches = touches_frame(F.col("polygon"), F.col("width"), F.col("height"), label["truncated"])

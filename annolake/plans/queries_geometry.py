@@ -278,10 +278,15 @@ def _(spark, sf):
     return H.normalize_shapes(shape_rows(spark, sf)).select("file", "shape_index", "label", "valid", "kept", "primary", F.to_json("changes").alias("changes"))
 
 
-_VALID = """
+_VALID = f"""
     k as (select *, split_part(label, '|', 1) as cat, case when shape_type = 'rectangle' then w > 0 and h > 0 else true end
       and split_part(label, '|', 1) <> 'bogus' as valid from fx_shapes),
-    flat as (select shape_no from k where shape_type = 'polygon' and valid and
+    {_PTS},
+    cr as (select shape_no from (select shape_no, points as p from pts where shape_type = 'polygon' and shape_no in (select shape_no from k where valid)),
+      (values (1, 3), (2, 4)) s(a, b)
+      where sign((p[a % 4 + 1][1] - p[a][1]) * (p[b][2] - p[a][2]) - (p[a % 4 + 1][2] - p[a][2]) * (p[b][1] - p[a][1])) * sign((p[a % 4 + 1][1] - p[a][1]) * (p[b % 4 + 1][2] - p[a][2]) - (p[a % 4 + 1][2] - p[a][2]) * (p[b % 4 + 1][1] - p[a][1])) < 0
+        and sign((p[b % 4 + 1][1] - p[b][1]) * (p[a][2] - p[b][2]) - (p[b % 4 + 1][2] - p[b][2]) * (p[a][1] - p[b][1])) * sign((p[b % 4 + 1][1] - p[b][1]) * (p[a % 4 + 1][2] - p[b][2]) - (p[b % 4 + 1][2] - p[b][2]) * (p[a % 4 + 1][1] - p[b][1])) < 0),
+    flat as (select shape_no from k where shape_type = 'polygon' and valid and shape_no not in (select shape_no from cr) and
       abs(x * (y + 2) - (x + w) * y + (x + w) * (y + h) - (x + w - 3) * (y + 2) + (x + w - 3) * (y + h + 1) - (x - 1) * (y + h) + (x - 1) * y - x * (y + h + 1)) = 0)"""
 
 
@@ -296,18 +301,14 @@ def _(spark, sf):
 @query("normalization_actions", f"""
     with {_VALID},
     num as (select *, row_number() over (partition by file_no, cat, split_part(label, '|', 3) order by shape_no) as u from k where valid),
-    {_PTS}, tch as (select shape_no, case when shape_type = 'rectangle' then x <= 1.5 or y <= 1.5 or x + w >= 61.5 or y + h >= 57.5
-      else len(list_filter(points, lambda q: q[1] <= 1.5 or q[2] <= 1.5 or q[1] >= 61.5 or q[2] >= 57.5)) > 0 end as t from pts),
-    cr as (select shape_no from (select shape_no, points as p from pts where shape_type = 'polygon' and shape_no in (select shape_no from k where valid)),
-      (values (1, 3), (2, 4)) s(a, b)
-      where sign((p[a % 4 + 1][1] - p[a][1]) * (p[b][2] - p[a][2]) - (p[a % 4 + 1][2] - p[a][2]) * (p[b][1] - p[a][1])) * sign((p[a % 4 + 1][1] - p[a][1]) * (p[b % 4 + 1][2] - p[a][2]) - (p[a % 4 + 1][2] - p[a][2]) * (p[b % 4 + 1][1] - p[a][1])) < 0
-        and sign((p[b % 4 + 1][1] - p[b][1]) * (p[a][2] - p[b][2]) - (p[b % 4 + 1][2] - p[b][2]) * (p[a][1] - p[b][1])) * sign((p[b % 4 + 1][1] - p[b][1]) * (p[a % 4 + 1][2] - p[b][2]) - (p[b % 4 + 1][2] - p[b][2]) * (p[a % 4 + 1][1] - p[b][1])) < 0)
+    tch as (select shape_no, case when shape_type = 'rectangle' then x <= 1.5 or y <= 1.5 or x + w >= 61.5 or y + h >= 57.5
+      else len(list_filter(points, lambda q: q[1] <= 1.5 or q[2] <= 1.5 or q[1] >= 61.5 or q[2] >= 57.5)) > 0 end as t from pts)
     select action, count(*) as changes from (
       select 'drop_invalid_shape' as action from k where not valid
       union all select 'retain_ignored_shape' from k where valid and cat not in ('knot', 'crack')
       union all select 'deduplicate_instance_id' from num where u > 1
       union all select 'normalize_truncated' from k join tch using (shape_no) where valid and t <> (split_part(label, '|', 5) = '1')
       union all select 'drop_unrepairable_polygon' from flat
-      union all select 'flag_crossing_edges' from (select distinct shape_no from cr) where shape_no not in (select shape_no from flat)) group by 1""")
+      union all select 'flag_crossing_edges' from (select distinct shape_no from cr)) group by 1""")
 def _(spark, sf):
     return H.normalization_actions(H.normalize_shapes(shape_rows(spark, sf)))
