@@ -101,8 +101,9 @@ def ordered_digest(
     keys: Sequence[str] = (),
     name: str = "sha256",
     chunk_rows: int = DIGEST_CHUNK_ROWS,
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """SHA-256 of the ordered lines of each key group.
+    """SHA-256 of the ordered lines of each key group, with sums over the same rows.
 
     Up to ``chunk_rows`` lines the value is the digest of the lines joined together. Longer
     groups are cut into chunks of that many lines; the value is then the digest of the chunk
@@ -116,6 +117,7 @@ def ordered_digest(
         .agg(
             F.expr("sha2(listagg(_line, '') within group (order by _rank), 256)").alias("_digest"),
             F.count(F.lit(1)).alias("_lines"),
+            *[F.coalesce(F.sum(value), F.lit(0)).alias(total) for total, value in (sums or {}).items()],
         )
     )
     return chunks.groupBy(*keys).agg(
@@ -123,6 +125,7 @@ def ordered_digest(
         .otherwise(F.expr("sha2(listagg(_digest, '') within group (order by _chunk), 256)"))
         .alias(name),
         F.sum("_lines").alias("lines"),
+        *[F.sum(total).alias(total) for total in (sums or {})],
     )
 
 

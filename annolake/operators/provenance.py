@@ -39,14 +39,10 @@ def metadata_fingerprint(
     line = F.when(F.col("size").isNull(), tab_line(F.col("path"), F.lit("MISSING"))).otherwise(
         tab_line(F.col("path"), F.col("size"), F.col("mtime"))
     )
-    digest = ordered_digest(
-        files, [F.col("path")], line, ["dataset_id"], "metadata_sha256", chunk_rows
-    ).drop("lines")
-    totals = files.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-        F.count_if(F.col("size").isNull()).alias("missing"),
-    )
-    return totals.join(digest, "dataset_id")
+    return ordered_digest(
+        files, [F.col("path")], line, ["dataset_id"], "metadata_sha256", chunk_rows,
+        {"bytes": F.col("size"), "missing": F.col("size").isNull().cast("long")},
+    ).withColumnRenamed("lines", "files")
 
 
 def overall_fingerprint(
@@ -75,14 +71,10 @@ def content_fingerprint(
     """Digest of (path, size, content hash) per dataset (A7). ``contents``: path, size, sha256."""
     files = referenced_assets(df, fields, contents)
     line = tab_line(F.col("path"), F.coalesce("size", F.lit(0)), F.coalesce("sha256", F.lit("MISSING")))
-    digest = ordered_digest(
-        files, [F.col("path")], line, ["dataset_id"], "aggregate_content_sha256", chunk_rows
-    ).drop("lines")
-    totals = files.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-        F.count_if(F.col("sha256").isNull()).alias("missing"),
-    )
-    return totals.join(digest, "dataset_id")
+    return ordered_digest(
+        files, [F.col("path")], line, ["dataset_id"], "aggregate_content_sha256", chunk_rows,
+        {"bytes": F.col("size"), "missing": F.col("sha256").isNull().cast("long")},
+    ).withColumnRenamed("lines", "files")
 
 
 def hash_mismatches(expected: DataFrame, contents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the even-odd rule, half open at the right and lower side; outlines are traced ap
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -254,40 +254,61 @@ def ring_targets(polygons: DataFrame, sizes: DataFrame, boundary_width: int = 5,
     )
 
 
-def _tile_components(keys: list[str], key_types: list[T.StructField]):
+def _tile_components(keys: list[str], key_types: list[T.StructField], tile: int):
+    """Kernel over rows sorted by tile: many whole tiles are labelled by one array pass."""
+    places = [*keys, "_ty", "_tx"]
     schema = T.StructType([
         *key_types, T.StructField("_ty", T.IntegerType()), T.StructField("_tx", T.IntegerType()),
         T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("_root", T.LongType()),
     ])
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Smallest pixel code of each 8-connected part, by repeated neighbour minima.
-        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        y0, x0 = ys.min(), xs.min()
-        height, width = ys.max() - y0 + 1, xs.max() - x0 + 1
-        big = np.iinfo(np.int64).max
-        grid = np.full((height + 2, width + 2), big, dtype=np.int64)
-        codes = ys.astype(np.int64) * (1 << 31) + xs
-        grid[ys - y0 + 1, xs - x0 + 1] = codes
-        on = grid != big
+    wide = tile + 2
+
+    def label(block: pd.DataFrame) -> pd.DataFrame:
+        """Smallest pixel code of each 8-connected part inside every tile of the block."""
+        new_tile = (block[places] != block[places].shift()).any(axis=1).to_numpy()
+        ys, xs = block["y"].to_numpy(), block["x"].to_numpy()
+        spots = (np.cumsum(new_tile) - 1).astype(np.int64) * (wide * wide) + (ys % tile + 1) * wide + xs % tile + 1
+        order = np.argsort(spots, kind="stable")
+        spots = spots[order]
+        starts, ends = [], []
+        for step in (1, wide - 1, wide, wide + 1):
+            at = np.minimum(np.searchsorted(spots, spots + step), len(spots) - 1)
+            hit = spots[at] == spots + step
+            starts.append(np.flatnonzero(hit))
+            ends.append(at[hit])
+        one, two = np.concatenate(starts), np.concatenate(ends)
+        # Spots run in raster order inside a tile, so the least index is the first pixel.
+        least = np.arange(len(spots))
         while True:
-            best = grid.copy()
-            for dy in (0, 1, 2):
-                for dx in (0, 1, 2):
-                    best[1:-1, 1:-1] = np.minimum(best[1:-1, 1:-1], grid[dy : dy + height, dx : dx + width])
-            best[~on] = big
-            # Follow the code found to that pixel's own code, which shortens long chains.
-            own = best[on]
-            cy, cx = (own >> 31) - y0 + 1, (own & ((1 << 31) - 1)) - x0 + 1
-            best[on] = np.minimum(own, best[cy, cx])
-            if np.array_equal(best, grid):
+            low = np.minimum(least[one], least[two])
+            better = least.copy()
+            np.minimum.at(better, least[one], low)
+            np.minimum.at(better, least[two], low)
+            better = np.minimum(better, better[better])
+            better = better[better]
+            if np.array_equal(better, least):
                 break
-            grid = best
-        out = pdf[[*keys, "_ty", "_tx", "y", "x"]].copy()
-        out["_root"] = grid[ys - y0 + 1, xs - x0 + 1]
-        return out
-
-    return label, schema
+            least = better
+        codes = (ys.astype(np.int64) * (1 << 31) + xs)[order]
+        roots = np.empty(len(spots), dtype=np.int64)
+        roots[order] = codes[least]
+        return block.assign(_root=roots)[[*places, "y", "x", "_root"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            block = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if block.empty:
+                continue
+            # The last tile may go on in the next batch; no tile exceeds tile*tile rows.
+            changed = np.flatnonzero((block[places] != block[places].shift()).any(axis=1).to_numpy())
+            held = block.iloc[changed[-1] :].reset_index(drop=True)
+            if changed[-1] > 0:
+                yield label(block.iloc[: changed[-1]].reset_index(drop=True))
+        if held is not None and not held.empty:
+            yield label(held)
+
+    return run, schema
 
 
 def connected_components(pixels: DataFrame, keys: Sequence[str] = ("image_id", "class"), tile: int = TILE) -> DataFrame:
@@ -299,8 +320,10 @@ def connected_components(pixels: DataFrame, keys: Sequence[str] = ("image_id", "
     keys = list(keys)
     tiled = pixels.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
     tiled = tiled.withColumn("_ty", F.floor(F.col("y") / tile).cast("int")).withColumn("_tx", F.floor(F.col("x") / tile).cast("int"))
-    kernel, schema = _tile_components(keys, [tiled.schema[k] for k in keys])
-    parts = stable(tiled.groupBy(*keys, "_ty", "_tx").applyInPandas(kernel, schema))
+    kernel, schema = _tile_components(keys, [tiled.schema[k] for k in keys], tile)
+    places = [*keys, "_ty", "_tx"]
+    ordered = tiled.select(*places, "y", "x").repartition(*places).sortWithinPartitions(*places)
+    parts = stable(ordered.mapInPandas(kernel, schema))
 
     rim = (F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)
     edge = parts.where(rim)

@@ -9,6 +9,7 @@ from annolake.functions.geometry import polygon_area, rotated, shape_to_polygon,
 from annolake.functions.labels import format_pipe_label, parse_pipe_label
 from annolake.operators.order import ranked
 from annolake.presets import CATEGORY_IDS
+from annolake.session import stable
 
 EDGE_CELL = 64.0
 
@@ -28,8 +29,10 @@ def dedupe_instance_ids(shapes: DataFrame, keep_all: bool = False) -> DataFrame:
     with two digits after the prefix, are free. Adds ``new_id``, null where nothing changes.
     """
     key = ["file", "_cat", "_id"]
-    named = shapes.withColumn("_cat", F.col("parsed.category")).withColumn("_id", F.col("parsed.instance_id"))
-    usable = named.where("valid and parsed is not null")
+    named = stable(shapes.where("parsed is not null").select(
+        "file", "shape_index", F.col("parsed.category").alias("_cat"), F.col("parsed.instance_id").alias("_id"), "valid"
+    ))
+    usable = named.where("valid")
     first = usable.groupBy(*key).agg(F.min("shape_index").alias("_first"))
     repeats = usable.join(first, key).where(F.col("shape_index") > F.col("_first"))
     letters = F.regexp_extract("_id", "^([A-Za-z]+)", 1)
@@ -41,7 +44,7 @@ def dedupe_instance_ids(shapes: DataFrame, keep_all: bool = False) -> DataFrame:
     repeats = ranked(repeats, [F.col("shape_index")], slot, "_k")
 
     # Numbers already used under a prefix: ids that read exactly prefix + two-digit number.
-    taken = named.where("parsed is not null").select("file", "_cat", "_id").distinct()
+    taken = named.select("file", "_cat", "_id").distinct()
     number = F.regexp_extract("_id", r"^[A-Za-z]+(\d+)$", 1).try_cast("long")
     prefix = F.regexp_extract("_id", r"^([A-Za-z]+)\d+$", 1)
     padded = F.when(F.length(number.cast("string")) >= 2, number.cast("string")).otherwise(F.lpad(number.cast("string"), 2, "0"))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolake.operators.catalog import union_catalogs
 from annolake.session import stable
 
 # Three hex digits of the ranking hash: 4096 evenly filled, already ordered buckets.
@@ -33,27 +32,16 @@ def _slice_sizes(total: Column, ratios: dict[str, float]) -> list[tuple[str, Col
     return sizes
 
 
-def allocate_groups(
-    df: DataFrame,
-    ratios: dict[str, float],
-    seed: int | Column,
-    group: str = "group_id",
-    by: Sequence[str] = (),
-    name: str = "split",
-) -> DataFrame:
-    """One row per distinct group with its slice of the hash-ranked groups.
+def _place_groups(df: DataFrame, seed: Column, group: str, by: list[str]) -> DataFrame:
+    """Distinct groups with ``_position`` in their hash order and the ``_total`` of their scope.
 
     The hash is uniform, so its leading digits are balanced range buckets: ranks come from
     per-bucket windows plus the counts of the buckets before, never from one sorted task.
     """
-    if abs(sum(ratios.values()) - 1.0) > 1e-8:
-        raise ValueError(f"split ratios must sum to 1, got {ratios}")
-    by = list(by)
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
     groups = (
-        df.select(*by, group)
+        df.select(*by, group, F.concat(seed.cast("string"), F.lit(":"), F.col(group)).alias("_seeded"))
         .distinct()
-        .withColumn("_hash", F.sha2(F.concat(seed.cast("string"), F.lit(":"), F.col(group)), 256))
+        .withColumn("_hash", F.sha2("_seeded", 256))
         .withColumn("_bucket", F.conv(F.substring("_hash", 1, _BUCKET_DIGITS), 16, 10).cast("int"))
     )
     scope = Window.partitionBy(*(by or [F.lit(0)]))
@@ -67,15 +55,35 @@ def allocate_groups(
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", group)
     placed = groups.withColumn("_row", F.row_number().over(inside)).join(buckets, [*by, "_bucket"])
-    position = F.col("_before") + F.col("_row")
-    chosen, upto = F.lit(None).cast("string"), F.lit(0)
-    steps = []
-    for label, size in _slice_sizes(F.col("_total"), ratios):
+    return placed.select(*by, group, (F.col("_before") + F.col("_row")).alias("_position"), "_total")
+
+
+def _slice_at(position: Column, total: Column, ratios: dict[str, float]) -> Column:
+    """Name of the slice a position falls in; slices follow each other in the given order."""
+    if abs(sum(ratios.values()) - 1.0) > 1e-8:
+        raise ValueError(f"split ratios must sum to 1, got {ratios}")
+    chosen, upto, steps = F.lit(None).cast("string"), F.lit(0), []
+    for label, size in _slice_sizes(total, ratios):
         upto = upto + size
         steps.append((label, upto))
     for label, limit in reversed(steps):
         chosen = F.when(position <= limit, label).otherwise(chosen)
-    return placed.select(*by, group, chosen.alias(name))
+    return chosen
+
+
+def allocate_groups(
+    df: DataFrame,
+    ratios: dict[str, float],
+    seed: int | Column,
+    group: str = "group_id",
+    by: Sequence[str] = (),
+    name: str = "split",
+) -> DataFrame:
+    """One row per distinct group with its slice of the hash-ranked groups."""
+    by = list(by)
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    chosen = _slice_at(F.col("_position"), F.col("_total"), ratios)
+    return _place_groups(df, seed, group, by).select(*by, group, chosen.alias(name))
 
 
 def assign_folds(
@@ -98,48 +106,49 @@ def assign_splits(df: DataFrame, policy: dict, seed: int) -> DataFrame:
     keys = ["dataset_id", "group_id"]
     blank = F.coalesce("split", F.lit("")) == ""
     # One pass over the rows gives what every step needs to know about a group.
-    groups = stable(
-        df.groupBy(*keys).agg(
-            F.max(F.col("dataset_role") == "bridge").alias("bridge"), F.max(blank).alias("open")
-        )
-    )
-    bridge = groups.where("bridge")
+    groups = df.groupBy(*keys).agg(F.max(F.col("dataset_role") == "bridge").alias("bridge"), F.max(blank).alias("open"))
+    dataset = F.col("dataset_id")
+    rest = F.col("open") & ~F.col("bridge")
     ratios = policy.get("bridge", {"train": 0.6, "val": 0.2, "test": 0.2})
-    tables = [
-        allocate_groups(bridge, ratios, F.lit(seed + 1000) + F.length("dataset_id"), by=["dataset_id"])
-        .select(*keys, F.struct(F.lit(True).alias("override"), "split").alias("chosen"))
-    ]
-
-    def fill(members: DataFrame, ratios: dict[str, float], step_seed: int) -> DataFrame:
-        table = allocate_groups(members, ratios, step_seed)
-        return members.select(*keys).join(table, "group_id").select(
-            *keys, F.struct(F.lit(False).alias("override"), "split").alias("chosen")
-        )
-
-    rest = groups.where("open and not bridge")
+    # step name, members, scope inside the step, seed, ratios
+    steps = [("bridge", F.col("bridge"), dataset, F.lit(seed + 1000) + F.length(dataset), ratios)]
     pooled = policy.get("pooled")
     if pooled:
-        tables.append(fill(rest.where(F.col("dataset_id").isin(pooled["datasets"])), pooled["ratios"], seed + 1))
+        steps.append(("pooled", rest & dataset.isin(pooled["datasets"]), F.lit(""), F.lit(seed + 1), pooled["ratios"]))
     for dataset_id, ratios in policy.get("single", {}).items():
-        tables.append(fill(rest.where(F.col("dataset_id") == dataset_id), ratios, seed + len(dataset_id)))
-
-    # Each step owns other (dataset, group) keys, so the tables never overlap.
-    result = df.join(union_catalogs(tables), keys, "left").withColumn(
-        "split", F.when(F.col("chosen.override") | blank, F.coalesce("chosen.split", F.coalesce("split", F.lit("")))).otherwise(F.col("split"))
+        steps.append(("single", rest & (dataset == dataset_id), dataset, F.lit(seed + len(dataset_id)), ratios))
+    folds = policy.get("folds")
+    if folds:
+        k = int(folds["k"])
+        steps.append(("folds", dataset == folds["dataset"], F.lit(""), F.lit(seed + 404), {str(i): 1.0 / k for i in range(k)}))
+
+    # All steps are ranked together: each has its own scope, and a group its own scopes.
+    joins = F.array_compact(F.array(*[
+        F.when(member, F.struct(
+            F.lit(number).alias("step"), scope.alias("scope"), step_seed.cast("long").alias("seed")
+        )) for number, (_, member, scope, step_seed, _) in enumerate(steps)
+    ]))
+    members = stable(groups.select(*keys, F.explode(joins).alias("s")).select(*keys, "s.*"))
+    scope = ["step", "scope"]
+    placed = _place_groups(members, F.col("seed"), "group_id", scope)
+    chosen = F.lit(None).cast("string")
+    for number, (*_, ratios) in enumerate(steps):
+        chosen = F.when(F.col("step") == number, _slice_at(F.col("_position"), F.col("_total"), ratios)).otherwise(chosen)
+    settled = members.join(placed.select(*scope, "group_id", chosen.alias("chosen")), [*scope, "group_id"])
+    named = lambda *names: F.max(F.when(F.col("step").isin([i for i, s in enumerate(steps) if s[0] in names]), F.col("chosen")))
+    table = settled.groupBy(*keys).agg(
+        named("bridge").alias("_bridge"), named("pooled", "single").alias("_filled"), named("folds").alias("_fold")
+    )
+    result = df.join(table, keys, "left").withColumn(
+        "split", F.coalesce("_bridge", F.when(blank, F.col("_filled")), "split", F.lit(""))
     )
     external = policy.get("external")
     if external:
         result = result.withColumn(
-            "split",
-            F.when(F.col("dataset_id").isin(external["datasets"]), external["split"]).otherwise(F.col("split")),
+            "split", F.when(dataset.isin(external["datasets"]), external["split"]).otherwise(F.col("split"))
         )
-    folds = policy.get("folds")
     if folds:
-        members = groups.where(F.col("dataset_id") == folds["dataset"])
-        table = assign_folds(members, int(folds["k"]), seed, name="_fold").withColumn("dataset_id", F.lit(folds["dataset"]))
-        result = result.join(table, keys, "left").withColumn(
-            "ring_r2_fold", F.coalesce("_fold", "ring_r2_fold", F.lit(""))
-        )
+        result = result.withColumn("ring_r2_fold", F.coalesce("_fold", "ring_r2_fold", F.lit("")))
     return result.select(*df.columns)
 
 
