@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,27 +13,36 @@ from annolake.session import stable
 _BUCKET_DIGITS = 3
 
 
-def _slice_sizes(total: Column, ratios: dict[str, float]) -> list[tuple[str, Column]]:
-    """Floor of each share, the remainder going to the largest fractions, ties by name."""
-    exact = {name: total * F.lit(float(ratio)) for name, ratio in ratios.items()}
-    floor = {name: value.cast("long") for name, value in exact.items()}
-    part = {name: exact[name] - floor[name] for name in ratios}
-    left = total - sum(floor.values(), F.lit(0))
-    sizes = []
-    for name in ratios:
-        place = F.lit(1)
-        for other in ratios:
-            if other != name:
-                ahead = part[other] > part[name]
-                if other < name:
-                    ahead = ahead | (part[other] == part[name])
-                place = place + ahead.cast("int")
-        sizes.append((name, floor[name] + (place <= left).cast("long")))
-    return sizes
-
-
-def _place_groups(df: DataFrame, seed: Column, group: str, by: list[str]) -> DataFrame:
-    """Distinct groups with ``_position`` in their hash order and the ``_total`` of their scope.
+def _cuts(total: Column, ratios: dict[str, float]) -> Column:
+    """Last position of each slice, in the given order of the ratios.
+
+    Sizes are the floor of each share; the remainder goes to the largest fractions, ties by name.
+    """
+    if abs(sum(ratios.values()) - 1.0) > 1e-8:
+        raise ValueError(f"split ratios must sum to 1, got {ratios}")
+    names = sorted(ratios)
+    spots = F.sequence(F.lit(0), F.lit(len(ratios) - 1))
+    shares = F.array(*[
+        F.struct((total * F.lit(float(r))).alias("exact"), F.lit(names.index(n)).alias("tie")) for n, r in ratios.items()
+    ])
+    whole = lambda e: e["exact"].cast("long")
+    part = lambda e: e["exact"] - whole(e)
+    spare = total - F.aggregate(shares, F.lit(0).cast("long"), lambda s, e: s + whole(e))
+    ahead = lambda e: F.size(F.filter(
+        shares, lambda o: (part(o) > part(e)) | ((part(o) == part(e)) & (o["tie"] < e["tie"]))
+    ))
+    sizes = F.transform(shares, lambda e: whole(e) + (ahead(e) < spare).cast("long"))
+    return F.transform(
+        spots, lambda i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0).cast("long"), lambda s, v: s + v)
+    )
+
+
+def _slice_name(position: Column, cuts: Column, ratios: dict[str, float]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in ratios]), F.size(F.filter(cuts, lambda c: c < position)))
+
+
+def _place_groups(df: DataFrame, seed: Column, group: str, by: list[str], cuts: Callable[[Column], Column]) -> DataFrame:
+    """Distinct groups with ``_position`` in their hash order and the ``_cuts`` of their scope.
 
     The hash is uniform, so its leading digits are balanced range buckets: ranks come from
     per-bucket windows plus the counts of the buckets before, never from one sorted task.
@@ -44,31 +53,17 @@ def _place_groups(df: DataFrame, seed: Column, group: str, by: list[str]) -> Dat
         .withColumn("_hash", F.sha2("_seeded", 256))
         .withColumn("_bucket", F.conv(F.substring("_hash", 1, _BUCKET_DIGITS), 16, 10).cast("int"))
     )
-    scope = Window.partitionBy(*(by or [F.lit(0)]))
-    before = scope.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        groups.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(scope))
-        .drop("_n")
-    )
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = groups.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total")).select(*by, cuts(F.col("_total")).alias("_cuts"))
+    if by:
+        buckets = buckets.join(totals, by)
+    else:
+        buckets = buckets.withColumn("_cuts", totals.scalar())
     inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", group)
     placed = groups.withColumn("_row", F.row_number().over(inside)).join(buckets, [*by, "_bucket"])
-    return placed.select(*by, group, (F.col("_before") + F.col("_row")).alias("_position"), "_total")
-
-
-def _slice_at(position: Column, total: Column, ratios: dict[str, float]) -> Column:
-    """Name of the slice a position falls in; slices follow each other in the given order."""
-    if abs(sum(ratios.values()) - 1.0) > 1e-8:
-        raise ValueError(f"split ratios must sum to 1, got {ratios}")
-    chosen, upto, steps = F.lit(None).cast("string"), F.lit(0), []
-    for label, size in _slice_sizes(total, ratios):
-        upto = upto + size
-        steps.append((label, upto))
-    for label, limit in reversed(steps):
-        chosen = F.when(position <= limit, label).otherwise(chosen)
-    return chosen
+    return placed.select(*by, group, (F.col("_before") + F.col("_row")).alias("_position"), "_cuts")
 
 
 def allocate_groups(
@@ -82,8 +77,8 @@ def allocate_groups(
     """One row per distinct group with its slice of the hash-ranked groups."""
     by = list(by)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
-    chosen = _slice_at(F.col("_position"), F.col("_total"), ratios)
-    return _place_groups(df, seed, group, by).select(*by, group, chosen.alias(name))
+    placed = _place_groups(df, seed, group, by, lambda total: _cuts(total, ratios))
+    return placed.select(*by, group, _slice_name(F.col("_position"), F.col("_cuts"), ratios).alias(name))
 
 
 def assign_folds(
@@ -130,10 +125,17 @@ def assign_splits(df: DataFrame, policy: dict, seed: int) -> DataFrame:
     ]))
     members = stable(groups.select(*keys, F.explode(joins).alias("s")).select(*keys, "s.*"))
     scope = ["step", "scope"]
-    placed = _place_groups(members, F.col("seed"), "group_id", scope)
-    chosen = F.lit(None).cast("string")
-    for number, (*_, ratios) in enumerate(steps):
-        chosen = F.when(F.col("step") == number, _slice_at(F.col("_position"), F.col("_total"), ratios)).otherwise(chosen)
+
+    def per_step(value: Callable[[dict], Column]) -> Column:
+        result = F.lit(None)
+        for number, (*_, ratios) in enumerate(steps):
+            result = F.when(F.col("step") == number, value(ratios)).otherwise(result)
+        return result
+
+    placed = _place_groups(
+        members, F.col("seed"), "group_id", scope, lambda total: per_step(lambda ratios: _cuts(total, ratios))
+    )
+    chosen = per_step(lambda ratios: _slice_name(F.col("_position"), F.col("_cuts"), ratios))
     settled = members.join(placed.select(*scope, "group_id", chosen.alias("chosen")), [*scope, "group_id"])
     named = lambda *names: F.max(F.when(F.col("step").isin([i for i, s in enumerate(steps) if s[0] in names]), F.col("chosen")))
     table = settled.groupBy(*keys).agg(
