@@ -145,7 +145,8 @@ def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None
 
     left = spread.withColumnRenamed("phash", "a")
     right = spread.withColumnRenamed("phash", "b")
-    pairs = left.join(right, ["choice", "key", "part", "bits"]).where(F.col("a") < F.col("b"))
+    # Buckets fan out into many candidates, so even a small table is spread over shuffle tasks.
+    pairs = left.hint("merge").join(right, ["choice", "key", "part", "bits"]).where(F.col("a") < F.col("b"))
     xor = F.col("a").bitwiseXOR(F.col("b"))
     agrees = lambda mask: xor.bitwiseAND(F.lit(mask).cast("long")) == 0
     first_choice = F.coalesce(*[F.when(agrees(m), i) for i, m in enumerate(masks)])

@@ -97,7 +97,7 @@ FIXTURES: dict[str, str] = {
                case when l_returnflag = 'A' then 'knot' else 'crack' end as category,
                cast(l_partkey % 60 as double) - 1.5 as x, cast(l_suppkey % 50 as double) as y,
                l_quantity as w, cast(l_linenumber * 4 as double) as h, l_shipdate, l_partkey
-        from {lineitem} where l_orderkey % 3 <> 0""",
+        from {lineitem}""",
     "fx_shapes": """
         select p_partkey % 400 as file_no, p_partkey as shape_no,
                concat(case when p_size % 5 = 4 then 'bogus' when p_size % 5 = 3 then 'resin' when p_size % 5 = 2 then 'crack'

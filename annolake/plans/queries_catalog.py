@@ -594,7 +594,7 @@ def _(spark, sf):
     union all select 'normal', 'absent'""")
 def _(spark, sf):
     part = fixture(spark, sf, "part").select("p_type").distinct()
-    wanted = part.where("p_type = 'PROMO'").unionByName(part.limit(1).select(F.lit("normal").alias("p_type")))
+    wanted = part.where("p_type = 'PROMO'").unionByName(spark.range(1).select(F.lit("normal").alias("p_type")))
     return C.set_difference(part, wanted)
 
 

@@ -116,7 +116,7 @@ def _(spark, sf):
 
 # Nested squares: ring k of an image has half side 3k + (image % 3); one of five images has an odd ring out.
 def ring_polygons(spark, sf):
-    part = fixture(spark, sf, "supplier").where("s_nationkey < 12").select(c("s_suppkey").alias("image_id"))
+    part = fixture(spark, sf, "supplier").select(c("s_suppkey").alias("image_id"))
     rows = part.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("shape_index"))
     half = 3.0 * (c("shape_index") + 1) + c("image_id") % 3
     shift = F.when((c("image_id") % 5 == 0) & (c("shape_index") == 1), 5.0).otherwise(0.0)
@@ -127,7 +127,7 @@ def ring_polygons(spark, sf):
 
 # A filled square with its border is the closed box, clipped to the image.
 _RINGS = """
-    rg as (select s_suppkey as image_id, k, 3 * (k + 1) + s_suppkey % 3 as half, case when s_suppkey % 5 = 0 and k = 1 then 5 else 0 end as sh from supplier, range(3) t(k) where s_nationkey < 12),
+    rg as (select s_suppkey as image_id, k, 3 * (k + 1) + s_suppkey % 3 as half, case when s_suppkey % 5 = 0 and k = 1 then 5 else 0 end as sh from supplier, range(3) t(k)),
     px as (select image_id, cast(a.range as int) as y, cast(b.range as int) as x, k from rg, range(32) a, range(32) b where abs(a.range - 16) <= half and abs(b.range - 16 - sh) <= half),
     cov as (select image_id, y, x, list(k) as ks from px group by 1, 2, 3)"""
 
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("non_nested_pairs", f"""
     with {_RINGS}, bad as (select image_id, count(distinct i) as n from (select image_id, unnest(list_filter(ks, lambda i: i < 2 and not list_contains(ks, i + 1))) as i from cov) group by 1)
-    select s_suppkey as image_id, 3 as closed_rings, coalesce(n, 0) as non_nested_pairs from supplier left join bad on image_id = s_suppkey where s_nationkey < 12""")
+    select s_suppkey as image_id, 3 as closed_rings, coalesce(n, 0) as non_nested_pairs from supplier left join bad on image_id = s_suppkey""")
 def _(spark, sf):
     return R.non_nested_pairs(R.ring_order(ring_polygons(spark, sf)))
 
@@ -152,7 +152,7 @@ def _(spark, sf):
     vl as (select image_id, y, x, list_contains(ks, 2) as valid from cov),
     bo as (select count(*) as n from (select distinct vl.image_id, vl.y, vl.x from vl join sk on vl.image_id = sk.image_id and abs(vl.y - sk.y) <= 2 and abs(vl.x - sk.x) <= 2 where valid))
     select (select count(*) from sk) as skeleton_pixels, (select count(*) from vl where valid) as valid_pixels, (select n from bo) as boundary_pixels,
-      (select count(*) * 1024 from supplier where s_nationkey < 12) as pixels, (select count(*) from sk join vl using (image_id, y, x) where valid) as zero_distance""")
+      (select count(*) * 1024 from supplier) as pixels, (select count(*) from sk join vl using (image_id, y, x) where valid) as zero_distance""")
 def _(spark, sf):
     polys = ring_polygons(spark, sf)
     df = R.ring_targets(polys, polys.select("image_id", "width", "height").distinct())
