@@ -1,10 +1,11 @@
 """Run queries against their SQL: python tests/check.py [sf_dir] [name part ...]."""
 
+import os
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import compare, connect  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
