@@ -111,5 +111,7 @@ def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_
     """The rows of ``docs`` that pass, with all their columns. Texts stay where they are unless a host is rejected."""
     counts = stable(_by_host(measure(docs.select("text", F.col(host).alias("_key"))), "_key"))
     bad = host_verdicts(counts, max_host_rate).where("rejected").select("_host")
-    good = measure(docs).where(~F.col("_m.base_failed")).select(*docs.columns)
-    return good.join(bad, good[host].eqNullSafe(bad["_host"]), "left_anti")
+    whole = docs.select("text", F.col(host).alias("_key"), F.struct(*docs.columns).alias("_doc"))
+    good = measure(whole).where(~F.col("_m.base_failed")).select("_key", "_doc")
+    return good.join(bad, F.col("_key").eqNullSafe(F.col("_host")), "left_anti").select(
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns])

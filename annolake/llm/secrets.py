@@ -121,7 +121,7 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``, overlapping spans as one; n_chars follows the text."""
-    found = find_secrets(docs, model)
+    found = find_secrets(docs.select("text", F.struct(*docs.columns).alias("_doc")), model)
     text = F.col("text")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -135,8 +135,13 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataF
     clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
     hit = F.size("_spans") > 0
     new = found.withColumn("_clean", F.when(hit, clean).otherwise(text))
-    columns = [
-        F.col("_clean").alias("text") if c == "text"
-        else F.when(hit, F.char_length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c) for c in docs.columns]
-    return new.select(*columns)
+
+    def column(name: str) -> Column:
+        own = F.col("_doc").getField(name)
+        if name == "text":
+            return F.col("_clean").alias(name)
+        if name == "n_chars":
+            return F.when(hit, F.char_length("_clean").cast(docs.schema[name].dataType)).otherwise(own).alias(name)
+        return own.alias(name)
+
+    return new.select(*map(column, docs.columns))

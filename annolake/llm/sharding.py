@@ -113,6 +113,6 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RANG
     first = {row["shard"]: row["row"] for row in shard_of(placed).groupBy("shard").agg(F.min("_row").alias("row")).collect()}
     firsts = F.split(F.lit(",".join(str(first.get(s, 0)) for s in range(shards))), ",").cast("array<bigint>")
     kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    full = docs.select(*kept, _key().alias("_key"), row_size(F.col("text")).alias("_size")).withColumn("_range", _range_of(splitters))
-    return shard_of(full).select(
-        *kept, F.col("_size").alias("size"), "shard", (F.col("_row") - F.get(firsts, F.col("shard"))).alias("slot"))
+    full = docs.select(F.struct(*kept).alias("_doc"), _key().alias("_key"), row_size(F.col("text")).alias("_size"))
+    return shard_of(full.withColumn("_range", _range_of(splitters))).select(
+        *[F.col("_doc").getField(c).alias(c) for c in kept], F.col("_size").alias("size"), "shard", (F.col("_row") - F.get(firsts, F.col("shard"))).alias("slot"))

@@ -121,8 +121,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, groups = grouped(docs)
     first = groups.select(
         F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("none").alias("_n"), F.col("text_hash").alias("_h")).distinct()
-    keyed = docs.withColumns({
-        "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_n": F.col("doc_id").isNull(), "_h": F.xxhash64(F.col("text").cast("string"))})
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_d"),
+        F.col("doc_id").isNull().alias("_n"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     kept = keyed.join(first, ["_d", "_n", "_h"], "left_semi")
-    same = Window.partitionBy("_d", "_n", "_h").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
+    same = Window.partitionBy("_d", "_n", "_h").orderBy(F.xxhash64("_doc"))
+    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns])

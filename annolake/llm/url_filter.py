@@ -159,12 +159,12 @@ def _holds(cascade: Cascade, number: int, level: int) -> Column:
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``pages`` (with url) plus host, path, rule and verdict: the longest rule's, else block where the host is listed."""
     host, path = url_parts(F.col("url"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_listed")]
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*kept).alias("_page"), host.alias("host"), path.alias("path"))
     cascade = build_cascade(rows.select(F.col("host").alias("key")), listed, slice_bytes)
     marked = cascade.mark(rows, "host", "_listed")
     return marked.select(
-        *kept, "host", "path", longest_rule(F.col("host"), F.col("path"), rules, 0).alias("rule"),
+        *[F.col("_page").getField(c).alias(c) for c in kept], "host", "path", longest_rule(F.col("host"), F.col("path"), rules, 0).alias("rule"),
         F.coalesce(
             longest_rule(F.col("host"), F.col("path"), rules, 1),
             F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
