@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.session import stable
+from annolake.session import shuffle_partitions, stable
 
 MOST_WORDS, WORD_BYTES = 1 << 20, 48
 BUCKETS = 1 << 15
@@ -208,7 +208,8 @@ def _signed_hash(key: bytes) -> int:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: int = MOST_WORDS) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit) per row."""
     counts = stable(word_counts(docs, pattern))
-    known = frequent_words(counts, most_words).select("word", F.xxhash64("word").alias("hash"), fold_merges(F.col("word"), ranks).alias("ids"))
+    chosen = frequent_words(counts, most_words).repartition(shuffle_partitions(docs), "word")
+    known = chosen.select("word", F.xxhash64("word").alias("hash"), fold_merges(F.col("word"), ranks).alias("ids"))
     held = docs.sparkSession.sparkContext.broadcast(WordTable(known.toArrow()))
     gap = np.asarray([GAP], "<u4").tobytes()
 
