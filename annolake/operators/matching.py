@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,6 @@ from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_iou, xyxy
 from annolake.presets import IOU_THRESHOLDS
-from annolake.session import stable
-
-GROUP_PAIR_LIMIT = 200_000
 
 
 def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequence[str] = ("image_id", "class")) -> DataFrame:
@@ -86,94 +84,70 @@ def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequ
 
 def greedy_assign(
     pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[Column],
-    weight: str, thresholds: Sequence[float] = (0.0,), group_limit: int = GROUP_PAIR_LIMIT,
+    weight: str, thresholds: Sequence[float] = (0.0,),
 ) -> DataFrame:
     """Each left row in ``order`` takes its heaviest free right row of weight >= threshold.
 
-    Groups up to ``group_limit`` pairs are settled in one sorted pass. Larger ones are
-    settled by joins: a pair is final once its left row comes first among all rivals for the
-    right row and prefers it over its other options, so every round settles many pairs and
-    the result is the same.
+    Pairs are sorted by key and preference and stream through in batches. Within a batch, a pair that comes first among
+    the open pairs of both its sides is settled, for all groups and thresholds at once, until none is open. Only the
+    pairs settled in the group that a batch ends in are carried to the next one.
     """
     keys = list(keys)
-    prepared = stable(pairs.select(*keys, left, right, F.col(weight).cast("double").alias("_w"),
-                                   F.struct(*order).alias("_order")))
-    sizes = prepared.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > group_limit).select(*keys)
-    has_big = not big.isEmpty()
-    small = prepared.join(big, keys, "left_anti") if has_big else prepared
-    result = _assign_sorted(small, keys, left, right, thresholds)
-    if has_big:
-        large = prepared.join(big, keys, "left_semi")
-        result = result.unionByName(_assign_rounds(large, keys, left, right, thresholds))
-    return result
-
-
-def _assign_sorted(pairs: DataFrame, keys: list[str], left: str, right: str, thresholds: Sequence[float]) -> DataFrame:
-    """One pass over rows sorted by key and order. Only the ids already taken are kept."""
     types = {field.name: field.dataType for field in pairs.schema}
     schema = T.StructType(
         [T.StructField(k, types[k]) for k in keys]
         + [T.StructField("threshold", T.DoubleType()), T.StructField(left, types[left]),
            T.StructField(right, types[right]), T.StructField("weight", T.DoubleType())]
     )
-    limits = [float(t) for t in thresholds]
+    limits = np.asarray([float(t) for t in thresholds])
     names = [*keys, "threshold", left, right, "weight"]
-    ordered = pairs.repartition(*keys).sortWithinPartitions(
-        *keys, "_order", left, F.col("_w").desc(), right
-    ).select(*keys, left, right, "_w")
+    ordered = (
+        pairs.select(*keys, left, right, F.col(weight).cast("double").alias("weight"), F.struct(*order).alias("_order"))
+        .repartition(*keys).sortWithinPartitions(*keys, "_order", left, F.col("weight").desc(), right).drop("_order")
+    )
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, taken = None, []
-        for pdf in batches:
-            found = []
-            for row in pdf.itertuples(index=False, name=None):
-                key, (one, two, weight) = row[: len(keys)], row[len(keys) :]
-                if key != group:
-                    group, taken = key, [(set(), set()) for _ in limits]
-                for limit, (lefts, rights) in zip(limits, taken):
-                    if weight >= limit and one not in lefts and two not in rights:
-                        lefts.add(one)
-                        rights.add(two)
-                        found.append((*key, limit, one, two, weight))
-            yield pd.DataFrame(found, columns=names)
+        carried = pd.DataFrame(columns=names)
+        for batch in batches:
+            row, limit = np.nonzero(batch["weight"].to_numpy()[:, None] >= limits)
+            wide = batch.iloc[row].assign(threshold=limits[limit])
+            # Earlier settled pairs stand in front, so they close what they hold.
+            wide = pd.concat([carried, wide[names]], ignore_index=True) if len(carried) else wide[names].reset_index(drop=True)
+            mine, theirs = (wide.groupby([*keys, "threshold", side], dropna=False, sort=False).ngroup().to_numpy() for side in (left, right))
+            taken = _settled(mine, theirs)
+            yield wide.iloc[taken[taken >= len(carried)]]
+            if len(batch):
+                last = batch.iloc[-1]
+                held = wide.iloc[taken]
+                carried = held[np.logical_and.reduce([held[k].isna() if pd.isna(last[k]) else held[k] == last[k] for k in keys])]
 
     return ordered.mapInPandas(settle, schema)
 
 
-def _assign_rounds(pairs: DataFrame, keys: list[str], left: str, right: str, thresholds: Sequence[float]) -> DataFrame:
-    scope = [*keys, "threshold"]
-    limits = F.array(*[F.lit(float(t)) for t in thresholds])
-    open_pairs = stable(
-        pairs.withColumn("threshold", F.explode(F.filter(limits, lambda t: t <= F.col("_w"))))
-    )
-    settled = None
-    while not open_pairs.isEmpty():
-        best_right = open_pairs.groupBy(*scope, left).agg(
-            F.min_by(right, F.struct((-F.col("_w")).alias("w"), F.col(right).alias("r"))).alias(right)
-        )
-        first_left = open_pairs.groupBy(*scope, right).agg(
-            F.min_by(left, F.struct(F.col("_order"), F.col(left).alias("l"))).alias(left)
-        )
-        final = best_right.join(first_left, [*scope, left, right])
-        final = stable(final.join(open_pairs, [*scope, left, right]).select(*scope, left, right, F.col("_w").alias("weight")))
-        settled = final if settled is None else settled.unionByName(final)
-        open_pairs = stable(
-            open_pairs.join(final.select(*scope, left), [*scope, left], "left_anti")
-            .join(final.select(*scope, right), [*scope, right], "left_anti")
-        )
-    if settled is None:
-        settled = open_pairs.select(*scope, left, right, F.col("_w").alias("weight"))
-    return settled
+def _settled(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the pairs that a greedy pass in the given order takes."""
+    free_left, free_right = (np.ones(side.max(initial=-1) + 1, bool) for side in (left, right))
+    first_left, first_right = (np.empty(len(side), np.int64) for side in (free_left, free_right))
+    still, taken = np.arange(len(left)), []
+    while len(still):
+        # Written from the back, the earliest place of each side remains.
+        first_left[left[still[::-1]]] = still[::-1]
+        first_right[right[still[::-1]]] = still[::-1]
+        now = still[(first_left[left[still]] == still) & (first_right[right[still]] == still)]
+        free_left[left[now]] = False
+        free_right[right[now]] = False
+        taken.append(now)
+        still = still[free_left[left[still]] & free_right[right[still]]]
+    return np.sort(np.concatenate(taken)) if taken else still
 
 
 def match_detections(
     pairs: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS,
-    keys: Sequence[str] = ("image_id", "class"), group_limit: int = GROUP_PAIR_LIMIT,
+    keys: Sequence[str] = ("image_id", "class"),
 ) -> DataFrame:
     """Greedy one-to-one matches in descending score at every threshold."""
     order = [(-F.col("score")).alias("s"), F.col("pred_id").alias("p")]
-    return greedy_assign(pairs, keys, "pred_id", "gt_id", order, "iou", thresholds, group_limit).withColumnRenamed("weight", "iou")
+    return greedy_assign(pairs, keys, "pred_id", "gt_id", order, "iou", thresholds).withColumnRenamed("weight", "iou")
 
 
 def box_component_overlap(boxes: DataFrame, component_pixels: DataFrame) -> DataFrame:
@@ -200,7 +174,7 @@ def box_component_overlap(boxes: DataFrame, component_pixels: DataFrame) -> Data
 
 
 def match_boxes_to_components(
-    boxes: DataFrame, component_pixels: DataFrame, reuse: bool = False, group_limit: int = GROUP_PAIR_LIMIT
+    boxes: DataFrame, component_pixels: DataFrame, reuse: bool = False
 ) -> DataFrame:
     """Component of each box: greatest overlap, in box order, each component once.
 
@@ -215,6 +189,6 @@ def match_boxes_to_components(
     else:
         found = greedy_assign(
             overlap, ["image_id", "class"], "ann_id", "component", [F.col("ann_id").alias("a")],
-            "overlap", (1.0,), group_limit,
+            "overlap", (1.0,),
         ).select("image_id", "class", "ann_id", "component", F.col("weight").cast("long").alias("overlap"))
     return boxes.select("image_id", "class", "ann_id").join(found, ["image_id", "class", "ann_id"], "left")

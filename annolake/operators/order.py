@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from annolake.session import shuffle_partitions, stable
 
-DIGEST_CHUNK_ROWS = 65_536
+DIGEST_FAN_IN = 4_096
 
 
 def running(
@@ -99,34 +99,27 @@ def ordered_digest(
     order: Sequence[Column],
     line: Column,
     keys: Sequence[str] = (),
-    name: str = "sha256",
-    chunk_rows: int = DIGEST_CHUNK_ROWS,
+    name: str = "tree_sha256",
     sums: dict[str, Column] | None = None,
+    fan_in: int = DIGEST_FAN_IN,
 ) -> DataFrame:
-    """SHA-256 of the ordered lines of each key group, with sums over the same rows.
+    """Tree digest of the ordered lines of each key group, with their count and sums over the same rows.
 
-    Up to ``chunk_rows`` lines the value is the digest of the lines joined together. Longer
-    groups are cut into chunks of that many lines; the value is then the digest of the chunk
-    digests, so no task ever holds more than one chunk.
+    Three levels at every size: a leaf is the SHA-256 of ``fan_in`` lines joined together, a node that of ``fan_in``
+    leaf digests, the root that of all node digests. A group of one line has one leaf, one node and the root.
     """
     keys = list(keys)
-    lines = ranked(df.withColumn("_line", line), order, keys, "_rank")
-    chunks = (
-        lines.withColumn("_chunk", F.expr(f"(_rank - 1) div {int(chunk_rows)}"))
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.expr("sha2(listagg(_line, '') within group (order by _rank), 256)").alias("_digest"),
-            F.count(F.lit(1)).alias("_lines"),
-            *[F.coalesce(F.sum(value), F.lit(0)).alias(total) for total, value in (sums or {}).items()],
-        )
-    )
-    return chunks.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.min("_digest"))
-        .otherwise(F.expr("sha2(listagg(_digest, '') within group (order by _chunk), 256)"))
-        .alias(name),
-        F.sum("_lines").alias("lines"),
-        *[F.sum(total).alias(total) for total in (sums or {})],
+    totals = {"lines": F.count(F.lit(1)), **{n: F.coalesce(F.sum(value), F.lit(0)) for n, value in (sums or {}).items()}}
+    level = (
+        ranked(df.withColumn("_line", line), order, keys, "_rank")
+        .groupBy(*keys, F.expr(f"(_rank - 1) div {int(fan_in)}").alias("_at"))
+        .agg(F.expr("sha2(listagg(_line, '') within group (order by _rank), 256)").alias("_digest"),
+             *[value.alias(total) for total, value in totals.items()])
     )
+    joined = F.expr("sha2(listagg(_digest, '') within group (order by _at), 256)")
+    sums_of = [F.sum(total).alias(total) for total in totals]
+    nodes = level.groupBy(*keys, F.expr(f"_at div {int(fan_in)}").alias("_up")).agg(joined.alias("_digest"), *sums_of)
+    return nodes.withColumnRenamed("_up", "_at").groupBy(*keys).agg(joined.alias(name), *sums_of)
 
 
 def ordered_output(df: DataFrame, *keys: str) -> DataFrame:

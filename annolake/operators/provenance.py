@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.operators.catalog import references
-from annolake.operators.order import DIGEST_CHUNK_ROWS, ordered_digest
+from annolake.operators.order import ordered_digest
 from annolake.schema import PATH_COLUMNS
 
 
@@ -16,23 +16,25 @@ def tab_line(*parts: Column) -> Column:
     return F.concat(F.concat_ws("\t", *[part.cast("string") for part in parts]), F.lit("\n"))
 
 
-def inventory_fingerprint(df: DataFrame, chunk_rows: int = DIGEST_CHUNK_ROWS) -> DataFrame:
+def inventory_fingerprint(df: DataFrame) -> DataFrame:
     """Digest of path, width, height and bytes of every image in path order (A5)."""
     line = tab_line(*[F.col(c) for c in ("image_path", "image_width", "image_height", "image_bytes")])
     order = [F.col(c) for c in ("image_path", "image_width", "image_height", "image_bytes")]
     return ordered_digest(df.select("image_path", "image_width", "image_height", "image_bytes"),
-                          order, line, name="inventory_sha256", chunk_rows=chunk_rows)
+                          order, line, name="inventory_sha256")
 
 
 def referenced_assets(df: DataFrame, fields: Sequence[str], assets: DataFrame) -> DataFrame:
     """Distinct references per dataset joined to the asset listing; absent ones keep nulls."""
     wanted = references(df, fields, ["dataset_id"]).select("dataset_id", "path").distinct()
-    return wanted.join(assets.dropDuplicates(["path"]), "path", "left")
+    rest = [c for c in assets.columns if c != "path"]
+    # Of a path listed twice the least row counts, so that a rerun gives the same digest.
+    listed = assets.groupBy("path").agg(F.min(F.struct(*rest)).alias("_row")).select("path", "_row.*")
+    return wanted.join(listed, "path", "left")
 
 
 def metadata_fingerprint(
     df: DataFrame, assets: DataFrame, fields: Sequence[str] = PATH_COLUMNS,
-    chunk_rows: int = DIGEST_CHUNK_ROWS,
 ) -> DataFrame:
     """Digest of (path, size, mtime) or MISSING per dataset."""
     files = referenced_assets(df, fields, assets)
@@ -40,14 +42,13 @@ def metadata_fingerprint(
         tab_line(F.col("path"), F.col("size"), F.col("mtime"))
     )
     return ordered_digest(
-        files, [F.col("path")], line, ["dataset_id"], "metadata_sha256", chunk_rows,
+        files, [F.col("path")], line, ["dataset_id"], "metadata_sha256",
         {"bytes": F.col("size"), "missing": F.col("size").isNull().cast("long")},
     ).withColumnRenamed("lines", "files")
 
 
 def overall_fingerprint(
     df: DataFrame, assets: DataFrame, fields: Sequence[str] = PATH_COLUMNS,
-    chunk_rows: int = DIGEST_CHUNK_ROWS,
 ) -> DataFrame:
     """Digest over all datasets, each line led by its dataset, in dataset and path order."""
     files = referenced_assets(df, fields, assets)
@@ -56,7 +57,7 @@ def overall_fingerprint(
     )
     line = F.concat(F.col("dataset_id"), F.lit("\t"), tail)
     return ordered_digest(
-        files, [F.col("dataset_id"), F.col("path")], line, (), "metadata_sha256", chunk_rows
+        files, [F.col("dataset_id"), F.col("path")], line, (), "metadata_sha256"
     ).withColumnRenamed("lines", "file_count")
 
 
@@ -66,13 +67,13 @@ def missing_files(df: DataFrame, assets: DataFrame, fields: Sequence[str] = PATH
 
 
 def content_fingerprint(
-    df: DataFrame, contents: DataFrame, fields: Sequence[str], chunk_rows: int = DIGEST_CHUNK_ROWS
+    df: DataFrame, contents: DataFrame, fields: Sequence[str]
 ) -> DataFrame:
     """Digest of (path, size, content hash) per dataset (A7). ``contents``: path, size, sha256."""
     files = referenced_assets(df, fields, contents)
     line = tab_line(F.col("path"), F.coalesce("size", F.lit(0)), F.coalesce("sha256", F.lit("MISSING")))
     return ordered_digest(
-        files, [F.col("path")], line, ["dataset_id"], "aggregate_content_sha256", chunk_rows,
+        files, [F.col("path")], line, ["dataset_id"], "aggregate_content_sha256",
         {"bytes": F.col("size"), "missing": F.col("sha256").isNull().cast("long")},
     ).withColumnRenamed("lines", "files")
 

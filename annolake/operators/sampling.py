@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from annolake.operators.catalog import task_samples, union_catalogs
 from annolake.operators.order import ranked, running
-from annolake.session import small_side
 
 EMPTY_SHARE = 0.25
 
@@ -17,13 +16,13 @@ EMPTY_SHARE = 0.25
 def inverse_frequency_weights(df: DataFrame, label: str) -> DataFrame:
     """Weight 1/count of the row's class (M1); counted first, so no class is one window."""
     counts = df.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return df.join(small_side(counts), label)
+    return df.join(counts, label)
 
 
 def multilabel_weights(samples: DataFrame, labels: DataFrame, key: str = "sample_id", label: str = "label") -> DataFrame:
     """Largest 1/instance-count over a sample's labels; empty samples share 0.25 (M2)."""
     counts = labels.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("_w"))
-    best = labels.select(key, label).distinct().join(small_side(counts), label).groupBy(key).agg(F.max("_w").alias("_w"))
+    best = labels.select(key, label).distinct().join(counts, label).groupBy(key).agg(F.max("_w").alias("_w"))
     joined = samples.join(best, key, "left")
     empty = joined.agg(F.greatest(F.lit(1), F.count_if(F.col("_w").isNull())))
     return joined.select(
@@ -44,43 +43,43 @@ def positive_fraction_weights(df: DataFrame, positive: Column, fraction: float)
     )
 
 
-def weighted_sample(df: DataFrame, n: int, seed: int, key: str, weight: str = "weight") -> DataFrame:
+def weighted_sample(df: DataFrame, n: int, seed: int, key: str, weight: str = "weight", units: int = 1_000_000) -> DataFrame:
     """``n`` draws with replacement, in proportion to the weights, as (draw, row) (M4).
 
-    Rows sit at their cumulative weight, draws at random points up to the total. One running
-    count over both tells how many rows end at or before each draw, hence which row it hit.
+    Weights count in whole ``units``-ths, so sums are exact; rows of less than one count as weightless. A draw's point
+    is the leading 60 bits of sha256("seed:draw") modulo the total: the same on any cluster. Rows sit at their cumulative
+    weight in key order, and one running count over rows and draws tells how many rows end at or before each draw, hence
+    which row it hit.
     """
-    usable = df.where(F.col(weight) > 0)
-    placed = running(usable, [F.col(key)], sums={"_end": F.col(weight).cast("double")}, rank="_row")
+    usable = df.withColumn("_units", F.round(F.col(weight) * units).cast("long")).where("_units > 0")
+    placed = running(usable, [F.col(key)], sums={"_end": F.col("_units")}, rank="_row").drop("_units")
     total = placed.agg(F.max("_end")).first()[0]
     if total is None:
         raise ValueError("no row has a positive weight")
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), (F.rand(seed) * F.lit(total)).alias("_end"), F.lit(0).alias("_mark")
+        F.col("id").alias("draw"), F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(total)).alias("_end"), F.lit(0).alias("_mark")
     )
     marks = placed.select(F.lit(None).cast("long").alias("draw"), "_end", F.lit(1).alias("_mark"))
     # At equal points the row end comes first: the draw then belongs to the next row.
     both = running(
         draws.unionByName(marks), [F.col("_end"), F.col("_mark").desc(), F.col("draw")], sums={"_ended": F.col("_mark").cast("long")}
     )
-    last = placed.agg(F.max("_row")).first()[0]
-    hits = both.where(F.col("_mark") == 0).select("draw", F.least(F.col("_ended") + 1, F.lit(last)).alias("_row"))
+    hits = both.where(F.col("_mark") == 0).select("draw", (F.col("_ended") + 1).alias("_row"))
     return hits.join(placed.drop("_end"), "_row").drop("_row")
 
 
 def task_schedule(ratios: dict[str, int]) -> list[str]:
-    """Smooth weighted round-robin: at each step the task that is furthest behind its share."""
+    """The tasks of one period, each as evenly spread as its ratio allows.
+
+    Step s (from 1) goes to the task whose due share, s * ratio, is furthest ahead of the steps it has had.
+    """
     if not ratios or any(count <= 0 for count in ratios.values()):
         raise ValueError(f"invalid task ratios: {ratios}")
-    period = sum(ratios.values())
-    credit = dict.fromkeys(ratios, 0)
-    steps = []
-    for _ in range(period):
-        for task in ratios:
-            credit[task] += ratios[task]
-        winner = max(credit, key=credit.__getitem__)
-        credit[winner] -= period
-        steps.append(winner)
+    period, steps = sum(ratios.values()), []
+    while len(steps) < period:
+        due = {task: (len(steps) + 1) * ratio - period * steps.count(task) for task, ratio in ratios.items()}
+        steps.append(max(due, key=due.get))
     return steps
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.labels import canonical_label
 from annolake.presets import CATEGORY_IDS, LABEL_ALIASES, PALETTE
-from annolake.session import literal_table, small_side
+from annolake.session import literal_table
 
 MAPPED = ["category", "subtype", "attributes", "train_action"]
 
@@ -29,13 +29,13 @@ def map_taxonomy(
         raise ValueError(f"unknown fallback: {fallback}")
     packed = F.struct(*MAPPED)
     exact = taxonomy.select("dataset_id", F.col("raw_label").alias("_key"), packed.alias("_exact"))
-    result = df.withColumn("_key", F.col(raw)).join(small_side(exact), ["dataset_id", "_key"], "left")
+    result = df.withColumn("_key", F.col(raw)).join(exact, ["dataset_id", "_key"], "left")
     if fallback == "drop":
         chosen = F.col("_exact")
         result = result.where(F.col("_exact").isNotNull())
     elif fallback == "unknown":
         default = taxonomy.where(F.col("raw_label") == "UNKNOWN").select("dataset_id", packed.alias("_default"))
-        result = result.join(small_side(default), "dataset_id", "left")
+        result = result.join(default, "dataset_id", "left")
         chosen = F.coalesce("_exact", "_default", _other(""))
     else:
         loose = (
@@ -44,7 +44,7 @@ def map_taxonomy(
             .agg(F.min_by(packed, "raw_label").alias("_loose"))
         )
         result = result.withColumn("_canon", canonical_label(F.col(raw), aliases)).join(
-            small_side(loose), ["dataset_id", "_canon"], "left"
+            loose, ["dataset_id", "_canon"], "left"
         )
         chosen = F.coalesce("_exact", "_loose", _other("unmapped_source_class"))
     result = result.withColumn("_mapped", chosen)
@@ -93,7 +93,7 @@ def palette(spark: SparkSession, taxonomy: DataFrame, dataset_id: str = "vsb") -
 
 def decode_palette(pixels: DataFrame, colors: DataFrame) -> DataFrame:
     """Category id of each coloured pixel, 0 where the colour is unmapped."""
-    lookup = small_side(colors.select("color", F.col("category_id").alias("_id")))
+    lookup = colors.select("color", F.col("category_id").alias("_id"))
     return (
         pixels.join(lookup, "color", "left")
         .withColumn("category_id", F.coalesce("_id", F.lit(0)))

@@ -54,14 +54,19 @@ FIXTURES: dict[str, str] = {
                o_orderkey % 5000, o_orderkey % 5000 + 7 from {orders} where o_orderkey % 11 <> 0
         union all select distinct concat('arc/', cast(o_custkey % 100 as string), '.zip'), o_custkey % 100 + 5, 3
                from {orders} where o_custkey % 100 <> 42""",
+    # lineitem with one row per key, so that ids made of the key are unique.
+    "fx_items": """
+        select l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_quantity) as l_quantity, min(l_extendedprice) as l_extendedprice,
+               min(l_returnflag) as l_returnflag, min(l_linestatus) as l_linestatus, min(l_shipdate) as l_shipdate
+        from {lineitem} group by l_orderkey, l_linenumber, l_partkey, l_suppkey""",
     "fx_boxes": """
-        select l_orderkey % 500 as image_id, l_returnflag as class, l_linestatus = 'F' as is_pred, l_orderkey,
+        select cast(floor(l_orderkey / 20) as bigint) as image_id, l_returnflag as class, l_linestatus = 'F' as is_pred, l_orderkey,
                l_linenumber, l_partkey, l_suppkey,
                concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string),
                          cast(l_suppkey as string)) as box_id,
                cast(l_partkey % 40 as double) as x, cast(l_suppkey % 30 as double) as y, l_quantity as w,
                cast(5 + l_linenumber * 3 as double) as h, l_extendedprice as score
-        from {lineitem}""",
+        from {fx_items}""",
     "fx_pixels": """
         select user_id as image_id, cast(floor((event_id % 1024) / 32) as int) as y, cast(event_id % 32 as int) as x,
                max(event_type) as class, max(value) as v
@@ -92,14 +97,14 @@ FIXTURES: dict[str, str] = {
                case when o_orderstatus = 'F' and o_orderkey % 2 = 0 then 1 else 0 end as ignored_instance_count
         from {orders}""",
     "fx_annotations": """
-        select (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey as id, l_orderkey as image_id,
+        select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey as id, l_orderkey as image_id,
                case when l_returnflag = 'A' then 1 else 2 end as category_id,
                case when l_returnflag = 'A' then 'knot' else 'crack' end as category,
                cast(l_partkey % 60 as double) - 1.5 as x, cast(l_suppkey % 50 as double) as y,
                l_quantity as w, cast(l_linenumber * 4 as double) as h, l_shipdate, l_partkey
-        from {lineitem}""",
+        from {fx_items}""",
     "fx_shapes": """
-        select p_partkey % 400 as file_no, p_partkey as shape_no,
+        select cast(floor(p_partkey / 5) as bigint) as file_no, p_partkey as shape_no,
                concat(case when p_size % 5 = 4 then 'bogus' when p_size % 5 = 3 then 'resin' when p_size % 5 = 2 then 'crack'
                       else 'knot' end, '|na|', case when p_size % 2 = 0 then 'K' else 'X' end,
                       lpad(cast(p_size % 3 + 1 as string), 2, '0'), '|', case when p_size % 4 = 0 then 'partial' else 'clear' end,

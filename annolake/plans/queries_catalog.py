@@ -354,17 +354,30 @@ def _(spark, sf):
     return P.nonfinite_audit(df, "embedding", "vec_id")
 
 
-@query("quality_report", """
+def tree(name: str, keys: str, source: str) -> str:
+    """CTEs that end in ``name`` (keys, d, lines): the tree digest of ``source`` (keys, line, r from 0)."""
+    lead = keys + ", " if keys else ""
+    by = f"group by {lead}" if keys else "group by "
+    return f"""
+    {name}_1 as (select {lead}r // 4096 as a, sha256(string_agg(line, '' order by r)) as d, count(*) as n from ({source}) {by}a),
+    {name}_2 as (select {lead}a // 4096 as b, sha256(string_agg(d, '' order by a)) as d, sum(n) as n from {name}_1 {by}b),
+    {name} as (select {lead}sha256(string_agg(d, '' order by b)) as d, cast(sum(n) as bigint) as lines from {name}_2 {'group by ' + keys if keys else ''})"""
+
+
+_INVENTORY = tree("inv", "", """select concat(image_path, chr(9), image_width, chr(9), image_height, chr(9), image_bytes, chr(10)) as line,
+      row_number() over (order by image_path) - 1 as r from fx_catalog""")
+
+
+@query("quality_report", f"""
     with d as (select count(*) as n from (select image_path from fx_catalog group by 1 having count(*) > 1)),
     r as (select sample_id, image_path as p from fx_catalog union all select sample_id, ring_annotation_path from fx_catalog where ring_annotation_path <> ''
       union all select sample_id, split_part(substr(defect_mask_path, 7), '::', 1) from fx_catalog where defect_mask_path <> ''),
     m as (select count(*) as n from r where p not in (select path from fx_assets)),
     i as (select count(*) as n from fx_catalog where image_width <= 0 or image_height <= 0 or image_bytes <= 0),
     l as (select count(*) as n from (select group_id from fx_catalog group by 1 having count(distinct split) > 1)),
-    h as (select sha256(string_agg(concat(image_path, chr(9), image_width, chr(9), image_height, chr(9), image_bytes, chr(10)), ''
-      order by image_path)) as hex, count(*) as c from fx_catalog)
-    select h.c as total_images, d.n as duplicate_image_paths, m.n as missing_files, i.n as invalid_images, l.n as split_leaks,
-      hex as inventory_sha256, case when d.n + m.n + i.n + l.n = 0 then 'ok' else 'error' end as status from d, m, i, l, h""")
+    {_INVENTORY}
+    select inv.lines as total_images, d.n as duplicate_image_paths, m.n as missing_files, i.n as invalid_images, l.n as split_leaks,
+      inv.d as inventory_sha256, case when d.n + m.n + i.n + l.n = 0 then 'ok' else 'error' end as status from d, m, i, l, inv""")
 def _(spark, sf):
     fields = ["image_path", "ring_annotation_path", "defect_mask_path"]
     return quality_report(fixture(spark, sf, "fx_catalog"), fixture(spark, sf, "fx_assets"), fields)
@@ -373,22 +386,11 @@ def _(spark, sf):
 # Provenance --------------------------------------------------------------------------------
 
 
-@query("inventory_fingerprint", """
-    select sha256(string_agg(concat(image_path, chr(9), image_width, chr(9), image_height, chr(9), image_bytes, chr(10)), ''
-      order by image_path)) as inventory_sha256, count(*) as lines from fx_catalog""")
+@query("inventory_fingerprint", f"with {_INVENTORY} select d as inventory_sha256, lines from inv")
 def _(spark, sf):
     return V.inventory_fingerprint(fixture(spark, sf, "fx_catalog"))
 
 
-@query("inventory_fingerprint_chunked", """
-    with n as (select concat(image_path, chr(9), image_width, chr(9), image_height, chr(9), image_bytes, chr(10)) as line,
-      row_number() over (order by image_path) as r from fx_catalog),
-    k as (select (r - 1) // 1000 as chunk, sha256(string_agg(line, '' order by r)) as d, count(*) as c from n group by 1)
-    select case when count(*) = 1 then min(d) else sha256(string_agg(d, '' order by chunk)) end as inventory_sha256, cast(sum(c) as bigint) as lines from k""")
-def _(spark, sf):
-    return V.inventory_fingerprint(fixture(spark, sf, "fx_catalog"), chunk_rows=1000)
-
-
 _REFS = """
     refs as (select distinct dataset_id, p from (select dataset_id, image_path as p from fx_catalog
       union all select dataset_id, ring_annotation_path from fx_catalog where ring_annotation_path <> ''
@@ -398,26 +400,33 @@ _REFS = """
 _FIELDS = ["image_path", "ring_annotation_path", "defect_mask_path"]
 
 
+_SEEN = tree("t", "dataset_id", "select dataset_id, line, row_number() over (partition by dataset_id order by path) - 1 as r from seen")
+
+
 @query("metadata_fingerprint", f"""
-    with {_REFS} select dataset_id, count(*) as files, cast(coalesce(sum(size), 0) as bigint) as bytes, count(*) filter (where size is null) as missing,
-      sha256(string_agg(line, '' order by path)) as metadata_sha256 from seen group by 1""")
+    with {_REFS}, {_SEEN} select dataset_id, lines as files, bytes, missing, d as metadata_sha256 from t join (
+      select dataset_id, cast(coalesce(sum(size), 0) as bigint) as bytes, count(*) filter (where size is null) as missing from seen group by 1) using (dataset_id)""")
 def _(spark, sf):
     return V.metadata_fingerprint(fixture(spark, sf, "fx_catalog"), fixture(spark, sf, "fx_assets"), _FIELDS)
 
 
-@query("overall_fingerprint", f"""
-    with {_REFS} select sha256(string_agg(concat(dataset_id, chr(9), line), '' order by dataset_id, path)) as metadata_sha256,
-      count(*) as file_count from seen""")
+_OVERALL = tree("t", "", "select concat(dataset_id, chr(9), line) as line, row_number() over (order by dataset_id, path) - 1 as r from seen")
+
+
+@query("overall_fingerprint", f"with {_REFS}, {_OVERALL} select d as metadata_sha256, lines as file_count from t")
 def _(spark, sf):
     return V.overall_fingerprint(fixture(spark, sf, "fx_catalog"), fixture(spark, sf, "fx_assets"), _FIELDS)
 
 
-@query("content_fingerprint", """
+_CONTENT = tree("t", "dataset_id", """select dataset_id, concat(path, chr(9), size, chr(9), coalesce(h, 'MISSING'), chr(10)) as line,
+      row_number() over (partition by dataset_id order by path) - 1 as r from l""")
+
+
+@query("content_fingerprint", f"""
     with c as (select url as path, length(html) as size, sha256(html) as h, 'd' || cast(page_id % 3 as string) as dataset_id, page_id from pages),
-    l as (select dataset_id, path, page_id, case when page_id % 10 = 0 then 0 else size end as size, case when page_id % 10 = 0 then null else h end as h from c)
-    select dataset_id, count(*) as files, cast(sum(size) as bigint) as bytes, count(*) filter (where h is null) as missing,
-      sha256(string_agg(concat(path, chr(9), size, chr(9), coalesce(h, 'MISSING'), chr(10)), '' order by path)) as aggregate_content_sha256
-    from l group by 1""")
+    l as (select dataset_id, path, page_id, case when page_id % 10 = 0 then 0 else size end as size, case when page_id % 10 = 0 then null else h end as h from c),
+    {_CONTENT} select dataset_id, lines as files, bytes, missing, d as aggregate_content_sha256 from t join (
+      select dataset_id, cast(sum(size) as bigint) as bytes, count(*) filter (where h is null) as missing from l group by 1) using (dataset_id)""")
 def _(spark, sf):
     pages = fixture(spark, sf, "pages")
     df = pages.select(F.concat(F.lit("d"), (F.col("page_id") % 3).cast("string")).alias("dataset_id"), F.col("url").alias("image_path"))
@@ -443,10 +452,10 @@ def _snapshot(df, broken):
     return O.ordered_digest(rows, [F.col("path")], V.tab_line(F.col("path"), F.col("size")), ["dataset_id"], "metadata_sha256")
 
 
-_SNAPSHOT = """
-    b as (select c_mktsegment as dataset_id, sha256(string_agg(concat(c_name, chr(9), c_custkey, chr(10)), '' order by c_name)) as d from customer group by 1),
-    n as (select c_mktsegment as dataset_id, sha256(string_agg(concat(c_name, chr(9), case when c_custkey = 1 then c_custkey + 1000 else c_custkey end, chr(10)), '' order by c_name)) as d
-      from customer where c_mktsegment <> 'MACHINERY' group by 1)"""
+_SNAPSHOT = tree("b", "dataset_id", """select c_mktsegment as dataset_id, concat(c_name, chr(9), c_custkey, chr(10)) as line,
+      row_number() over (partition by c_mktsegment order by c_name) - 1 as r from customer""") + "," + tree("n", "dataset_id", """select
+      c_mktsegment as dataset_id, concat(c_name, chr(9), case when c_custkey = 1 then c_custkey + 1000 else c_custkey end, chr(10)) as line,
+      row_number() over (partition by c_mktsegment order by c_name) - 1 as r from customer where c_mktsegment <> 'MACHINERY'""")
 
 
 @query("compare_snapshots", f"""

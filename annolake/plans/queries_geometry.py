@@ -238,8 +238,8 @@ def _(spark, sf):
 
 # The lowest free numbers by plain definition: number the repeats, list the numbers not taken.
 _DEDUPE = """
-    lab as (select l_orderkey as file, ((l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey) as shape_index, case l_returnflag when 'A' then 'knot' when 'R' then 'crack' else 'resin' end as cat,
-      concat(case l_returnflag when 'A' then 'K' else 'C' end, lpad(cast(l_linenumber % 3 + 1 as string), 2, '0')) as iid, l_suppkey % 7 <> 0 as valid from lineitem),
+    lab as (select l_orderkey as file, ((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) as shape_index, case l_returnflag when 'A' then 'knot' when 'R' then 'crack' else 'resin' end as cat,
+      concat(case l_returnflag when 'A' then 'K' else 'C' end, lpad(cast(l_linenumber % 3 + 1 as string), 2, '0')) as iid, l_suppkey % 7 <> 0 as valid from fx_items),
     rep as (select *, row_number() over (partition by file, cat order by shape_index) as k from (
       select *, row_number() over (partition by file, cat, iid order by shape_index) as u from lab where valid) where u > 1),
     free as (select f.file, f.cat, n, row_number() over (partition by f.file, f.cat order by n) as k
@@ -251,11 +251,11 @@ _DEDUPE = """
     with {_DEDUPE} select lab.file, lab.shape_index, case when rep.k is not null then concat(case lab.cat when 'knot' then 'K' else 'C' end, lpad(cast(free.n as string), 2, '0')) end as new_id
     from lab left join rep using (file, cat, shape_index) left join free on free.file = lab.file and free.cat = lab.cat and free.k = rep.k where lab.valid""")
 def _(spark, sf):
-    raw = fixture(spark, sf, "lineitem")
+    raw = fixture(spark, sf, "fx_items")
     prefix = F.when(c("l_returnflag") == "A", "K").otherwise("C")
     label = F.concat(F.when(c("l_returnflag") == "A", "knot").when(c("l_returnflag") == "R", "crack").otherwise("resin"), F.lit("|na|"), prefix,
                      F.lpad((c("l_linenumber") % 3 + 1).cast("string"), 2, "0"), F.lit("|clear|0|0"))
-    df = raw.select(c("l_orderkey").alias("file"), ((c("l_linenumber").cast("long") * 1000000 + c("l_partkey")) * 1000 + c("l_suppkey")).alias("shape_index"),
+    df = raw.select(c("l_orderkey").alias("file"), ((c("l_linenumber").cast("long") * 1000000 + c("l_partkey")) * 100000 + c("l_suppkey")).alias("shape_index"),
                     parse_pipe_label(label).alias("parsed"), (c("l_suppkey") % 7 != 0).alias("valid"))
     return H.dedupe_instance_ids(df).select("file", "shape_index", "new_id")
 

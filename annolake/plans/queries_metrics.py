@@ -14,6 +14,7 @@ from annolake.operators import metrics as E
 from annolake.operators import sampling as N
 from annolake.plans.fixtures import fixture
 from annolake.plans.registry import query
+from annolake.presets import IOU_THRESHOLDS
 
 c = F.col
 _ROW = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -134,7 +135,18 @@ def _(spark, sf):
     return M.iou_pairs(*predictions(spark, sf), 0.5).select("image_id", "class", "pred_id", "gt_id", "iou")
 
 
-@query("match_detections")
+# The greedy rule step by step: pairs of a group in preference order, with the ids taken so far.
+_GREEDY = f"""
+    {_PAIRS}, sq as (select image_id, class, t, pred_id, gt_id, score, iou, row_number() over (partition by image_id, class, t order by score desc, pred_id, iou desc, gt_id) as n
+      from pr, (select unnest([{', '.join(map(repr, IOU_THRESHOLDS))}])::double as t) where iou >= t),
+    walk as (select image_id, class, t, n, pred_id, gt_id, score, iou, true as hit, [pred_id] as ps, [gt_id] as gs from sq where n = 1
+      union all select s.image_id, s.class, s.t, s.n, s.pred_id, s.gt_id, s.score, s.iou, not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id),
+        case when not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id) then list_append(ps, s.pred_id) else ps end,
+        case when not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id) then list_append(gs, s.gt_id) else gs end
+      from walk w join sq s on s.image_id = w.image_id and s.class = w.class and s.t = w.t and s.n = w.n + 1)"""
+
+
+@query("match_detections", f"with recursive {_GREEDY} select image_id, class, t as threshold, pred_id, gt_id, round(iou, 6) as iou from walk where hit")
 def match_detections(spark, sf):
     return M.match_detections(M.iou_pairs(*predictions(spark, sf), 0.5)).select("image_id", "class", "threshold", "pred_id", "gt_id", F.round("iou", 6).alias("iou"))
 
@@ -357,10 +369,14 @@ def _(spark, sf):
     return N.positive_fraction_weights(fixture(spark, sf, "fx_pred"), c("truth") == 1, 0.3).select("doc_id", "weight")
 
 
-@query("weighted_sample")
+@query("weighted_sample", """
+    with w as (select o_orderkey, cast(round(o_totalprice * (o_orderkey % 3) * 1000000) as bigint) as u from orders),
+    e as (select o_orderkey, u, cast(sum(u) over (order by o_orderkey rows unbounded preceding) as bigint) as e from w where u > 0),
+    d as (select range as draw, ('0x' || substr(sha256('11:' || range), 1, 15))::bigint % (select max(e) from e) as p from range((select count(*) from orders)))
+    select draw, o_orderkey from d asof join (select o_orderkey, e - u as b from e) on p >= b""")
 def _(spark, sf):
     df = fixture(spark, sf, "orders").select("o_orderkey", (c("o_totalprice") * (c("o_orderkey") % 3)).alias("weight"))
-    return N.weighted_sample(df, 5000, 11, "o_orderkey").select("draw", "o_orderkey")
+    return N.weighted_sample(df, df.count(), 11, "o_orderkey").select("draw", "o_orderkey")
 
 
 @query("weighted_sample_contract", """

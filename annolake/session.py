@@ -1,29 +1,32 @@
-"""Session helpers: reliable materialisation, size-checked broadcasts, scratch folders."""
+"""Session helpers: reliable materialisation, scratch folders."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder. Only a session on one machine may do without the setting."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/annolake-shared"
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="annolake-"))
-    return configured or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, readable by every executor."""
-    return f"{shared_dir(spark).rstrip('/')}/annolake-{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, readable by every executor, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/annolake-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -45,10 +48,5 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) ->
     return spark.createDataFrame(pa.table(arrays, schema=schema))
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when a count proves it small, else leave the join to Spark's shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

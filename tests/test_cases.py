@@ -174,11 +174,12 @@ def test_iou_pairs_are_all_pairs(spark, limit):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("group_limit", [10**9, 0])
-def test_greedy_matching(spark, group_limit):
+@pytest.mark.parametrize("batch", ["10000", "3"])
+def test_greedy_matching(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     p, g, preds, gts = _boxes(spark, 8, 120)
     thresholds = [0.5, 0.75]
-    got = {(r["threshold"], r["pred_id"], r["gt_id"]) for r in M.match_detections(M.iou_pairs(preds, gts, 0.5), thresholds, group_limit=group_limit).collect()}
+    got = {(r["threshold"], r["pred_id"], r["gt_id"]) for r in M.match_detections(M.iou_pairs(preds, gts, 0.5), thresholds).collect()}
     want = set()
     for t in thresholds:
         taken = set()
@@ -188,6 +189,7 @@ def test_greedy_matching(spark, group_limit):
             if best[0] >= t:
                 taken.add(best[1])
                 want.add((t, a[2], best[1]))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
 
 
