@@ -195,8 +195,15 @@ def detection_curves(preds: DataFrame, gts: DataFrame, matches: DataFrame, thres
     return curve, npos
 
 
-def detection_report(preds: DataFrame, gts: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, area: bool = False) -> DataFrame:
-    """Per class: support, AP50-95, AP50 and recall at 0.5."""
+def detection_report(
+    preds: DataFrame, gts: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, area: bool = False, kind: str = "box",
+) -> DataFrame:
+    """Per kind and class: support, AP50-95, AP50 and recall at 0.5.
+
+    ``pairs`` may come from boxes (``iou_pairs``) or from masks (``mask_pairs``, whose scores are those of ``preds``).
+    """
+    if "score" not in pairs.columns:
+        pairs = pairs.join(preds.select("image_id", "class", "pred_id", "score"), ["image_id", "class", "pred_id"])
     matches = stable(match_detections(pairs, thresholds))
     curve, npos = detection_curves(preds, gts, matches, thresholds)
     keys = ["class", "threshold"]
@@ -204,7 +211,7 @@ def detection_report(preds: DataFrame, gts: DataFrame, pairs: DataFrame, thresho
     recall = curve.groupBy(*keys).agg(F.max("recall").alias("recall"))
     full = ap.join(recall, keys, "left")
     low = F.col("threshold") == float(thresholds[0])
-    return full.groupBy("class").agg(
+    return full.groupBy(F.lit(kind).alias("kind"), "class").agg(
         F.max("npos").alias("support"), F.avg("ap").alias("ap50_95"),
         F.max(F.when(low, F.col("ap"))).alias("ap50"),
         F.coalesce(F.max(F.when(low, F.col("recall"))), F.lit(0.0)).alias("recall50"),
@@ -212,7 +219,7 @@ def detection_report(preds: DataFrame, gts: DataFrame, pairs: DataFrame, thresho
 
 
 def detection_means(report: DataFrame) -> DataFrame:
-    """mAP50-95, mAP50 and mean recall over classes that have truths."""
+    """mAP50-95, mAP50 and mean recall over classes that have truths, of a report of one kind."""
     held = report.where(F.col("support") > 0)
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     return held.agg(
@@ -252,6 +259,12 @@ def mask_quality(pairs: DataFrame, preds: DataFrame, gts: DataFrame, min_score:
     )
 
 
+def mask_quality_means(quality: DataFrame) -> DataFrame:
+    """Mean over classes of the per-class mask quality."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
+    return quality.agg(mean("gt_best_mask_iou"), mean("gt_best_mask_dice"))
+
+
 def weighted_score(metrics: DataFrame, weights: dict[str, float], keys: Sequence[str] = (), known: Sequence[str] | None = None) -> DataFrame:
     """Sum of weight times metric value, an absent metric counting 0.
 

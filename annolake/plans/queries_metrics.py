@@ -169,14 +169,34 @@ def _(spark, sf):
     return joined.select("class", "preds_in_reach", "gts_in_reach", zero("r_pred_id", "repeated_preds"), zero("r_gt_id", "repeated_gts"), zero("loose", "blocked_pairs"))
 
 
-@query("detection_report")
+def _report(walk: str, preds: str, truths: str) -> str:
+    """CTEs that end in curve rows ``cu`` and (class, threshold) grid ``gr``, from greedy steps, predictions and truths."""
+    return f"""
+    pl as (select image_id, class, pred_id, row_number() over (partition by class order by score desc, pred_id) as seen from ({preds})),
+    hc as (select class, t, seen, row_number() over (partition by class, t order by seen) as tp from {walk} w join pl using (image_id, class, pred_id) where hit),
+    np as (select class, count(*) as npos from ({truths}) group by 1), gr as (select class, npos, unnest([{', '.join(map(repr, IOU_THRESHOLDS))}])::double as t from np),
+    cu as (select hc.*, tp / seen as p, tp / npos as r from hc join np using (class)),
+    lv as (select class, t, npos, (select coalesce(max(p), 0) from cu where cu.class = gr.class and cu.t = gr.t and r >= k * 0.01::double) as b from gr, range(101) q(k)),
+    ap as (select class, t, npos, avg(b) as ap, (select coalesce(max(r), 0) from cu where cu.class = lv.class and cu.t = lv.t) as rec from lv group by 1, 2, 3)"""
+
+
+_PER_CLASS = """class, max(npos) as support, round(avg(ap), 6) as ap50_95, round(max(ap) filter (where t = 0.5), 6) as ap50,
+      round(max(rec) filter (where t = 0.5), 6) as recall50 from ap group by class"""
+_BOX_REPORT = _report("walk", "select image_id, class, box_id as pred_id, score from fx_boxes where is_pred", "select class from fx_boxes where not is_pred")
+
+
+@query("detection_report", f"with recursive {_GREEDY}, {_BOX_REPORT} select 'box' as kind, {_PER_CLASS}")
 def detection_report(spark, sf):
     preds, gts = predictions(spark, sf)
     df = E.detection_report(preds, gts, M.iou_pairs(preds, gts, 0.5))
-    return df.select("class", "support", *[F.round(k, 6).alias(k) for k in ("ap50_95", "ap50", "recall50")])
+    return df.select("kind", "class", "support", *[F.round(k, 6).alias(k) for k in ("ap50_95", "ap50", "recall50")])
 
 
-@query("detection_means")
+@query("detection_means", f"""
+    with recursive {_GREEDY}, {_BOX_REPORT}, ev as (select class, t, max(p) over (partition by class, t order by tp desc rows unbounded preceding) as e from cu),
+    ar as (select class, t, npos, coalesce((select sum(e) from ev where ev.class = gr.class and ev.t = gr.t), 0) / npos as ap,
+      coalesce((select max(r) from cu where cu.class = gr.class and cu.t = gr.t), 0) as rec from gr)
+    select round(avg(ap), 6) as map50_95, round(avg(ap) filter (where t = 0.5), 6) as map50, round(avg(rec) filter (where t = 0.5), 6) as macro_recall50 from ar""")
 def _(spark, sf):
     preds, gts = predictions(spark, sf)
     df = E.detection_means(E.detection_report(preds, gts, M.iou_pairs(preds, gts, 0.5), area=True))
@@ -256,6 +276,44 @@ def _(spark, sf):
     return df.select("class", "support", F.round("gt_best_mask_iou", 6).alias("gt_best_mask_iou"), F.round("gt_best_mask_dice", 6).alias("gt_best_mask_dice"))
 
 
+def mask_sides(pred_pixels, gt_pixels):
+    preds = pred_pixels.select("image_id", "class", "pred_id").distinct().withColumn("score", F.length("pred_id") / 10.0)
+    return preds, gt_pixels.select("image_id", "class", "gt_id").distinct()
+
+
+@query("mask_quality_means", f"""
+    with {_MASKS}, b as (select image_id, gt_id, iou, dice, row_number() over (partition by image_id, gt_id order by iou desc, length(pred_id) desc, pred_id desc) as r from mp where length(pred_id) / 10.0 >= 0.5),
+    g as (select distinct image_id, gt_id from gm), k as (select gt_id = 'g0' as class, avg(coalesce(iou, 0)) as i, avg(coalesce(dice, 0)) as d
+      from g left join (select * from b where r = 1) using (image_id, gt_id) group by 1)
+    select round(avg(i), 6) as gt_best_mask_iou, round(avg(d), 6) as gt_best_mask_dice from k""")
+def _(spark, sf):
+    """Truth g0 is a class of its own here; every prediction is offered to both classes."""
+    pred_pixels, gt_pixels = mask_rows(spark, sf)
+    gt_pixels = gt_pixels.withColumn("class", F.when(c("gt_id") == "g0", "b").otherwise("a"))
+    pred_pixels = pred_pixels.withColumn("class", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    preds, gts = mask_sides(pred_pixels, gt_pixels)
+    df = E.mask_quality_means(E.mask_quality(E.mask_pairs(pred_pixels, gt_pixels), preds, gts, 0.5))
+    return df.select(*[F.round(k, 6).alias(k) for k in df.columns])
+
+
+_MASK_GREEDY = f"""
+    {_MASKS}, sq as (select image_id, 'a' as class, t, pred_id, gt_id, row_number() over (partition by image_id, t order by length(pred_id) desc, pred_id, iou desc, gt_id) as n
+      from mp, (select unnest([{', '.join(map(repr, IOU_THRESHOLDS))}])::double as t) where iou >= t),
+    walk as (select image_id, class, t, n, pred_id, gt_id, true as hit, [pred_id] as ps, [gt_id] as gs from sq where n = 1
+      union all select s.image_id, s.class, s.t, s.n, s.pred_id, s.gt_id, not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id),
+        case when not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id) then list_append(ps, s.pred_id) else ps end,
+        case when not list_contains(ps, s.pred_id) and not list_contains(gs, s.gt_id) then list_append(gs, s.gt_id) else gs end
+      from walk w join sq s on s.image_id = w.image_id and s.t = w.t and s.n = w.n + 1)"""
+_MASK_REPORT = _report("walk", "select distinct image_id, 'a' as class, pred_id, length(pred_id) as score from pm", "select distinct image_id, 'a' as class, gt_id from gm")
+
+
+@query("detection_report_mask", f"with recursive {_MASK_GREEDY}, {_MASK_REPORT} select 'mask' as kind, {_PER_CLASS}")
+def _(spark, sf):
+    pixels = mask_rows(spark, sf)
+    df = E.detection_report(*mask_sides(*pixels), E.mask_pairs(*pixels), kind="mask")
+    return df.select("kind", "class", "support", *[F.round(k, 6).alias(k) for k in ("ap50_95", "ap50", "recall50")])
+
+
 @query("weighted_score", """
     select run, epoch, round(score * case metric when 'click' then 1.0 when 'error' then 0.5 else 0 end, 6) as score from fx_history""")
 def _(spark, sf):

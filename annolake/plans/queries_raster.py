@@ -197,7 +197,17 @@ def component_boxes(spark, sf):
     return df.join(kinds, "image_id").select("image_id", "class", "ann_id", "box", "width", "height")
 
 
-@query("match_boxes_to_components")
+@query("match_boxes_to_components", f"""
+    with recursive {_COMP}, {_UBOX}, kb as (select ub.*, k.class from ub join (select distinct image_id, class from fx_pixels) k using (image_id)),
+    ov as (select kb.image_id, kb.class, ann_id, component, count(*) as n from kb join (select * from lb join cp using (image_id, class, code)) p on p.image_id = kb.image_id and p.class = kb.class
+        and p.x >= greatest(0, trunc(kb.x)) and p.x < least(32, ceil(kb.x + w)) and p.y >= greatest(0, trunc(kb.y)) and p.y < least(32, ceil(kb.y + h)) group by 1, 2, 3, 4),
+    sq as (select *, row_number() over (partition by image_id, class order by ann_id, n desc, component) as k from ov),
+    walk as (select image_id, class, k, ann_id, component, n, true as hit, [ann_id] as bs, [component] as cs from sq where k = 1
+      union all select s.image_id, s.class, s.k, s.ann_id, s.component, s.n, not list_contains(bs, s.ann_id) and not list_contains(cs, s.component),
+        case when not list_contains(bs, s.ann_id) and not list_contains(cs, s.component) then list_append(bs, s.ann_id) else bs end,
+        case when not list_contains(bs, s.ann_id) and not list_contains(cs, s.component) then list_append(cs, s.component) else cs end
+      from walk w join sq s on s.image_id = w.image_id and s.class = w.class and s.k = w.k + 1)
+    select kb.image_id, kb.class, kb.ann_id, component, n as overlap from kb left join (select * from walk where hit) b on b.image_id = kb.image_id and b.class = kb.class and b.ann_id = kb.ann_id""")
 def _(spark, sf):
     return M.match_boxes_to_components(component_boxes(spark, sf), components(spark, sf))
 
