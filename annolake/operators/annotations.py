@@ -22,10 +22,12 @@ def renumber(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, Data
 
     Both carry ``source`` and the old ids, which are unique per (source, split).
     """
-    numbered = assign_dense_ids(images, ["source", "id"])
+    # Only keys are ranked; the other columns join back on them.
+    numbered = images.join(assign_dense_ids(images.select("source", "split", "id"), ["source", "id"]), ["source", "split", "id"])
     remap = numbered.select("source", "split", F.col("id").alias("image_id"), F.col("new_id").alias("new_image_id"))
-    moved = annotations.join(remap, ["source", "split", "image_id"])
-    moved = assign_dense_ids(moved, ["source", "image_id", "id"])
+    own = ["source", "split", "image_id", "id"]
+    placed = annotations.select(*own).join(remap, ["source", "split", "image_id"])
+    moved = annotations.join(assign_dense_ids(placed, ["source", "image_id", "id"]), own)
     return (
         numbered.withColumn("old_id", F.col("id")).withColumn("id", F.col("new_id")).drop("new_id"),
         moved.withColumn("old_id", F.col("id")).withColumn("id", F.col("new_id"))
@@ -109,7 +111,7 @@ def label_lines(images: DataFrame, annotations: DataFrame, sources: Sequence[str
     """Label text of every exported image, blank when it has no annotation.
 
     ``annotations``: id, image_id, category_id (1-based), bbox (xywh struct), polygons (flat).
-    Lines of one image are put together in annotation order.
+    Lines of one image are put together in order of annotation id, those of one id in text order.
     """
     stay = _export_flags(images, annotations, sources, segment).where(F.col("skipped").isNull())
     size = stay.select("image_id", F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"))

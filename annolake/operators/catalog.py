@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import scale_box, scale_factor, scale_polygons
 from annolake.functions.labels import resolve_reference, task_mask
+from annolake.operators.order import least_per_key
 
 
 def union_catalogs(frames: Sequence[DataFrame]) -> DataFrame:
@@ -27,9 +28,9 @@ def attach_children(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def reuse_metadata(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Take cached sizes where path and byte size both agree; flag what must be read."""
-    cached = cache.select(
+    cached = least_per_key(cache.select(
         "image_path", "image_bytes", F.col("image_width").alias("_w"), F.col("image_height").alias("_h")
-    ).dropDuplicates(["image_path", "image_bytes"])
+    ), "image_path", "image_bytes")
     known = (F.col("image_width") > 0) & (F.col("image_height") > 0) & (F.col("image_bytes") > 0)
     hit = F.col("_w").isNotNull()
     return (
@@ -100,7 +101,7 @@ def inheritance_violations(
     """Child rows whose parent is absent or carries another split or group."""
     known = parent.select(key, F.lit(True).alias("_found"), *[F.col(c).alias(f"_p_{c}") for c in columns])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in columns])
-    joined = child.join(known.dropDuplicates([key]), key, "left")
+    joined = child.join(least_per_key(known, key), key, "left")
     return joined.where(F.col("_found").isNull() | ~same).select(*child.columns)
 
 
@@ -109,7 +110,7 @@ def attach_annotation(assets: DataFrame, annotations: DataFrame, keys: Sequence[
 
     ``annotations`` has the keys, ``name`` and ``path``; candidates are tried in order.
     """
-    lookup = annotations.select(*keys, "name", "path").dropDuplicates([*keys, "name"])
+    lookup = least_per_key(annotations.select(*keys, "name", "path"), *keys, "name")
     result, found = assets, []
     for position, candidate in enumerate(names):
         column = f"_hit{position}"
@@ -128,9 +129,9 @@ def complete_sets(df: DataFrame, unit: str, member: str, expected: int) -> DataF
 
 def apply_override(df: DataFrame, overrides: DataFrame) -> DataFrame:
     """Use the normalised annotation path where there is one."""
-    table = overrides.select(
+    table = least_per_key(overrides.select(
         F.col("source_relative").alias("defect_annotation_path"), F.col("normalized_relative").alias("_normal")
-    ).dropDuplicates(["defect_annotation_path"])
+    ), "defect_annotation_path")
     return (
         df.join(table, "defect_annotation_path", "left")
         .withColumn("annotation_source", F.coalesce("_normal", "defect_annotation_path"))

@@ -14,6 +14,8 @@ from annolake.session import stable
 
 HASH_BITS = 64
 HOT_BUCKET = 2_000
+#: Blocks beyond the threshold: keys of this many blocks, at every size.
+SPARE_BLOCKS = 2
 
 
 def gray_cells(pixels: DataFrame, sizes: DataFrame, side: int = 32) -> DataFrame:
@@ -87,13 +89,6 @@ def resolve_hash(df: DataFrame, precomputed: DataFrame, cache: DataFrame) -> Dat
     )
 
 
-def _blocks_for(distinct: int, threshold: int) -> int:
-    """More blocks give longer keys, hence smaller buckets, at the price of more key sets."""
-    if distinct <= 200_000:
-        return threshold + 1
-    return threshold + (2 if distinct <= 20_000_000 else 3 if distinct <= 1_000_000_000 else 4)
-
-
 def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None, hot: int = HOT_BUCKET) -> DataFrame:
     """Unordered pairs of distinct 64-bit values within ``threshold`` bits, each exactly once.
 
@@ -111,7 +106,7 @@ def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None
         return empty.select(
             F.col("phash").alias("a"), F.col("phash").alias("b"), F.lit(0).cast("int").alias("distance")
         )
-    blocks = blocks or _blocks_for(values.count(), threshold)
+    blocks = blocks or threshold + SPARE_BLOCKS
     if not threshold < blocks <= HASH_BITS:
         raise ValueError("blocks must exceed the threshold")
     cuts = [round(i * HASH_BITS / blocks) for i in range(blocks + 1)]

@@ -125,7 +125,7 @@ def cumulative_pr(records: DataFrame, gt_counts: DataFrame, keys: Sequence[str])
     """
     keys = list(keys)
     curve = running(
-        records, [F.col("score").desc(), F.col("pred_id")], keys, rank="seen", sums={"tp_run": F.col("tp").cast("long")}
+        records.select(*keys, "pred_id", "score", "tp"), [F.col("score").desc(), F.col("pred_id")], keys, rank="seen", sums={"tp_run": F.col("tp").cast("long")}
     ).join(gt_counts, keys)
     return (
         curve.withColumn("fp_run", F.col("seen") - F.col("tp_run"))

@@ -156,6 +156,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return picked.select(*keys, *[F.col(f"_row.{name}").alias(name) for name in rest]).select(*df.columns)
 
 
+def least_per_key(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, the least by its other columns in their order, so that a rerun keeps the same one."""
+    rest = [name for name in df.columns if name not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def even_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``n`` rows at evenly spaced positions of the key order; all rows if there are fewer."""
     if n <= 0:

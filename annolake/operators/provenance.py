@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.operators.catalog import references
-from annolake.operators.order import ordered_digest
+from annolake.operators.order import least_per_key, ordered_digest
 from annolake.schema import PATH_COLUMNS
 
 
@@ -27,10 +27,7 @@ def inventory_fingerprint(df: DataFrame) -> DataFrame:
 def referenced_assets(df: DataFrame, fields: Sequence[str], assets: DataFrame) -> DataFrame:
     """Distinct references per dataset joined to the asset listing; absent ones keep nulls."""
     wanted = references(df, fields, ["dataset_id"]).select("dataset_id", "path").distinct()
-    rest = [c for c in assets.columns if c != "path"]
-    # Of a path listed twice the least row counts, so that a rerun gives the same digest.
-    listed = assets.groupBy("path").agg(F.min(F.struct(*rest)).alias("_row")).select("path", "_row.*")
-    return wanted.join(listed, "path", "left")
+    return wanted.join(least_per_key(assets, "path"), "path", "left")
 
 
 def metadata_fingerprint(

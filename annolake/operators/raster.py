@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_pixel_span, rotated
-from annolake.operators.order import ranked
 from annolake.presets import IGNORE_VALUE
 from annolake.session import stable
 
@@ -197,8 +196,9 @@ def ring_order(polygons: DataFrame) -> DataFrame:
     from annolake.functions.geometry import polygon_area
 
     sized = polygons.where(F.size("points") >= 3).withColumn("_area", polygon_area(F.col("points")))
-    numbered = ranked(sized, [F.col("_area"), F.col("shape_index")], ["image_id"], "_rank")
-    return numbered.withColumn("ring", (F.col("_rank") - 1).cast("int")).drop("_rank", "_area")
+    # The rings of one image are few, so a window holds one image.
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("_area", "shape_index"))
+    return sized.withColumn("ring", (place - 1).cast("int")).drop("_area")
 
 
 def ring_cover(rings: DataFrame) -> DataFrame:
@@ -370,7 +370,8 @@ def component_stats(components: DataFrame, keys: Sequence[str] = ("image_id", "c
         F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"),
         (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"),
     )
-    return ranked(stats, [F.col("component")], list(keys), "number")
+    # A window holds the components of one key group, an image and class.
+    return stats.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("component")).cast("long"))
 
 
 def column_runs(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolake.functions.geometry import polygon_area, rotated, shape_to_polygon, touches_frame
 from annolake.functions.labels import format_pipe_label, parse_pipe_label
-from annolake.operators.order import ranked
 from annolake.presets import CATEGORY_IDS
 from annolake.session import stable
 
@@ -41,7 +40,8 @@ def dedupe_instance_ids(shapes: DataFrame, keep_all: bool = False) -> DataFrame:
         "file", "shape_index", "_cat", F.when(letters == "", fallback).otherwise(letters).alias("_prefix")
     )
     slot = ["file", "_cat", "_prefix"]
-    repeats = ranked(repeats, [F.col("shape_index")], slot, "_k")
+    # A window holds the repeats of one label file.
+    repeats = repeats.withColumn("_k", F.row_number().over(Window.partitionBy(*slot).orderBy("shape_index")))
 
     # Numbers already used under a prefix: ids that read exactly prefix + two-digit number.
     taken = named.select("file", "_cat", "_id").distinct()

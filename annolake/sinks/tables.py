@@ -107,9 +107,10 @@ def coco_document_lines(images: DataFrame, annotations: DataFrame) -> DataFrame:
     ])))
 
     def listed(df: DataFrame, part: int, text: Column) -> DataFrame:
-        first = df.groupBy("split").agg(F.min("id").alias("_first"))
-        comma = F.when(F.col("id") == F.col("_first"), "").otherwise(",")
-        return df.join(F.broadcast(first), "split").select(
+        first = df.groupBy("split", "id").count().groupBy("split").agg(F.min(F.struct("id", "count")).alias("_first"))
+        comma = F.when(F.col("id") != F.col("_first.id"), ",").when(F.col("_first.count") == 1, "").otherwise(
+            F.raise_error(F.lit("ids of a COCO document must be unique")))
+        return df.join(first, "split").select(
             "split", F.lit(part).alias("part"), F.col("id").cast("long").alias("id"), F.concat(comma, text).alias("line")
         )
 

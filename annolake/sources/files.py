@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from annolake import schema
 from annolake.functions.geometry import center_to_xywh, clip_box, corners_to_xywh
 from annolake.functions.labels import none_if_blank
+from annolake.operators.order import least_per_key
 
 # Image file extensions.
 IMAGE_EXTENSIONS = ("bmp", "jpg", "jpeg", "png")
@@ -79,8 +81,8 @@ def read_key_set(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Distinct trimmed non-blank values of one CSV column; empty if the file is absent (S3)."""
     try:
         raw = spark.read.csv(path, header=True)
-    except Exception as error:  # Spark reports a missing path only as an analysis error
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{key} string")
     value = F.trim(F.col(f"`{key}`"))
@@ -232,9 +234,9 @@ def read_metrics_log(spark: SparkSession, path: str, kind: T.StructType | str) -
 
 def read_prebuilt_manifest(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Adopt an outside manifest with its fixed split; inventory counts default to 0."""
-    counted = inventory.select(
+    counted = least_per_key(inventory.select(
         "sample_id", F.coalesce(F.col("excluded_instance_count").try_cast("int"), F.lit(0)).alias("_excluded")
-    ).dropDuplicates(["sample_id"])
+    ), "sample_id")
     return manifest.join(counted, "sample_id", "left").withColumn(
         "ignored_defect_instance_count", F.coalesce("_excluded", F.lit(0))
     ).drop("_excluded")
