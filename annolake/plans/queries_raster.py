@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.functions.geometry import xywh
+from annolake.functions.geometry import shape_to_polygon, xywh
 from annolake.operators import matching as M
 from annolake.operators import raster as R
 from annolake.operators import taxonomy as X
@@ -31,12 +31,14 @@ _GRID = "gr as (select image_id, cast(r.range as int) as y, cast(s.range as int)
 
 
 def polygons(spark, sf):
-    df = shape_points(fixture(spark, sf, "fx_shapes")).where("shape_type = 'polygon'")
+    """Polygons and rectangles alike, as closed outlines."""
+    df = shape_points(fixture(spark, sf, "fx_shapes")).withColumn("points", shape_to_polygon(c("shape_type"), c("points"))).where("size(points) > 0")
     return df.select(c("shape_no").alias("image_id"), "points", F.lit(64).alias("width"), F.lit(60).alias("height"))
 
 
 _POLY = """
-    pts as (select shape_no as image_id, [[x, y], [x + w, y + 2], [x + w - 3, y + h], [x - 1, y + h + 1]] as p from fx_shapes where shape_type = 'polygon'),
+    pts as (select shape_no as image_id, [[x, y], [x + w, y + 2], [x + w - 3, y + h], [x - 1, y + h + 1]] as p from fx_shapes where shape_type = 'polygon'
+      union all select shape_no, [[x, y], [x + w, y], [x + w, y + h], [x, y + h]] from fx_shapes where shape_type = 'rectangle' and w > 0 and h > 0),
     ed as (select image_id, p[i] as a, p[i % 4 + 1] as b from (select *, unnest(range(1, 5)) as i from pts))"""
 
 
@@ -96,14 +98,14 @@ def _(spark, sf):
 
 
 def user_boxes(spark, sf):
-    """One box per supplier on the pixel grid, assigned to images by key."""
-    return fixture(spark, sf, "supplier").select(
-        (c("s_suppkey") % 150).alias("image_id"), c("s_suppkey").alias("ann_id"),
-        xywh((c("s_suppkey") % 23) + 0.5, (c("s_suppkey") % 19) - 1.25, F.lit(7.0), (c("s_nationkey") % 9) + 1.0).alias("box"),
+    """One box per customer on the pixel grid, ten to an image."""
+    return fixture(spark, sf, "customer").select(
+        F.floor(c("c_custkey") / 10).alias("image_id"), c("c_custkey").alias("ann_id"),
+        xywh((c("c_custkey") % 23) + 0.5, (c("c_custkey") % 19) - 1.25, F.lit(7.0), (c("c_nationkey") % 9) + 1.0).alias("box"),
         F.lit(32).alias("width"), F.lit(32).alias("height"))
 
 
-_UBOX = "ub as (select s_suppkey % 150 as image_id, s_suppkey as ann_id, (s_suppkey % 23) + 0.5 as x, (s_suppkey % 19) - 1.25 as y, 7.0 as w, (s_nationkey % 9) + 1.0 as h from supplier)"
+_UBOX = "ub as (select c_custkey // 10 as image_id, c_custkey as ann_id, (c_custkey % 23) + 0.5 as x, (c_custkey % 19) - 1.25 as y, 7.0 as w, (c_nationkey % 9) + 1.0 as h from customer)"
 
 
 @query("ignore_boxes", f"""
@@ -249,14 +251,14 @@ def _(spark, sf):
     cand as (select image_id, cast(r.range as int) as y, cast(s.range as int) as x from pts, range(60) r, range(64) s where image_id % 3 <> 0
       and r.range between p[1][2] and p[1][2] + 16 and s.range between p[1][1] - 4 and p[1][1] + 20),
     hit as (select image_id, y, x from cand join ed using (image_id) group by 1, 2, 3 having count(*) filter (where (a[2] > y) <> (b[2] > y) and x < (b[1] - a[1]) * (y - a[2]) / (b[2] - a[2]) + a[1]) % 2 = 1)
-    select image_id % 100 as image_id, y, x, max(category_id) as category_id from (select image_id, y, x, 2 as category_id from hit union all select image_id, y, x, 1 from bx) group by 1, 2, 3""")
+    select image_id // 20 as image_id, y, x, max(category_id) as category_id from (select image_id, y, x, 2 as category_id from hit union all select image_id, y, x, 1 from bx) group by 1, 2, 3""")
 def _(spark, sf):
     df = polygons(spark, sf)
-    first = c("points").getItem(0)
+    first = F.get(c("points"), 0)
     boxed = c("image_id") % 3 == 0
     ann = df.select(
-        (c("image_id") % 100).alias("image_id"), c("image_id").alias("ann_id"), F.when(boxed, 1).otherwise(2).alias("category_id"),
-        F.when(~boxed, F.array("points")).alias("polygons"), xywh(first.getItem(0), first.getItem(1), F.lit(6.0), F.lit(6.0)).alias("box"), "width", "height")
+        F.floor(c("image_id") / 20).alias("image_id"), c("image_id").alias("ann_id"), F.when(boxed, 1).otherwise(2).alias("category_id"),
+        F.when(~boxed, F.array("points")).alias("polygons"), xywh(F.get(first, 0), F.get(first, 1), F.lit(6.0), F.lit(6.0)).alias("box"), "width", "height")
     return R.paint_annotations(ann)
 
 
