@@ -1,7 +1,8 @@
 """Whole texts to ids with a public tokenizer, fast where texts share words.
 
 Both vocabularies split texts at spaces before they merge, so the ids of a text are those of its space-separated chunks, one
-after the other. A worker keeps the ids of the chunks it has met, up to a bound, and gives the library only new ones.
+after the other, and those of a chunk are those of its words. A worker keeps the ids of the chunks and words it has met, up
+to a bound, and gives the library only new words: many in one call, as the ids show where a word begins or ends.
 """
 
 from __future__ import annotations
@@ -12,13 +13,30 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
+import regex
 
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS, CACHED_WORDS = 250_000, 400_000
 SLICE_CHARS = 4 << 20
+TOGETHER = 500
+# Fixed value: the word pattern of the lower-casing vocabulary.
+LOWER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _keep(known: dict, new: list, bound: int) -> None:
+    """Take back what was added beyond the bound."""
+    for key in new[max(0, bound - (len(known) - len(new))):]:
+        del known[key]
 
 
 class ChunkTokenizer:
-    """ids of texts as little-endian unsigned 32-bit bytes. ``leading``: a chunk keeps the space before it."""
+    """ids of texts as little-endian unsigned 32-bit bytes.
+
+    ``leading``: words keep the space before them and nothing is normalized (byte-level vocabulary); else words are
+    lower-cased and end in a mark (word-end vocabulary). The latter normalizes Unicode, so its chunks are split here only
+    if they hold nothing but letters and signs up to U+024F, less the dotted capital I, which normalize to themselves but
+    for case; other chunks go to the library whole.
+    """
 
     def __init__(self, path: str, leading: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,26 +45,64 @@ class ChunkTokenizer:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         self._leading = leading
-        self._known: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        vocabulary = self._library.get_vocab()
+        self._marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self._marks[number] = token.startswith("\u0120") if leading else token.endswith("</w>")
+        self._split = regex.compile(public_tokenizers.PATTERN if leading else LOWER_PATTERN).findall
+        self._plain = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
         # A space is a boundary where a visible character follows it.
         self._cut = re.compile(r" (?=\S)").split if leading else functools.partial(str.split, sep=" ")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """ids of words that the library tells apart in one text."""
+        text = ("" if self._leading else " ").join(words)
+        ids = np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        marked = np.flatnonzero(self._marks[ids])
+        cuts = marked if self._leading else np.concatenate(([0], marked + 1))
+        if len(marked) != len(words) or cuts[0]:
+            return self._ids(words)
+        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _learn_words(self, words: Iterable[str]) -> list[str]:
+        new = list(set(words).difference(self._words))
+        clear = [w for w in new if not self._leading or w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        for at in range(0, len(clear), TOGETHER):
+            some = clear[at:at + TOGETHER]
+            self._words.update(zip(some, self._joined(some)))
+        rest = [w for w in new if w not in self._words]
+        self._words.update(zip(rest, self._ids(rest)))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(text) for text in texts]
-        heads = self._ids([pieces[0] for pieces in cut])
-        tails = [pieces[1:] for pieces in cut]
-        known = self._known
-        new = list(set().union(*tails).difference(known)) if tails else []
-        lead = " " if self._leading else ""
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            known.update(zip(some, self._ids([lead + piece for piece in some])))
-        out = [head + b"".join(map(known.__getitem__, tail)) for head, tail in zip(heads, tails)]
-        for piece in new[max(0, CACHED_CHUNKS - (len(known) - len(new))):]:
-            del known[piece]
+        heads = [pieces.pop(0) for pieces in cut] if self._leading else []
+        new = list(set().union(*cut).difference(self._chunks))
+        if self._leading:
+            split = [self._split(" " + chunk) for chunk in new]
+            split_heads = [self._split(head) for head in heads]
+            whole: list[str] = []
+            own = new
+        else:
+            own = [chunk for chunk in new if self._plain(chunk)]
+            whole = [chunk for chunk in new if not self._plain(chunk)]
+            split, split_heads = [self._split(chunk.lower()) for chunk in own], []
+        words = self._words
+        new_words = self._learn_words(word for part in (split, split_heads) for some in part for word in some)
+        self._chunks.update((chunk, b"".join([words[w] for w in some])) for chunk, some in zip(own, split))
+        self._chunks.update(zip(whole, self._ids(whole)))
+        find = self._chunks.__getitem__
+        out = [b"".join(map(find, pieces)) for pieces in cut]
+        if self._leading:
+            out = [b"".join([*(words[w] for w in head), tail]) for head, tail in zip(split_heads, out)]
+        _keep(self._chunks, own + whole, CACHED_CHUNKS)
+        _keep(words, new_words, CACHED_WORDS)
         return out
 
 
