@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FRAME_TOLERANCE = 1.5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decimal_units(value: Column, digits: int) -> Column:
     """|value| in units of 10^-digits, rounded to the nearest, exact ties to even.
 
@@ -15,31 +22,33 @@ def decimal_units(value: Column, digits: int) -> Column:
     the value is split in halves whose products with 10^digits are exact, so the comparison
     with one half is exact too.
     """
-    v = F.abs(value.cast("double"))
-    scaled = v * F.lit(134217729.0)
-    high = scaled - (scaled - v)
-    a, b = high * F.lit(10.0**digits), (v - high) * F.lit(10.0**digits)
-    whole = F.floor(a)
-    carry = F.floor((a - whole) + b)
-    units = whole + carry
-    side = ((a - whole) - carry - 0.5) + b
-    up = (side > 0) | ((side == 0) & (units % 2 == 1))
-    return units + up.cast("long")
+    power = F.lit(10.0**digits)
+
+    def halves(v: Column) -> Column:
+        return let(v * F.lit(134217729.0), lambda scaled: let(
+            scaled - (scaled - v), lambda high: F.struct((high * power).alias("a"), ((v - high) * power).alias("b"))))
+
+    def nearest(p: Column) -> Column:
+        whole = F.floor(p["a"])
+        return let(F.struct(whole.alias("whole"), F.floor((p["a"] - whole) + p["b"]).alias("carry")), lambda q: let(
+            ((p["a"] - q["whole"]) - q["carry"] - 0.5) + p["b"],
+            lambda side: q["whole"] + q["carry"] + ((side > 0) | ((side == 0) & ((q["whole"] + q["carry"]) % 2 == 1))).cast("long")))
+
+    return let(F.abs(value.cast("double")), lambda v: let(halves(v), nearest))
 
 
 def round_half_even(value: Column, digits: int) -> Column:
     """The double nearest to the value rounded to ``digits`` decimals, exact ties to even."""
     rounded = decimal_units(value, digits) / F.lit(10.0**digits)
-    return F.when(value < 0, -rounded).otherwise(rounded)
+    return rounded * F.when(value < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
 def fixed_text(value: Column, digits: int) -> Column:
     """Fixed-point text with ``digits`` decimals, exact ties to even."""
-    units, base = decimal_units(value, digits), F.lit(10**digits)
-    return F.concat(
-        F.when(value < 0, "-").otherwise(""), F.floor(units / base).cast("string"), F.lit("."),
-        F.lpad((units % base).cast("string"), digits, "0"),
-    )
+    base = F.lit(10**digits)
+    number = let(decimal_units(value, digits), lambda units: F.concat(
+        F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), digits, "0")))
+    return F.concat(F.when(value < 0, "-").otherwise(""), number)
 
 
 def xywh(x: Column, y: Column, w: Column, h: Column) -> Column:

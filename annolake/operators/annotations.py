@@ -7,9 +7,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.geometry import yolo_box_line, yolo_polygon_line
+from annolake.functions.geometry import (
+    box_area, box_array, flat_polygon, polygon_area, polygon_bbox, round_half_even, shape_type_geometry, yolo_box_line, yolo_polygon_line,
+)
 from annolake.operators.order import ranked
-from annolake.presets import NORMAL_SOURCES
+from annolake.operators.shapes import parsed_shapes
+from annolake.operators.taxonomy import category_id, map_taxonomy, partition_targets
+from annolake.presets import CATEGORY_IDS, IGNORE_REASON, NORMAL_SOURCES
+
+BOX_DIGITS = 4
+
+
+def _annotation_columns(keys: Sequence[str], area: Column, polygons: Column, geometry: Column) -> list[Column]:
+    return [
+        *[F.col(k) for k in keys], category_id(F.col("category")).alias("category_id"), "category", "subtype", "attributes",
+        "source_class", "instance_id", box_array(F.col("box")).alias("bbox"), area.alias("area"), F.lit(0).alias("iscrowd"),
+        polygons.alias("polygons"), geometry.alias("geometry_type"),
+    ]
+
+
+def annotations_from_boxes(
+    boxes: DataFrame, taxonomy: DataFrame, keys: Sequence[str] = ("image_id",), fallback: str = "unknown", accept_missing_action: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Annotation rows of labelled pixel boxes, and the ignore regions of the others.
+
+    ``boxes``: keys, dataset_id, raw_label, box (xywh) and, where the source knows it, truncated.
+    """
+    mapped = map_taxonomy(boxes, taxonomy, fallback=fallback)
+    if "truncated" in boxes.columns:
+        mapped = mapped.withColumn("attributes", F.when(
+            F.col("truncated"), F.array_union("attributes", F.array(F.lit("truncated")))).otherwise(F.col("attributes")))
+    mapped = mapped.withColumn("source_class", F.col("raw_label")).withColumn("instance_id", F.lit(None).cast("string"))
+    targets, rest = partition_targets(mapped, accept_missing_action)
+    area = round_half_even(box_area(F.col("box")), BOX_DIGITS)
+    none = F.lit(None).cast("array<array<double>>")
+    return (
+        targets.select(*_annotation_columns(keys, area, none, F.lit("bbox"))),
+        rest.select(*keys, box_array(F.col("box")).alias("bbox"), "source_class", F.lit(IGNORE_REASON).alias("reason")),
+    )
+
+
+def annotations_from_shapes(shapes: DataFrame, keys: Sequence[str] = ("file",)) -> tuple[DataFrame, DataFrame]:
+    """Annotation rows of polygon label files, and the ignore regions of their other classes.
+
+    ``shapes``: keys, label, shape_type, points. Shapes without a readable label or outline give neither.
+    """
+    rows = parsed_shapes(shapes).where(F.col("parsed").isNotNull() & (F.size("polygon") >= 3))
+    label = F.col("parsed")
+    attributes = F.array_compact(F.array(
+        F.when(label["truncated"], "truncated"),
+        F.when(label["visibility"] != "clear", F.concat(F.lit("visibility_"), label["visibility"])),
+        F.when(label["affects_rings"], "affects_rings"),
+    ))
+    rows = rows.select(
+        *keys, "polygon", "shape_type", F.col("label").alias("source_class"), label["category"].alias("category"), label["subtype"].alias("subtype"),
+        attributes.alias("attributes"), label["instance_id"].alias("instance_id"), polygon_bbox(F.col("polygon")).alias("box"))
+    primary = F.col("category").isin(list(CATEGORY_IDS))
+    outline = F.array(flat_polygon(F.col("polygon")))
+    return (
+        rows.where(primary).select(*_annotation_columns(keys, polygon_area(F.col("polygon")), outline, shape_type_geometry(F.col("shape_type")))),
+        rows.where(~primary).select(*keys, box_array(F.col("box")).alias("bbox"), "source_class", F.lit(IGNORE_REASON).alias("reason")),
+    )
+
+
+def with_ignore_regions(images: DataFrame, ignored: DataFrame, key: str = "image_id", image_key: str = "id") -> DataFrame:
+    """Images with their ignore regions in box order and their number."""
+    regions = ignored.groupBy(F.col(key).alias("_image")).agg(
+        F.sort_array(F.collect_list(F.struct("bbox", "source_class", "reason"))).alias("_regions"))
+    kept = [c for c in images.columns if c not in ("ignore_bboxes", "ignored_instance_count")]
+    empty = F.array().cast("array<struct<bbox:array<double>,source_class:string,reason:string>>")
+    return images.join(regions, F.col(image_key) == F.col("_image"), "left").select(
+        *kept, F.coalesce("_regions", empty).alias("ignore_bboxes"), F.coalesce(F.size("_regions"), F.lit(0)).alias("ignored_instance_count"))
 
 
 def assign_dense_ids(df: DataFrame, order: Sequence[str], by: Sequence[str] = ("split",), name: str = "new_id") -> DataFrame:

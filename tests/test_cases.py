@@ -514,3 +514,24 @@ def test_merge_and_duplicate_audit(spark):
     audit = build.audit_duplicates(catalog, hashes([("a", "a.png", 12)]), hashes([("zz", "none", 1)]), hashes([("b", "b.png", 13)]))
     assert audit["candidates"].count() == 1 and audit["summary"].first()["cross_split_candidates"] == 1
     assert rows(audit["sources"], "hash_source", "hashes") == [("computed", 1), ("precomputed", 1)]
+
+
+def test_coco_document_parses(spark, tmp_path):
+    images = spark.createDataFrame([(i, f"f{i}.png", "train" if i % 3 else "test") for i in range(1, 12)], "id long, file_name string, split string")
+    rows = images.select((F.col("id") * 7).alias("id"), F.col("id").alias("image_id"), "split", F.array(F.lit(1.0), F.lit(2.0)).alias("bbox"),
+                         F.array(F.array(F.lit(0.0), F.lit(1.5))).alias("polygons"))
+    K.write_coco(images, rows, str(tmp_path / "coco"))
+    for split in ("train", "test"):
+        parts = sorted((tmp_path / "coco" / f"split={split}").glob("part-*"))
+        document = json.loads("".join(p.read_text() for p in parts))
+        ids = sorted(r["id"] for r in images.where(F.col("split") == split).collect())
+        assert [i["id"] for i in document["images"]] == ids and [a["id"] for a in document["annotations"]] == [7 * i for i in ids]
+        assert document["annotations"][0]["segmentation"] == [[0.0, 1.5]]
+    with pytest.raises(Exception, match="must be unique"):
+        K.coco_document_lines(images.union(images), rows).collect()
+
+
+def test_weighted_draws_do_not_depend_on_the_layout(spark):
+    df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 5).cast("double").alias("weight"))
+    draws = [sorted(tuple(r) for r in N.weighted_sample(df.repartition(n), 200, 3, "key").select("draw", "key").collect()) for n in (2, 7)]
+    assert draws[0] == draws[1] and len(draws[0]) == 200 and all(k % 5 for _, k in draws[0])
