@@ -234,24 +234,70 @@ def non_nested_pairs(rings: DataFrame) -> DataFrame:
     )
 
 
-def ring_targets(polygons: DataFrame, sizes: DataFrame, boundary_width: int = 5, tau: float = DISTANCE_TAU) -> DataFrame:
-    """Skeleton, boundary, distance, instance and valid of every pixel."""
-    radius = max(0, (boundary_width - 1) // 2)
+def _targets(
+    skeleton: DataFrame, sizes: DataFrame, valid: DataFrame | None, instance: DataFrame | None, boundary_width: int, tau: float,
+) -> DataFrame:
+    """The five target layers on the whole grid; without ``valid`` every pixel is, without ``instance`` all are 0."""
     spot = ["image_id", "y", "x"]
+    flag = lambda df, name: df.select(*spot, F.lit(True).alias(name)).distinct()
+    layers = truncated_distance(skeleton, sizes, valid, tau).join(flag(skeleton, "_skeleton"), spot, "left")
+    layers = layers.join(flag(dilate(skeleton, max(0, (boundary_width - 1) // 2), sizes), "_thick"), spot, "left")
+    inside = F.lit(True)
+    if valid is not None:
+        layers, inside = layers.join(flag(valid, "_valid"), spot, "left"), F.coalesce("_valid", F.lit(False))
+    number = F.lit(0)
+    if instance is not None:
+        layers, number = layers.join(instance.select(*spot, "instance"), spot, "left"), F.coalesce("instance", F.lit(0))
+    yes = lambda name: F.coalesce(name, F.lit(False))
+    return layers.select(
+        *spot, yes("_skeleton").alias("skeleton"), (yes("_thick") & inside).alias("boundary"), "distance", number.alias("instance"), inside.alias("valid"))
+
+
+def ring_targets(polygons: DataFrame, sizes: DataFrame, boundary_width: int = 5, tau: float = DISTANCE_TAU) -> DataFrame:
+    """Skeleton, boundary, distance, instance and valid of every pixel, from closed outlines."""
     rings = ring_order(polygons)
-    skeleton = trace_lines(rings, ["image_id"], closed=True)
     labels = ring_instances(rings)
-    thick = dilate(skeleton, radius, sizes)
-    flag = lambda df, name: df.select(*spot, F.lit(True).alias(name))
-    yes = lambda name: F.coalesce(name, F.lit(False)).alias(name)
-    return (
-        truncated_distance(skeleton, sizes, labels.where("valid"), tau)
-        .join(labels, spot, "left").join(flag(skeleton, "skeleton"), spot, "left").join(flag(thick, "_thick"), spot, "left")
-        .select(
-            *spot, yes("skeleton"), (yes("_thick") & yes("valid")).alias("boundary"), "distance",
-            F.coalesce("instance", F.lit(0)).alias("instance"), yes("valid"),
-        )
-    )
+    skeleton = trace_lines(rings, ["image_id"], closed=True)
+    return _targets(skeleton, sizes, labels.where("valid"), labels, boundary_width, tau)
+
+
+def ring_targets_raster(labels: DataFrame, sizes: DataFrame, boundary_width: int = 5, tau: float = DISTANCE_TAU) -> DataFrame:
+    """The same layers from a raster of ring numbers, ``value`` per pixel; every pixel is valid."""
+    return _targets(label_skeleton(labels).where("skeleton").select("image_id", "y", "x"), sizes, None, None, boundary_width, tau)
+
+
+def ring_targets_lines(
+    polylines: DataFrame, sizes: DataFrame, mask: DataFrame | None = None, boundary_width: int = 5, tau: float = DISTANCE_TAU, level: int = 128,
+) -> DataFrame:
+    """The same layers from open polylines; ``mask`` (image_id, y, x, value) leaves pixels of at least ``level`` valid."""
+    skeleton = trace_lines(polylines, ["image_id"], closed=False)
+    if mask is None:
+        return _targets(skeleton, sizes, None, None, boundary_width, tau)
+    return _targets(
+        apply_valid_mask(skeleton, mask, level), sizes, mask.where(F.col("value") >= level).select("image_id", "y", "x"), None, boundary_width, tau)
+
+
+def ring_index(samples: DataFrame, targets: DataFrame, nested: DataFrame | None = None) -> DataFrame:
+    """One row per sample: pixel counts, rings and instances of its targets, or an error row.
+
+    ``samples``: image_id and the descriptive index columns, width and height among them; ``nested`` is the result of
+    ``non_nested_pairs``. A sample of unknown size, or without any outline, is an error row without counts.
+    """
+    counts = targets.groupBy("image_id").agg(
+        F.count_if("skeleton").alias("skeleton_pixels"), F.count_if("valid").alias("valid_pixels"), F.max("instance").alias("instance_count"),
+        (F.max("x") + 1).alias("target_width"), (F.max("y") + 1).alias("target_height"))
+    rows = samples.join(counts, "image_id", "left")
+    rings = F.lit(0), F.lit(0)
+    if nested is not None:
+        rows = rows.join(nested.select("image_id", "closed_rings", F.col("non_nested_pairs").alias("_loose")), "image_id", "left")
+        rings = F.coalesce("closed_rings", F.lit(0)), F.coalesce("_loose", F.lit(0))
+    error = F.when((F.coalesce("width", F.lit(0)) <= 0) | (F.coalesce("height", F.lit(0)) <= 0), "unknown image size").when(
+        F.coalesce("skeleton_pixels", F.lit(0)) == 0, "no ring outline").otherwise("")
+    good = lambda value: F.when(error == "", value)
+    return rows.select(
+        *samples.columns, *[good(F.col(name)).alias(name) for name in ("target_width", "target_height", "skeleton_pixels", "valid_pixels")],
+        good(rings[0]).cast("int").alias("closed_ring_count"), good(F.col("instance_count")).alias("instance_count"),
+        good(rings[1]).cast("int").alias("non_nested_pairs"), F.when(error == "", "ok").otherwise("error").alias("status"), error.alias("error"))
 
 
 def _tile_components(keys: list[str], key_types: list[T.StructField], tile: int):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annolake.functions.geometry import shape_to_polygon, xywh
 from annolake.operators import matching as M
@@ -11,6 +12,10 @@ from annolake.operators import taxonomy as X
 from annolake.plans.fixtures import fixture
 from annolake.plans.queries_geometry import shape_points
 from annolake.plans.registry import query
+from annolake.schema import INDEX_COLUMNS
+from annolake.session import scratch_path
+from annolake.sinks.tables import write_index
+from annolake.sources.files import read_table
 from annolake.presets import PALETTE
 from annolake.presets import taxonomy as taxonomy_table
 
@@ -163,6 +168,72 @@ def _(spark, sf):
                   F.count(F.lit(1)).alias("pixels"), count(c("distance") == 0, "zero_distance"))
 
 
+_RING_INDEX = f"""
+    with {_RINGS}, sk as (select image_id, count(*) as n from (select distinct image_id, y, x from (
+        select image_id, cast(a.range as int) as y, cast(b.range as int) as x, abs(a.range - 16) as dy, abs(b.range - 16 - sh) as dx, half from rg, range(32) a, range(32) b)
+      where greatest(dx, dy) = half) group by 1),
+    vl as (select image_id, count(*) filter (where list_contains(ks, 2)) as n, max(case when list_contains(ks, 2) then
+      coalesce(list_max(list_filter(ks, lambda i: i > 0 and not list_contains(ks, i - 1))), 0) else 0 end) as top from cov group by 1),
+    bad as (select image_id, count(distinct i) as n from (select image_id, unnest(list_filter(ks, lambda i: i < 2 and not list_contains(ks, i + 1))) as i from cov) group by 1),
+    ok as (select s_suppkey, case when s_suppkey % 7 = 1 then 'unknown image size' when s_suppkey % 7 = 0 then 'no ring outline' else '' end as error from supplier)
+    select concat('s', s_suppkey) as sample_id, case when error = '' then sk.n end as skeleton_pixels, case when error = '' then vl.n end as valid_pixels,
+      case when error = '' then 3 end as closed_ring_count, case when error = '' then cast(top as int) end as instance_count,
+      case when error = '' then cast(coalesce(bad.n, 0) as int) end as non_nested_pairs, case when error = '' then 'ok' else 'error' end as status, error
+    from ok join sk on sk.image_id = s_suppkey join vl on vl.image_id = s_suppkey left join bad on bad.image_id = s_suppkey"""
+
+
+def ring_samples(spark, sf):
+    """The index of the nested squares; a seventh of the samples has no outline, a seventh no size."""
+    kind = c("image_id") % 7
+    samples = fixture(spark, sf, "supplier").select(c("s_suppkey").alias("image_id")).select(
+        "image_id", F.concat(F.lit("s"), c("image_id").cast("string")).alias("sample_id"), F.lit("mokume").alias("dataset_id"),
+        F.when(kind == 1, 0).otherwise(32).alias("width"), F.when(kind == 1, 0).otherwise(32).alias("height"))
+    polys = ring_polygons(spark, sf).where(kind > 1)
+    targets = R.ring_targets(polys, samples.where("width > 0").select("image_id", "width", "height"))
+    return R.ring_index(samples, targets, R.non_nested_pairs(R.ring_order(polys)))
+
+
+_INDEX_COLUMNS = ["sample_id", "skeleton_pixels", "valid_pixels", "closed_ring_count", "instance_count", "non_nested_pairs", "status", "error"]
+
+
+@query("ring_index", _RING_INDEX)
+def _(spark, sf):
+    return ring_samples(spark, sf).select(*_INDEX_COLUMNS)
+
+
+@query("ring_index_roundtrip", f"select sample_id, coalesce(skeleton_pixels, 0) as skeleton_pixels, status, error from ({_RING_INDEX})")
+def _(spark, sf):
+    path = scratch_path(spark, "rings")
+    write_index(ring_samples(spark, sf), path, "ring")
+    kind = T.StructType([T.StructField(n, T.LongType() if n == "skeleton_pixels" else T.StringType()) for n in INDEX_COLUMNS["ring"]])
+    return read_table(spark, path, kind).select("sample_id", "skeleton_pixels", "status", "error")
+
+
+@query("ring_targets_raster", """
+    with lb as (select user_id as image_id, cast(floor((event_id % 1024) / 32) as int) as y, cast(event_id % 32 as int) as x from events group by 1, 2, 3 having max(value) > 150),
+    gr as (select image_id, cast(a.range as int) as y, cast(b.range as int) as x from (select distinct user_id as image_id from events), range(32) a, range(32) b)
+    select gr.image_id, gr.y, gr.x, lb.image_id is not null as skeleton, exists (select 1 from lb q where q.image_id = gr.image_id and abs(q.y - gr.y) <= 1 and abs(q.x - gr.x) <= 1) as boundary,
+      0 as instance, true as valid from gr left join lb using (image_id, y, x)""")
+def _(spark, sf):
+    df = pixels(spark, sf)
+    grid = R.image_grid(frames(df)).join(df.where("v > 150").select(*SPOT, F.lit(1).alias("one")), SPOT, "left")
+    labels = grid.select(*SPOT, F.when(c("one").isNull(), 255).otherwise(7).alias("value"))
+    return R.ring_targets_raster(labels, frames(df), boundary_width=3).drop("distance")
+
+
+@query("ring_targets_polylines", """
+    with ln as (select s_suppkey as image_id, cast(s_suppkey % 32 as int) as y, cast(b.range as int) as x from supplier, range(32) b where b.range between 2 and 20),
+    gr as (select s_suppkey as image_id, cast(a.range as int) as y, cast(b.range as int) as x from supplier, range(32) a, range(32) b)
+    select gr.image_id, gr.y, gr.x, ln.image_id is not null and gr.x >= 10 as skeleton, gr.x >= 10 and gr.x <= 22 and abs(gr.y - gr.image_id % 32) <= 2 as boundary, 0 as instance, gr.x >= 10 as valid
+    from gr left join ln using (image_id, y, x)""")
+def _(spark, sf):
+    rows = fixture(spark, sf, "supplier").select(c("s_suppkey").alias("image_id"), F.lit(32).alias("width"), F.lit(32).alias("height"))
+    height = (c("image_id") % 32).cast("double")
+    lines = rows.withColumn("points", F.array(F.array(F.lit(2.0), height), F.array(F.lit(20.0), height)))
+    mask = R.image_grid(rows).withColumn("value", F.when(c("x") >= 10, 255).otherwise(0))
+    return R.ring_targets_lines(lines, rows, mask).drop("distance")
+
+
 # Components: parts are the classes of the transitive closure of touching pixels.
 _COMP = """
     cp as (select image_id, class, y, x, cast(y as bigint) * 2147483648 + x as code from fx_pixels where v > 120),
