@@ -112,6 +112,8 @@ def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_
     counts = stable(_by_host(measure(docs.select("text", F.col(host).alias("_key"))), "_key"))
     bad = host_verdicts(counts, max_host_rate).where("rejected").select("_host")
     whole = docs.select("text", F.col(host).alias("_key"), F.struct(*docs.columns).alias("_doc"))
-    good = measure(whole).where(~F.col("_m.base_failed")).select("_key", "_doc")
+    # The row number keeps the filter above the measures; pushed below them it would work them out once per mention.
+    measured = measure(whole).withColumn("_place", F.monotonically_increasing_id())
+    good = measured.where((F.col("_place") >= 0) & ~F.col("_m.base_failed")).select("_key", "_doc")
     return good.join(bad, F.col("_key").eqNullSafe(F.col("_host")), "left_anti").select(
         *[F.col("_doc").getField(c).alias(c) for c in docs.columns])
