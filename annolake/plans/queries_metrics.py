@@ -146,9 +146,9 @@ _GREEDY = f"""
       from walk w join sq s on s.image_id = w.image_id and s.class = w.class and s.t = w.t and s.n = w.n + 1)"""
 
 
-@query("match_detections", f"with recursive {_GREEDY} select image_id, class, t as threshold, pred_id, gt_id, round(iou, 6) as iou from walk where hit")
+@query("match_detections", f"with recursive {_GREEDY} select image_id, class, t as threshold, pred_id, gt_id, iou from walk where hit")
 def match_detections(spark, sf):
-    return M.match_detections(M.iou_pairs(*predictions(spark, sf), 0.5)).select("image_id", "class", "threshold", "pred_id", "gt_id", F.round("iou", 6).alias("iou"))
+    return M.match_detections(M.iou_pairs(*predictions(spark, sf), 0.5)).select("image_id", "class", "threshold", "pred_id", "gt_id", "iou")
 
 
 @query("match_bounds", f"""
