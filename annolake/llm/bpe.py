@@ -29,13 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.functions.geometry import let
 from annolake.session import shuffle_partitions, stable
 
 MOST_WORDS, WORD_BYTES = 1 << 20, 48
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 NONE = 2_147_483_647
 GAP = 0xFFFFFFFF
-TASK_WORDS, CACHED_CHUNKS, SLICE_CHARS = 400_000, 200_000, 4 << 20
+TASK_WORDS, CACHED_CHUNKS, SLICE_CHARS = 150_000, 100_000, 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,58 +48,59 @@ def _bucket(piece: str) -> int:
     return xxhash.xxh64_intdigest(piece.encode(), 42) % BUCKETS
 
 
-def rank_of(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """Rank of a piece, null where it has none. The map is a literal, dealt into buckets by hash, as Spark scans a map's keys."""
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The rank map as one literal, array<map<string,int>>: dealt into buckets by hash, as Spark scans the keys of a map."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for key, rank in ranks.items():
         text = key.decode("latin-1")
         buckets[_bucket(text)][text] = rank
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def rank_of(piece: Column, table: Column) -> Column:
+    """Rank of a piece, null where it has none."""
     # xxhash64 is signed; BUCKETS is a power of two, so the low bits agree with the unsigned value.
     return F.try_element_at(F.get(table, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
 
-def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """ids of a word given as one character per byte.
+def fold_merges(word: Column, table: Column) -> Column:
+    """ids of a word given as one character per byte; ``table`` is a rank map.
 
     State: the parts, the rank of every adjacent pair, the least of them and its first place. Each step joins that pair and
     looks up the two pairs it touches; without any pair left a step changes nothing.
     """
 
     def rank(piece: Column) -> Column:
-        return F.coalesce(rank_of(piece, ranks), F.lit(NONE))
+        return F.coalesce(rank_of(piece, table), F.lit(NONE))
 
     size = F.char_length(word)
+    none = F.array().cast("array<int>")
     letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1)))
     pairs = F.when(size > 1, F.transform(
-        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: rank(F.substr(word, i, F.lit(2))))
-    ).otherwise(F.array().cast("array<int>"))
+        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: rank(F.substr(word, i, F.lit(2))))).otherwise(none)
 
     def state(parts: Column, adjacent: Column) -> Column:
         return F.struct(parts.alias("parts"), adjacent.alias("pairs"))
 
+    def joined(s: Column, at: Column) -> Column:
+        both = F.concat(F.get(s["parts"], at - 1), F.get(s["parts"], at))
+        before = F.when(at > 1, F.array(rank(F.concat(F.get(s["parts"], at - 2), both)))).otherwise(none)
+        after = F.when(at < F.size(s["pairs"]), F.array(rank(F.concat(both, F.get(s["parts"], at + 1))))).otherwise(none)
+        return state(
+            F.concat(F.slice(s["parts"], F.lit(1), at - 1), F.array(both), F.slice(s["parts"], at + 2, F.size(s["parts"]))),
+            F.concat(
+                F.slice(s["pairs"], F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
+                F.slice(s["pairs"], at + 2, F.size(s["pairs"]))))
+
     def step(s: Column, _: Column) -> Column:
         least = F.array_min(s["pairs"])
         at = F.array_position(s["pairs"], least).cast("int")
-
-        def joined(s: Column, at: Column) -> Column:
-            both = F.concat(F.get(s["parts"], at - 1), F.get(s["parts"], at))
-            before = F.when(at > 1, F.array(rank(F.concat(F.get(s["parts"], at - 2), both)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(s["pairs"]), F.array(rank(F.concat(both, F.get(s["parts"], at + 1))))).otherwise(
-                F.array().cast("array<int>"))
-            return state(
-                F.concat(F.slice(s["parts"], F.lit(1), at - 1), F.array(both), F.slice(s["parts"], at + 2, F.size(s["parts"]))),
-                F.concat(
-                    F.slice(s["pairs"], F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
-                    F.slice(s["pairs"], at + 2, F.size(s["pairs"]))))
-
-        return F.when(F.coalesce(least, F.lit(NONE)) == NONE, s).otherwise(
-            F.get(F.transform(F.array(at), lambda place: joined(s, place)), 0))
+        return F.when(F.coalesce(least, F.lit(NONE)) == NONE, s).otherwise(let(at, lambda place: joined(s, place)))
 
     merged = F.aggregate(
-        F.sequence(F.lit(1), size), state(letters, pairs), step, lambda s: F.transform(s["parts"], lambda p: rank_of(p, ranks)))
-    whole = rank_of(word, ranks)
-    return F.when(size == 0, F.array().cast("array<int>")).when(whole.isNotNull(), F.array(whole)).otherwise(merged)
+        F.sequence(F.lit(1), size), state(letters, pairs), step, lambda s: F.transform(s["parts"], lambda p: rank_of(p, table)))
+    whole = rank_of(word, table)
+    return F.when(size == 0, none).when(whole.isNotNull(), F.array(whole)).otherwise(merged)
 
 
 class _Splitter:
@@ -205,11 +207,13 @@ def _signed_hash(key: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) per row."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: int = MOST_WORDS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) per row; ``decoded`` adds the bytes of the ids in the same pass."""
     counts = stable(word_counts(docs, pattern))
     chosen = frequent_words(counts, most_words).repartition(shuffle_partitions(docs), "word")
-    known = chosen.select("word", F.xxhash64("word").alias("hash"), fold_merges(F.col("word"), ranks).alias("ids"))
+    table = rank_map(ranks)
+    # The map is bound once per expression: plans print literals in full wherever they stand.
+    known = chosen.select("word", F.xxhash64("word").alias("hash"), let(table, lambda t: fold_merges(F.col("word"), t)).alias("ids"))
     held = docs.sparkSession.sparkContext.broadcast(WordTable(known.toArrow()))
     gap = np.asarray([GAP], "<u4").tobytes()
 
@@ -265,22 +269,33 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: i
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
+    pieces = {rank: piece for piece, rank in ranks.items()}
+
+    def fill_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(fill(batches), pieces)
+
     gapped = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         look_up, "doc_id long, ids binary, rare array<string>")
-    folded = gapped.select("doc_id", "ids", F.transform("rare", lambda word: fold_merges(word, ranks)).alias("rare"))
+    folded = gapped.select("doc_id", "ids", let(
+        table, lambda t: F.transform("rare", lambda word: fold_merges(word, t))).alias("rare"))
+    if decoded:
+        return folded.mapInArrow(fill_and_decode, DECODED_DDL)
     return folded.mapInArrow(fill, "doc_id long, ids binary")
 
 
+DECODED_DDL = "doc_id long, ids binary, decoded binary"
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], pieces: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` (doc_id, ids) plus decoded (binary): the pieces of the ids, one after the other."""
     pieces = {rank: piece for piece, rank in ranks.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, pieces), DECODED_DDL)
