@@ -118,7 +118,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, the first, with all its columns; of rows equal in doc_id and text, the one
     whose hash over all columns is least."""
-    _, groups = grouped(docs)
+    return keep_first(docs, grouped(docs)[1])
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` names by none, doc_id and text_hash, each once."""
     first = groups.select(
         F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("none").alias("_n"), F.col("text_hash").alias("_h")).distinct()
     keyed = docs.select(
