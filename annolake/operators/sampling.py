@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from annolake.operators.catalog import task_samples, union_catalogs
 from annolake.operators.order import ranked, running
 
 EMPTY_SHARE = 0.25
+#: Units that the least positive weight of a draw has at least, and digits of the total at most.
+LEAST_UNITS, TOTAL_DIGITS = 1_000, 35
 
 
 def inverse_frequency_weights(df: DataFrame, label: str) -> DataFrame:
@@ -46,20 +49,32 @@ def positive_fraction_weights(df: DataFrame, positive: Column, fraction: float)
 def weighted_sample(df: DataFrame, n: int, seed: int, key: str, weight: str = "weight", units: int = 1_000_000) -> DataFrame:
     """``n`` draws with replacement, in proportion to the weights, as (draw, row) (M4).
 
-    Weights count in whole ``units``-ths, so sums are exact; rows of less than one count as weightless. A draw's point
-    is the leading 60 bits of sha256("seed:draw") modulo the total: the same on any cluster. Rows sit at their cumulative
-    weight in key order, and one running count over rows and draws tells how many rows end at or before each draw, hence
-    which row it hit.
+    Weights count in whole ``units``-ths, so sums are exact; where the least positive weight has fewer than ``LEAST_UNITS``
+    of these, the units are finer by a power of ten. Every positive weight takes part. A draw's point is the leading 60 bits
+    of sha256("seed:draw") modulo the total, 120 bits where the total needs them: the same on any cluster. Rows sit at their
+    cumulative weight in key order, and one running count over rows and draws tells how many rows end at or before each draw,
+    hence which row it hit.
     """
-    usable = df.withColumn("_units", F.round(F.col(weight) * units).cast("long")).where("_units > 0")
-    placed = running(usable, [F.col(key)], sums={"_end": F.col("_units")}, rank="_row").drop("_units")
-    total = placed.agg(F.max("_end")).first()[0]
-    if total is None:
+    value = F.col(weight)
+    weighed = df.where((value > 0) & ~F.isnan(value.cast("double")))
+    least, most, rows = weighed.agg(F.min(value).cast("double"), F.max(value).cast("double"), F.count(F.lit(1))).first()
+    if not rows:
         raise ValueError("no row has a positive weight")
+    if math.isinf(most):
+        raise ValueError("a weight is infinite")
+    finer = math.ceil(max(0.0, math.log10(LEAST_UNITS) - math.log10(units) - math.log10(least)))
+    finer = min(finer, math.floor(TOTAL_DIGITS - math.log10(rows) - math.log10(most) - math.log10(units)))
+    # Above 10^TOTAL_DIGITS, weights below a unit count as one: their share is less than 120 bits tell.
+    counted = F.greatest(F.round(value * (F.lit(units) if not finer else F.lit(float(f"{units}e{finer}")))), F.lit(1))
+    narrow = weighed.agg(F.sum(counted.cast("decimal(38,0)"))).first()[0] < 1 << 60
+    kind = "long" if narrow else "decimal(38,0)"
+    placed = running(weighed.withColumn("_units", counted.cast(kind)), [F.col(key)], sums={"_end": F.col("_units")}, rank="_row").drop("_units")
+    placed = placed.withColumn("_end", F.col("_end").cast(kind))
+    total = placed.agg(F.max("_end")).first()[0]
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    draws = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(total)).alias("_end"), F.lit(0).alias("_mark")
-    )
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast(kind)
+    point = part(1) if narrow else (part(1) * F.lit(1 << 60) + part(16)).cast(kind)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(point, F.lit(total).cast(kind)).alias("_end"), F.lit(0).alias("_mark"))
     marks = placed.select(F.lit(None).cast("long").alias("draw"), "_end", F.lit(1).alias("_mark"))
     # At equal points the row end comes first: the draw then belongs to the next row.
     both = running(
