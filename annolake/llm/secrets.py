@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns plus two character Markov models, in DataFrame expressions only.
 
-Runs of 20 or more key characters that no fixed pattern covers are scored by the log-likelihood ratio of two first-order
-character models, one of random strings, one of ordinary identifiers. Both are trained from labelled samples; their size is
+Runs of 20 or more key characters, less what fixed patterns cover, are scored by the log-likelihood ratio of two first-order
+character models, one of random strings, one of ordinary identifiers; a run that does not win whole is searched for stretches that do. Both are trained from labelled samples; their size is
 a parameter (``samples`` of each kind), everything else covers all rows.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned each; an empty table gives an empty table
@@ -26,7 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_CHARS = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}"
 FIRST, LAST = 33, 126
 WIDE = LAST - FIRST + 1
 #: Nats per character pair, and in all, by which "random" must win.
@@ -89,20 +90,79 @@ def train(labelled: DataFrame) -> list[float]:
     return [round(x, 4) for x in ratio]
 
 
-def _score(value: Column, model: list[float]) -> Column:
+def _ratio(value: Column, i: Column, model: list[float]) -> Column:
+    """Log ratio of the i-th pair of characters, counted from 1."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    return F.get(table, (F.ascii(F.substr(value, i, F.lit(1))) - FIRST) * WIDE + F.ascii(F.substr(value, i + 1, F.lit(1))) - FIRST)
+
+
+def _score(value: Column, model: list[float]) -> Column:
     places = F.sequence(F.lit(1), F.char_length(value) - 1)
-    return F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(
-        table, (F.ascii(F.substr(value, i, F.lit(1))) - FIRST) * WIDE + F.ascii(F.substr(value, i + 1, F.lit(1))) - FIRST))
+    return F.aggregate(places, F.lit(0.0), lambda total, i: total + _ratio(value, i, model))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the sorted spans, as long as before."""
+
+    def step(s: Column, span: Column) -> Column:
+        gap = F.substr(text, (s["at"] + 1).cast("int"), F.greatest(span["start"] - s["at"], F.lit(0)).cast("int"))
+        blanks = F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(s["at"], span["start"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap, blanks).alias("out"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    blanked = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+
+def _stretches(run: Column, model: list[float]) -> Column:
+    """Spans inside a run that score as random, each widened to the next of / = - _ or the end of the run.
+
+    The sum of the log ratios less the least mean is kept from zero up. A stretch ends at its highest sum, once the sum has
+    fallen to zero or by ``LEAST_TOTAL``; so a stretch has the least mean by itself.
+    """
+    value, kind = run["value"], "array<struct<first:int,last:int>>"
+    begin = F.struct(
+        F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(1).alias("first"), F.lit(0).alias("last"), F.array().cast(kind).alias("found"))
+
+    def found(s: Column) -> Column:
+        enough = s["best"] + LEAST_MEAN * (s["last"] - s["first"] + 1) >= LEAST_TOTAL
+        one = F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        return F.when(enough, F.concat(s["found"], one)).otherwise(s["found"])
+
+    def step(s: Column, i: Column) -> Column:
+        now = s["sum"] + _ratio(value, i, model) - LEAST_MEAN
+        ends, rises = (now <= 0) | (s["best"] - now >= LEAST_TOTAL), now > s["best"]
+        return F.struct(
+            F.when(ends, 0.0).otherwise(now).alias("sum"), F.when(ends, 0.0).otherwise(F.greatest(s["best"], now)).alias("best"),
+            F.when(ends, i + 1).otherwise(s["first"]).alias("first"), F.when(ends, i).when(rises, i).otherwise(s["last"]).alias("last"),
+            F.when(ends, found(s)).otherwise(s["found"]).alias("found"))
+
+    pairs = F.aggregate(F.sequence(F.lit(1), F.char_length(value) - 1), begin, step, found)
+
+    def widened(p: Column) -> Column:
+        size = lambda part, pattern: F.char_length(F.regexp_extract(part, pattern, 0))
+        # A pair that only leads to or from a separator is not part of the secret.
+        core = F.substr(value, p["first"], p["last"] - p["first"] + 2)
+        first = p["first"] + size(core, "^[A-Za-z0-9+]?[/=_-]+")
+        last = p["last"] + 1 - size(core, "[/=_-]+[A-Za-z0-9+]?$")
+        before, after = F.substr(value, F.lit(1), first - 1), F.substr(value, last + 1)
+        return F.struct(
+            (run["start"] + first - 1 - size(before, "[A-Za-z0-9+]*$")).alias("start"), F.lit(3).alias("kind"),
+            (run["start"] + last + size(after, "^[A-Za-z0-9+]*")).alias("end"))
+
+    return F.filter(F.array_distinct(F.transform(pairs, widened)), lambda s: s["end"] - s["start"] >= LEAST_CHARS)
 
 
 def model_spans(text: Column, base: Column, model: list[float]) -> Column:
-    """Spans that the models add: candidates clear of the base spans that score as random."""
-    free = F.filter(match_spans(text, CANDIDATE), lambda c: ~F.exists(
-        base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    scored = F.transform(free, lambda c: F.struct(c["start"], c["end"], _score(c["value"], model).alias("score")))
-    random = F.filter(scored, lambda c: (c["score"] >= LEAST_TOTAL) & (c["score"] >= LEAST_MEAN * (c["end"] - c["start"] - 1)))
-    return F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    """Spans that the models add, in what the base spans leave: runs that score as random whole, else stretches of runs."""
+    scored = F.transform(match_spans(_blanked(text, base), CANDIDATE), lambda c: F.struct(
+        c["start"], c["end"], c["value"], _score(c["value"], model).alias("score")))
+
+    def of(c: Column) -> Column:
+        whole = (c["score"] >= LEAST_TOTAL) & (c["score"] >= LEAST_MEAN * (c["end"] - c["start"] - 1))
+        return F.when(whole, F.array(F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))).otherwise(_stretches(c, model))
+
+    return F.flatten(F.transform(scored, of))
 
 
 def find_secrets(docs: DataFrame, model: list[float]) -> DataFrame:
