@@ -3,8 +3,8 @@
 Documents are taken as they lie in the partitions and gathered into shards of about ``SHARD_TOKENS`` ids; each shard has a
 BM25 index of its own, whose terms are token ids. A document's full windows are sequences by themselves; what is left of
 it is an item of the shard. A seed item, the next unused one, opens a window; its most telling terms are looked up and the
-unused neighbours, best score first, fill the window; the last one is cut where the window ends, and its rest stays an
-unused item. With no neighbour left, the next unused item follows. So only the last window of a shard is not full.
+unused neighbours, best score first, fill the window, asked for again until none is left, then by its further terms; the last
+one is cut where the window ends, and its rest stays an unused item. With no neighbour left, the next unused item follows. So only the last window of a shard is not full.
 
 A task holds one shard at a time. Defined cases: null text is empty, so the document is its end id only; repeated rows and
 null doc_ids are packed as they come; a text longer than a window is cut; an empty table gives no piece; columns other than
@@ -51,10 +51,13 @@ class Bm25:
         self._slots, self._at = slots[order], np.searchsorted(rows[order], np.arange(n + 1))
         self._n = n
 
-    def neighbours(self, item: int, used: np.ndarray) -> list[int]:
-        """Unused items by falling score, ties to the earlier one."""
+    def n_terms(self, item: int) -> int:
+        return int(self._at[item + 1] - self._at[item])
+
+    def neighbours(self, item: int, used: np.ndarray, after: int = 0) -> list[int]:
+        """Unused items by falling score over the item's next terms ``after`` so many, ties to the earlier one."""
         scores = np.zeros(self._n, np.float32)
-        for slot in self._slots[self._at[item]:self._at[item + 1]][:QUERY_TERMS]:
+        for slot in self._slots[self._at[item]:self._at[item + 1]][after:after + QUERY_TERMS]:
             a, b = self._first[slot], self._end[slot]
             scores[self._items[a:b]] += self._weights[a:b]
         scores[used] = 0
@@ -81,10 +84,11 @@ def pack_shard(documents: list[tuple], window: int = WINDOW) -> Iterator[tuple]:
     for seed in range(len(items)):
         while not used[seed]:
             room, queue, spare = window, [seed], seed
-            asked = False
+            asked, terms = 0, index.n_terms(seed)
             while room:
-                if not queue and not asked:
-                    queue, asked = index.neighbours(seed, used), True
+                while not queue and asked < terms:
+                    queue = index.neighbours(seed, used, asked)
+                    asked += 0 if queue else QUERY_TERMS
                 if queue:
                     item = queue.pop(0)
                 else:
