@@ -38,7 +38,17 @@ def stable(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the table that ``stable`` wrote for ``df``, once nothing reads it any more. Other frames are left alone."""
+    path = getattr(df, "stage_path", None)
+    if path is not None:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
