@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.llm import bpe, chat, codes, packing, quality, secrets, sharding, simhash, topk, url_filter
+from annolake.llm import (
+    bpe, chat, clustering, codes, packing, quality, ranking, runs, secrets, sharding, simhash, topk, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,3 +166,103 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op11_quality_ranking")
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return ranked.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_periodic_runs", r"""
+with hashed as (
+    select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(
+            range(1, length(cast(doc_id as varchar)) + 1),
+            lambda i: list_transform(range(0, 9), lambda j: case when j = 0 then cast(ascii(substr(cast(doc_id as varchar), i, 1)) as bigint) else -1 end)))),
+            lambda c, e: case when e >= 0 then xor(c, e) else xor(c >> 1, (c & 1) * 3988292384) end)) as h
+    from documents
+), placed as (
+    select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a from hashed
+), looped as (
+    select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from placed
+), texts as (
+    select row, doc_id, n, case when h % 10 = 0 and n > 0 then
+        list_transform(range(0, n), lambda i: case when i >= a then w[a + (i - a) % p + 1] else w[i + 1] end) else w end as w
+    from looped
+), grams as (
+    select row, n, i, concat_ws(' ', w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5], w[i + 6]) as gram
+    from (select row, n, w, unnest(range(0, n - 5)) as i from texts)
+), met as (
+    select a.row, a.i, b.i - a.i as lag from grams a join grams b on a.row = b.row and a.gram = b.gram and b.i > a.i
+    where b.i - a.i <= a.n // 2
+), islands as (
+    select row, lag, min(i) as start, count(*) + 5 + lag as length from (
+        select *, i - row_number() over (partition by row, lag order by i) as island from met
+    ) group by row, lag, island
+), runs as (
+    select row, start, length, min(lag) as period from islands where length >= greatest(12, 2 * lag) group by row, start, length
+), best as (
+    select *, row_number() over (partition by row order by length desc, start, period) as place from runs
+), listed as (
+    select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told
+    from runs group by row
+), spread as (
+    select row, unnest(w) as word, unnest(range(0, n)) as i from texts
+), dropped as (
+    select distinct row, unnest(range(start + period, start + length)) as i from runs
+), rest as (
+    select row, string_agg(word, ' ' order by i) as told from spread anti join dropped using (row, i) group by row
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+    sha256(coalesce(listed.told, '')) as runs_sha256, sha256(coalesce(rest.told, '')) as collapsed_sha256
+from texts left join (from best where place = 1) using (row) left join listed using (row) left join rest using (row)
+""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    return found.withColumn("best", runs.greatest_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+CLUSTERS, ROUNDS = 40, 5
+
+
+def _clustering_sql() -> str:
+    """The rounds, unrolled: assignments a0 to a5 under centroids c0 to c5."""
+    steps = ["""
+    with vectors as materialized (
+        select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+        where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), c0 as materialized (
+        select row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as k, v as c from vectors
+        qualify row_number() over (order by sha256('2:' || vec_id) nulls last, v) <= %d
+    )""" % CLUSTERS]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""a{r} as materialized (
+        select row, arg_min(k, d * {CLUSTERS} + k) as k, min(d) as d from (
+            select row, k, cast(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from vectors, c{r}
+        ) group by row)""")
+        if r < ROUNDS:
+            steps.append(f"""c{r + 1} as materialized (
+            select k, coalesce(m, c) as c from c{r} left join (
+                select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from (
+                    select k, i, sum(x) as s, count(*) as n from (
+                        select k, unnest(v) as x, unnest(range(0, 64)) as i from vectors join a{r} using (row)
+                    ) group by k, i
+                ) group by k
+            ) using (k))""")
+    return ", ".join(steps) + f"""
+    select vec_id, cast(k as integer) as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) as cluster_inertia,
+        cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+    from vectors join a{ROUNDS} using (row) join c{ROUNDS} using (k)"""
+
+
+@query("op13_centroid_clusters", _clustering_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clustering.whole_vectors(table(spark, sf_dir, "embeddings"), 64)
+    state, centroids = clustering.cluster(vectors, CLUSTERS, 64, ROUNDS, "2")
+    return clustering.with_totals(state, centroids).select(
+        "vec_id", "cluster", F.col("distance").cast("long").alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")
