@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolake.session import stable
+from annolake.session import remove, stable
 
 SHINGLE, SEED, LEAST_BITS = 3, 42, 2
 WIDTHS = (22, 21, 21)
@@ -82,15 +82,18 @@ def links(prints: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """node and root (the least node reachable) for every node of ``pairs`` (a, b)."""
     both = stable(pairs.union(pairs.select("b", "a")).toDF("u", "v"))
-    labels = stable(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).toDF("node", "root"))
+    last = stable(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).toDF("node", "root"))
+    labels = last
     while True:
         heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
         passed = labels.join(heard, labels.node == heard.u).select("node", "root", F.least("root", "near").alias("next"))
         ends = labels.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
         jumped = stable(passed.join(ends, passed.next == ends["_at"], "left").select(
             "node", F.least("next", "_to").alias("root"), (F.least("next", "_to") < F.col("root")).alias("moved")))
-        labels = jumped.select("node", "root")
+        remove(last)
+        last, labels = jumped, jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
+            remove(both)
             return labels
 
 
