@@ -207,6 +207,45 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("lines"), F.count_if(c("value").startswith(",")).alias("commas"))
 
 
+@query("coco_document_roundtrip", """
+    with a as (select i.split, a.id, a.image_id, category_id, case when l_partkey % 8 <> 0 then x + w end as third_x, case when l_partkey % 8 = 0 then 5 end as last_count
+        from fx_annotations a join fx_images i on a.image_id = i.id)
+    select 'annotations' as list, split, id, image_id, category_id as number, third_x, last_count, null as name from a
+    union all select 'images', split, id, null, width, null, null, file_name from fx_images
+    union all select 'categories', split, k, null, k, null, null, name from (select distinct split from fx_images), (values (1, 'knot'), (2, 'crack')) as t(k, name)""")
+def _(spark, sf):
+    """One JSON document per split, written by K3, read back in byte ranges by S9."""
+    images = fixture(spark, sf, "fx_images")
+    rle = F.struct(F.array(F.lit(2), F.lit(4)).alias("size"), F.array(F.lit(3), F.lit(5)).alias("counts"))
+    rows = polygon_annotations(spark, sf).withColumn("rle", F.when(c("polygons").isNull(), rle)).join(images.select(c("id").alias("image_id"), "split"), "image_id")
+    path = scratch_path(spark, "documents")
+    K.write_coco_documents(images, rows.withColumn("bbox", F.array(*[c(f"bbox.{k}") for k in "xywh"])), path)
+    images, annotations, categories = S.read_coco(spark, path)
+    none = lambda kind: F.lit(None).cast(kind)
+    return annotations.select(
+        F.lit("annotations").alias("list"), "split", "id", "image_id", c("category_id").alias("number"), c("polygons")[0][2].alias("third_x"),
+        F.get("rle.counts", F.lit(1)).alias("last_count"), none("string").alias("name"),
+    ).union(images.select(F.lit("images"), "split", "id", none("long"), "width", none("double"), none("int"), "file_name")).union(
+        categories.select(F.lit("categories"), "split", c("id").cast("long"), none("long"), "id", none("double"), none("int"), "name"))
+
+
+@query("label_files_roundtrip", """
+    with a as (select a.image_id, category_id - 1 as k, a.id, (x + w / 2) / width as cx, (y + h / 2) / height as cy, a.w / width as bw, a.h / height as bh
+        from fx_annotations a join fx_images i on a.image_id = i.id),
+    told as (select image_id, printf('%d', k) as class_id, cast(printf('%.6f', cx) as double) as cx, cast(printf('%.6f', cy) as double) as cy,
+        cast(printf('%.6f', bw) as double) as w, cast(printf('%.6f', bh) as double) as h from a)
+    select split || '/' || lpad(cast(id as string), 8, '0') as file, class_id, cx, cy, w, h
+    from fx_images left join told on image_id = id where ignored_instance_count = 0""")
+def _(spark, sf):
+    """One label text per image (K4), read back as centre boxes (S8); images without a box have an empty file."""
+    path = scratch_path(spark, "label-files")
+    K.write_label_files(label_lines(fixture(spark, sf, "fx_images"), polygon_annotations(spark, sf)), path.removeprefix("file:"))
+    name = lambda column: F.regexp_extract(column, r"([^/]+/[^/]+)\.txt$", 1)
+    boxes = S.read_center_boxes(spark, f"{path}/*/*.txt").select(name("file").alias("file"), "class_id", "cx", "cy", "w", "h")
+    files = S.list_assets(spark, path, ["txt"]).select(name("path").alias("file"))
+    return files.join(boxes, "file", "left")
+
+
 @query("label_text_roundtrip", """
     select split, lpad(cast(id as string), 8, '0') as name, (select count(*) from fx_annotations where image_id = fx_images.id) as lines from fx_images where ignored_instance_count = 0""")
 def _(spark, sf):

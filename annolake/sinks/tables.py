@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from annolake.operators.splits import map_text
 from annolake.presets import CATEGORY_IDS
 from annolake.schema import CATALOG, INDEX_COLUMNS
+from annolake.sinks.files import write_named_files
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -133,6 +134,19 @@ def write_label_text(labels: DataFrame, path: str) -> None:
     labels.select("split", "name", "label_text").write.mode("overwrite").partitionBy("split").json(path)
 
 
+def write_label_files(labels: DataFrame, path: str) -> None:
+    """``<split>/<name>.txt`` per image, an empty file for an image without annotations (K4)."""
+    text = F.when(F.coalesce("label_text", F.lit("")) == "", F.lit("")).otherwise(F.concat("label_text", F.lit("\n")))
+    write_named_files(labels, path, F.concat_ws("/", "split", F.concat("name", F.lit(".txt"))), text, whole=True)
+
+
+def write_coco_documents(images: DataFrame, annotations: DataFrame, path: str) -> None:
+    """One JSON document ``instances_<split>.json`` per split (K3). A document is streamed by one task; ``write_coco`` and
+    ``write_coco_tables`` are the forms without that."""
+    lines = coco_document_lines(images, annotations)
+    write_named_files(lines, path, F.concat(F.lit("instances_"), "split", F.lit(".json")), F.col("line"), ["part", "id"])
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Report rows as nested JSON lines (K5)."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,9 @@ from annolake import schema
 from annolake.functions.geometry import center_to_xywh, clip_box, corners_to_xywh
 from annolake.functions.labels import none_if_blank
 from annolake.operators.order import least_per_key
+from annolake.session import stable
+from annolake.sources.documents import list_elements
+from annolake.sources.listing import list_tree
 
 # Image file extensions.
 IMAGE_EXTENSIONS = ("bmp", "jpg", "jpeg", "png")
@@ -47,14 +51,14 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_assets(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, glob: str | None = None) -> DataFrame:
-    """path, size, mtime (ns) of files under a tree; file contents are never read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    """path, size, mtime (ns) of files under a tree, listed by tasks; file contents are never read.
+
+    ``glob`` matches file names with ``*`` and ``?``.
+    """
+    files = list_tree(spark, root)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select(
-        _path("path").alias("path"), F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime"),
-    )
+        pattern = "".join({"*": "[^/]*", "?": "[^/]"}.get(sign) or re.escape(sign) for sign in glob)
+        files = files.where(F.col("path").rlike(f"/{pattern}$"))
     if extensions is not None:
         ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
         files = files.where(ending.isin([e.lower().lstrip(".") for e in extensions]))
@@ -193,16 +197,19 @@ def center_box_pixels(df: DataFrame) -> DataFrame:
 def read_coco(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of whole documents named ``instances_<split>``.
 
-    A segmentation is either polygons or run lengths; it is read as text and split in two.
+    A document of any size is read by as many tasks as it has byte ranges. A segmentation is either polygons or run lengths;
+    it is read as text and split in two.
     """
-    documents = spark.read.schema(schema.COCO_DOCUMENT).json(paths, multiLine=True).select(
-        "*", F.regexp_extract(F.col("_metadata.file_path"), r"instances_([^/]+)\.json", 1).alias("_split")
-    )
-    images = documents.select("_split", F.explode("images").alias("i")).select("_split", "i.*")
-    images = images.withColumn("split", F.coalesce(none_if_blank(F.col("split")), F.col("_split"))).drop("_split")
-    annotations = documents.select(F.col("_split").alias("split"), F.explode("annotations").alias("a")).select("split", "a.*")
-    categories = documents.select(F.col("_split").alias("split"), F.explode("categories").alias("c")).select("split", "c.*")
-    return images, split_segmentation(annotations), categories
+    kinds = {"images": schema.COCO_IMAGE, "annotations": schema.COCO_ANNOTATION, "categories": schema.COCO_CATEGORY}
+    # Staged: three tables are taken from it.
+    elements = stable(list_elements(spark, paths, list(kinds)).select(
+        F.regexp_extract("file", r"instances_([^/]+)\.json", 1).alias("_split"), "list", "text"))
+
+    def taken(name: str) -> DataFrame:
+        return elements.where(F.col("list") == name).select("_split", F.from_json("text", kinds[name]).alias("e")).select("_split", "e.*")
+
+    images = taken("images").withColumn("split", F.coalesce(none_if_blank(F.col("split")), F.col("_split"))).drop("_split")
+    return images, split_segmentation(taken("annotations").withColumnRenamed("_split", "split")), taken("categories").withColumnRenamed("_split", "split")
 
 
 def read_coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
