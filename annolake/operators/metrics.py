@@ -227,6 +227,16 @@ def detection_means(report: DataFrame) -> DataFrame:
     )
 
 
+def pair_scores(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """IoU and Dice of pairs with inter, pred_area and gt_area."""
+    total = F.col("pred_area") + F.col("gt_area")
+    return joined.select(
+        *keys, "pred_id", "gt_id",
+        (F.col("inter") / F.greatest(F.lit(1), total - F.col("inter")).cast("double")).alias("iou"),
+        (2.0 * F.col("inter") / F.greatest(F.lit(1), total)).alias("dice"),
+    )
+
+
 def mask_pairs(pred_pixels: DataFrame, gt_pixels: DataFrame, keys: Sequence[str] = ("image_id", "class")) -> DataFrame:
     """IoU and Dice of every overlapping mask pair, from shared pixels."""
     keys = list(keys)
@@ -236,12 +246,7 @@ def mask_pairs(pred_pixels: DataFrame, gt_pixels: DataFrame, keys: Sequence[str]
     pa_ = pred_pixels.groupBy(*keys, "pred_id").agg(F.count(F.lit(1)).alias("pred_area"))
     ga = gt_pixels.groupBy(*keys, "gt_id").agg(F.count(F.lit(1)).alias("gt_area"))
     joined = inter.join(pa_, [*keys, "pred_id"]).join(ga, [*keys, "gt_id"])
-    total = F.col("pred_area") + F.col("gt_area")
-    return joined.select(
-        *keys, "pred_id", "gt_id",
-        (F.col("inter") / F.greatest(F.lit(1), total - F.col("inter")).cast("double")).alias("iou"),
-        (2.0 * F.col("inter") / F.greatest(F.lit(1), total)).alias("dice"),
-    )
+    return pair_scores(joined, keys)
 
 
 def mask_quality(pairs: DataFrame, preds: DataFrame, gts: DataFrame, min_score: float = 0.25) -> DataFrame:

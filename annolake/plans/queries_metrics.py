@@ -12,6 +12,7 @@ from annolake.operators import duplicates as D
 from annolake.operators import matching as M
 from annolake.operators import metrics as E
 from annolake.operators import sampling as N
+from annolake.operators import spans as I
 from annolake.plans.fixtures import fixture
 from annolake.plans.registry import query
 from annolake.presets import IOU_THRESHOLDS
@@ -263,6 +264,13 @@ def _(spark, sf):
     return E.mask_pairs(*mask_rows(spark, sf)).select("image_id", "pred_id", "gt_id", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
 
 
+@query("mask_pairs_runs", f"with {_MASKS} select image_id, pred_id, gt_id, round(iou, 6) as iou, round(dice, 6) as dice from mp")
+def _(spark, sf):
+    preds, gts = mask_rows(spark, sf)
+    pairs = I.mask_pairs_runs(I.pixel_runs(preds, ["image_id", "class", "pred_id"]), I.pixel_runs(gts, ["image_id", "class", "gt_id"]))
+    return pairs.select("image_id", "pred_id", "gt_id", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
+
+
 @query("mask_quality", f"""
     with {_MASKS}, b as (select image_id, gt_id, iou, dice, row_number() over (partition by image_id, gt_id order by iou desc, length(pred_id) desc, pred_id desc) as r from mp where length(pred_id) / 10.0 >= 0.5),
     g as (select distinct image_id, gt_id from gm)

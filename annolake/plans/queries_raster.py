@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from annolake.functions.geometry import shape_to_polygon, xywh
 from annolake.operators import matching as M
 from annolake.operators import raster as R
+from annolake.operators import spans as I
 from annolake.operators import taxonomy as X
 from annolake.plans.fixtures import fixture
 from annolake.plans.queries_geometry import shape_points
@@ -153,6 +154,13 @@ def _(spark, sf):
     return R.non_nested_pairs(R.ring_order(ring_polygons(spark, sf)))
 
 
+@query("non_nested_runs", f"""
+    with {_RINGS}, bad as (select image_id, count(distinct i) as n from (select image_id, unnest(list_filter(ks, lambda i: i < 2 and not list_contains(ks, i + 1))) as i from cov) group by 1)
+    select s_suppkey as image_id, 3 as closed_rings, coalesce(n, 0) as non_nested_pairs from supplier left join bad on image_id = s_suppkey""")
+def _(spark, sf):
+    return I.non_nested_runs(R.ring_order(ring_polygons(spark, sf)))
+
+
 @query("ring_targets", f"""
     with {_RINGS}, sk as (select distinct image_id, y, x from (select image_id, cast(a.range as int) as y, cast(b.range as int) as x, abs(a.range - 16) as dy, abs(b.range - 16 - sh) as dx, half from rg, range(32) a, range(32) b)
       where greatest(dx, dy) = half),
@@ -316,21 +324,34 @@ def _(spark, sf):
     return R.rle_decode(R.rle_encode(df.where("v > 90"), frames(df), ["image_id"]), ["image_id"])
 
 
-@query("paint_annotations", f"""
+_PAINTED = f"""
     with {_POLY}, bx as (select image_id, 1 as category_id, cast(r.range as int) as y, cast(s.range as int) as x from pts, range(60) r, range(64) s where image_id % 3 = 0
         and r.range >= floor(p[1][2]) and r.range < p[1][2] + 6 and s.range >= floor(p[1][1]) and s.range < p[1][1] + 6),
     cand as (select image_id, cast(r.range as int) as y, cast(s.range as int) as x from pts, range(60) r, range(64) s where image_id % 3 <> 0
       and r.range between p[1][2] and p[1][2] + 16 and s.range between p[1][1] - 4 and p[1][1] + 20),
     hit as (select image_id, y, x from cand join ed using (image_id) group by 1, 2, 3 having count(*) filter (where (a[2] > y) <> (b[2] > y) and x < (b[1] - a[1]) * (y - a[2]) / (b[2] - a[2]) + a[1]) % 2 = 1)
-    select image_id // 20 as image_id, y, x, max(category_id) as category_id from (select image_id, y, x, 2 as category_id from hit union all select image_id, y, x, 1 from bx) group by 1, 2, 3""")
-def _(spark, sf):
+    select image_id // 20 as image_id, y, x, max(category_id) as category_id from (select image_id, y, x, 2 as category_id from hit union all select image_id, y, x, 1 from bx) group by 1, 2, 3"""
+
+
+def painted_annotations(spark, sf):
     df = polygons(spark, sf)
     first = F.get(c("points"), 0)
     boxed = c("image_id") % 3 == 0
-    ann = df.select(
+    return df.select(
         F.floor(c("image_id") / 20).alias("image_id"), c("image_id").alias("ann_id"), F.when(boxed, 1).otherwise(2).alias("category_id"),
         F.when(~boxed, F.array("points")).alias("polygons"), xywh(F.get(first, 0), F.get(first, 1), F.lit(6.0), F.lit(6.0)).alias("box"), "width", "height")
-    return R.paint_annotations(ann)
+
+
+@query("paint_annotations", _PAINTED)
+def _(spark, sf):
+    return R.paint_annotations(painted_annotations(spark, sf))
+
+
+@query("paint_runs", f"""
+    with px as ({_PAINTED}), isles as (select *, x - row_number() over (partition by image_id, y, category_id order by x) as isle from px)
+    select image_id, y, category_id, min(x) as x1, max(x) + 1 as x2 from isles group by image_id, y, category_id, isle""")
+def _(spark, sf):
+    return I.paint_annotation_runs(painted_annotations(spark, sf))
 
 
 @query("near_far_regions", f"""
