@@ -1,8 +1,8 @@
 """Whole texts to ids with a public tokenizer, fast where texts share words.
 
-Both vocabularies split texts at spaces before they merge, so the ids of a text are those of its space-separated chunks, one
-after the other, and those of a chunk are those of its words. A worker keeps the ids of the chunks and words it has met, up
-to a bound, and gives the library only new words: many in one call, as the ids show where a word begins or ends.
+Both vocabularies split texts into words before they merge, so the ids of a text are those of its words, one after the other. A
+worker keeps the ids of the words it has met, up to a bound, and gives the library only new words: many in one call, as the ids
+show where a word begins or ends.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import numpy as np
 import public_tokenizers
 import regex
 
-CACHED_CHUNKS, CACHED_WORDS = 250_000, 400_000
-SLICE_CHARS = 4 << 20
+CACHED_CHUNKS, CACHED_WORDS = 100_000, 500_000
+SLICE_CHARS = 2 << 20
 TOGETHER = 500
 # Fixed value: the word pattern of the lower-casing vocabulary.
 LOWER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -33,9 +33,9 @@ class ChunkTokenizer:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
     ``leading``: words keep the space before them and nothing is normalized (byte-level vocabulary); else words are
-    lower-cased and end in a mark (word-end vocabulary). The latter normalizes Unicode, so its chunks are split here only
+    lower-cased and end in a mark (word-end vocabulary). The latter normalizes Unicode, so texts are split into words here only
     if they hold nothing but letters and signs up to U+024F, less the dotted capital I, which normalize to themselves but
-    for case; other chunks go to the library whole.
+    for case. Other texts are cut at spaces, and of these chunks those with other signs go to the library whole.
     """
 
     def __init__(self, path: str, leading: bool) -> None:
@@ -53,8 +53,6 @@ class ChunkTokenizer:
             self._marks[number] = token.startswith("\u0120") if leading else token.endswith("</w>")
         self._split = regex.compile(public_tokenizers.PATTERN if leading else LOWER_PATTERN).findall
         self._plain = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
-        # A space is a boundary where a visible character follows it.
-        self._cut = re.compile(r" (?=\S)").split if leading else functools.partial(str.split, sep=" ")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,8 +68,8 @@ class ChunkTokenizer:
         raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _learn_words(self, words: Iterable[str]) -> list[str]:
-        new = list(set(words).difference(self._words))
+    def _learn_words(self, words: set[str]) -> list[str]:
+        new = list(words.difference(self._words))
         clear = [w for w in new if not self._leading or w[0] == " " and len(w) > 1 and not w[1].isspace()]
         for at in range(0, len(clear), TOGETHER):
             some = clear[at:at + TOGETHER]
@@ -81,26 +79,31 @@ class ChunkTokenizer:
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        heads = [pieces.pop(0) for pieces in cut] if self._leading else []
-        new = list(set().union(*cut).difference(self._chunks))
         if self._leading:
-            split = [self._split(" " + chunk) for chunk in new]
-            split_heads = [self._split(head) for head in heads]
-            whole: list[str] = []
-            own = new
+            split = [self._split(text) for text in texts]
         else:
-            own = [chunk for chunk in new if self._plain(chunk)]
-            whole = [chunk for chunk in new if not self._plain(chunk)]
-            split, split_heads = [self._split(chunk.lower()) for chunk in own], []
+            split = [self._split(text.lower()) if self._plain(text) else None for text in texts]
+        new = self._learn_words(set().union(*filter(None, split)))
+        find = self._words.__getitem__
+        out = [b"" if words is None else b"".join(map(find, words)) for words in split]
+        _keep(self._words, new, CACHED_WORDS)
+        odd = [i for i, words in enumerate(split) if words is None]
+        for i, ids in zip(odd, self._by_chunks([texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        cut = [text.split(" ") for text in texts]
+        new = list(set().union(*cut).difference(self._chunks))
+        own = [chunk for chunk in new if self._plain(chunk)]
+        whole = [chunk for chunk in new if not self._plain(chunk)]
+        split = [self._split(chunk.lower()) for chunk in own]
         words = self._words
-        new_words = self._learn_words(word for part in (split, split_heads) for some in part for word in some)
+        new_words = self._learn_words(set().union(*split))
         self._chunks.update((chunk, b"".join([words[w] for w in some])) for chunk, some in zip(own, split))
         self._chunks.update(zip(whole, self._ids(whole)))
         find = self._chunks.__getitem__
         out = [b"".join(map(find, pieces)) for pieces in cut]
-        if self._leading:
-            out = [b"".join([*(words[w] for w in head), tail]) for head, tail in zip(split_heads, out)]
         _keep(self._chunks, own + whole, CACHED_CHUNKS)
         _keep(words, new_words, CACHED_WORDS)
         return out
