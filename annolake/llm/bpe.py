@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import itertools
 import json
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ MOST_WORDS, WORD_BYTES = 1 << 20, 48
 BUCKETS = 1 << 14
 NONE = 2_147_483_647
 GAP = 0xFFFFFFFF
-TASK_WORDS, CACHED_CHUNKS, SLICE_CHARS = 150_000, 100_000, 2 << 20
+TASK_WORDS, CACHED_WORDS, SLICE_CHARS = 150_000, 200_000, 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,18 +102,6 @@ def fold_merges(word: Column, table: Column) -> Column:
     return F.when(size == 0, none).when(whole.isNotNull(), F.array(whole)).otherwise(merged)
 
 
-class _Splitter:
-    """Texts to words. A space before a visible character is always a boundary of the pattern, so chunks between such spaces
-    are split on their own and remembered."""
-
-    def __init__(self, pattern: str) -> None:
-        self.cut, self.words = re.compile(r" (?=\S)").split, regex.compile(pattern).findall
-
-    def chunks(self, text: str) -> list[str]:
-        pieces = self.cut(text)
-        return pieces[:1] + [" " + piece for piece in pieces[1:]]
-
-
 def _texts(column: pa.Array) -> Iterator[list[str]]:
     """The texts of a batch, a few megabytes at a time."""
     some, chars = [], 0
@@ -132,13 +119,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     """word (one character per byte) and n over all texts; words above ``WORD_BYTES`` bytes are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, chunks, words = _Splitter(pattern), Counter(), Counter()
-
-        def settle() -> None:
-            for chunk, n in chunks.items():
-                for word in splitter.words(chunk):
-                    words[word] += n
-            chunks.clear()
+        split, words = regex.compile(pattern).findall, Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             fit = [(w.encode().decode("latin-1"), n) for w, n in words.items() if len(w) <= WORD_BYTES]
@@ -151,12 +132,10 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
         for batch in batches:
             for texts in _texts(batch.column("text")):
-                chunks.update(itertools.chain.from_iterable(map(splitter.chunks, texts)))
-                if len(chunks) > TASK_WORDS:
-                    settle()
+                for text in texts:
+                    words.update(split(text))
                 if len(words) > TASK_WORDS:
                     yield from flush()
-        settle()
         yield from flush()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -218,41 +197,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: i
     gap = np.asarray([GAP], "<u4").tobytes()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, table, cache = _Splitter(pattern), held.value, {}
-
-        def learn(chunks: set[str]) -> None:
-            new = [(chunk, [w.encode().decode("latin-1") for w in splitter.words(chunk)]) for chunk in chunks]
-            words = list({word for _, split in new for word in split})
-            ids = dict(zip(words, table.find(words)))
-            for chunk, split in new:
-                found = [ids[word] for word in split]
-                rare = [word for word, hit in zip(split, found) if hit is None]
-                joined = b"".join(gap if hit is None else hit for hit in found)
-                cache[chunk] = (joined, rare) if rare else joined
+        split, table, cache = regex.compile(pattern).findall, held.value, {}
 
         for batch in batches:
             doc_ids, at = batch.column("doc_id"), 0
             for texts in _texts(batch.column("text")):
-                cut = [splitter.chunks(text) for text in texts]
-                new = set().union(*cut).difference(cache)
+                cut = [split(text) for text in texts]
+                new = list(set().union(*cut).difference(cache))
                 before = len(cache)
-                learn(new)
-                out, rest = [], []
-                for chunks in cut:
-                    found = [cache[chunk] for chunk in chunks]
-                    rare: list[str] = []
-                    for i, hit in enumerate(found):
-                        if hit.__class__ is tuple:
-                            found[i] = hit[0]
-                            rare += hit[1]
-                    out.append(b"".join(found))
-                    rest.append(rare)
+                # None: a word beyond the table, which leaves a gap.
+                cache.update(zip(new, table.find([word.encode().decode("latin-1") for word in new])))
+                beyond = {word for word in new if cache[word] is None}
+                rest = []
+                for words in cut:
+                    rest.append([word.encode().decode("latin-1") for word in words if word in beyond] if beyond else [])
+                for word in beyond:
+                    cache[word] = gap
+                out = [b"".join(map(cache.__getitem__, words)) for words in cut]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(at, len(texts)), pa.array(out, pa.binary()), pa.array(rest, pa.list_(pa.string())),
                 ], names=["doc_id", "ids", "rare"])
                 at += len(texts)
-                for chunk in list(new)[max(0, CACHED_CHUNKS - before):]:
-                    del cache[chunk]
+                for word in beyond:
+                    del cache[word]
+                for word in new[max(0, CACHED_WORDS - before):]:
+                    cache.pop(word, None)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +245,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: i
 
     gapped = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         look_up, "doc_id long, ids binary, rare array<string>")
-    folded = gapped.select("doc_id", "ids", let(
-        table, lambda t: F.transform("rare", lambda word: fold_merges(word, t))).alias("rare"))
+    folded = gapped.select("doc_id", "ids", F.when(F.size("rare") > 0, let(
+        table, lambda t: F.transform("rare", lambda word: fold_merges(word, t)))).otherwise(F.array().cast("array<array<int>>")).alias("rare"))
     if decoded:
         return folded.mapInArrow(fill_and_decode, DECODED_DDL)
     return folded.mapInArrow(fill, "doc_id long, ids binary")
