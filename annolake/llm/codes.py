@@ -97,14 +97,16 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
         if ids:
             yield flush()
 
+    # The head of the text splits rows without doc_id and those that repeat one; it agrees with the order of whole texts.
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(
-        shuffle_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+        shuffle_partitions(docs), "doc_id", F.substring("text", 1, 48)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENT_DDL).write.parquet(path)
     return path
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian unsigned 32-bit) per document."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit), first_id and last_id per
+    document; the last two are read by direct addressing and must agree with the ids."""
     table = spark.read.schema(SEGMENT_DDL).parquet(path)
     sizes = {row["part"]: row["n"] for row in table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     before, at = [], 0
@@ -119,10 +121,13 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(row["doc_tokens"])
                 starts = ends - np.asarray(row["doc_tokens"])
                 base = before[row["part"]] + row["part_start"]
+                edges = [[token_at(row["chunks"], row["bitmaps"], row["ranks"], int(i)) for i in at] for at in (starts, ends - 1)]
+                if any(ids[at].tolist() != found for at, found in zip((starts, ends - 1), edges)):
+                    raise ValueError("a segment's rank directories do not agree with its bitmaps")
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(starts + base, pa.int64()), pa.array(row["doc_tokens"], pa.int64()),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                ], names=["doc_id", "start", "n_tokens", "ids"])
+                    pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), *[pa.array(e, pa.int64()) for e in edges],
+                ], names=["doc_id", "start", "n_tokens", "ids", "first_id", "last_id"])
 
-    return table.select("part", "part_start", "doc_ids", "doc_tokens", "chunks", "bitmaps").mapInArrow(
-        documents, "doc_id long, start long, n_tokens long, ids binary")
+    return table.select("part", "part_start", "doc_ids", "doc_tokens", "chunks", "bitmaps", "ranks").mapInArrow(
+        documents, "doc_id long, start long, n_tokens long, ids binary, first_id long, last_id long")

@@ -81,7 +81,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_codes")
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = codes.write_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return codes.read_codes(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return codes.read_codes(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "first_id", "last_id")
 
 
 @query("op4_secret_scan")

@@ -154,6 +154,8 @@ def test_token_files(spark, which):
         expected.append((doc_id, at, len(ids), plain.crc(ids)))
         at += len(ids)
     assert sorted((r["start"], r["doc_id"], r["n_tokens"], zlib.crc32(r["ids"])) for r in got) == sorted((s, d, n, c) for d, s, n, c in expected)
+    for r in got:
+        assert r["last_id"] == 2 and r["first_id"] == int.from_bytes(r["ids"][:4], "little")
 
 
 # Secrets
