@@ -11,6 +11,9 @@ from annolake.operators import shapes as H
 from annolake.operators.integrity import box_errors
 from annolake.plans.fixtures import fixture
 from annolake.plans.registry import query
+from annolake.session import scratch_path
+from annolake.sinks.shape_files import cleaned_documents, read_shape_documents, write_shape_files
+from annolake.sources.files import read_labelme
 
 BOX_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _KEYS = ", ".join(BOX_KEYS)
@@ -273,11 +276,6 @@ def _(spark, sf):
     return H.self_intersections(df, ["shape_no"], cell=16.0)
 
 
-@query("normalize_shapes")
-def _(spark, sf):
-    return H.normalize_shapes(shape_rows(spark, sf)).select("file", "shape_index", "label", "valid", "kept", "primary", F.to_json("changes").alias("changes"))
-
-
 _VALID = f"""
     k as (select *, split_part(label, '|', 1) as cat, case when shape_type = 'rectangle' then w > 0 and h > 0 else true end
       and split_part(label, '|', 1) <> 'bogus' as valid from fx_shapes),
@@ -290,6 +288,62 @@ _VALID = f"""
       abs(x * (y + 2) - (x + w) * y + (x + w) * (y + h) - (x + w - 3) * (y + 2) + (x + w - 3) * (y + h + 1) - (x - 1) * (y + h) + (x - 1) * y - x * (y + h + 1)) = 0)"""
 
 
+# The outcome of every shape: new ids by plain definition, as in _DEDUPE, then the text of its changes.
+_NORMALIZED = f"""
+    {_VALID},
+    part as (select k.*, split_part(label, '|', 3) as iid, split_part(label, '|', 3)[1] as prefix, cat <> 'bogus' as parsed from k),
+    rep as (select *, row_number() over (partition by file_no, cat, prefix order by shape_no) as r from (
+      select *, row_number() over (partition by file_no, cat, iid order by shape_no) as u from part where valid) where u > 1),
+    free as (select f.file_no, f.cat, f.prefix, n, row_number() over (partition by f.file_no, f.cat, f.prefix order by n) as r
+      from (select file_no, cat, prefix, max(r) as m from rep group by 1, 2, 3) f, range(1, 40) t(n)
+      where not exists (select 1 from part where parsed and part.file_no = f.file_no and part.cat = f.cat and part.iid = concat(f.prefix, lpad(cast(n as string), 2, '0')))),
+    tch as (select shape_no, case when shape_type = 'rectangle' then x <= 1.5 or y <= 1.5 or x + w >= 61.5 or y + h >= 57.5
+      else len(list_filter(points, lambda q: q[1] <= 1.5 or q[2] <= 1.5 or q[1] >= 61.5 or q[2] >= 57.5)) > 0 end as t from pts),
+    normalized as (select part.*, tch.t as t, concat(part.prefix, lpad(cast(free.n as string), 2, '0')) as new_id, rep.r is not null as repeated,
+        split_part(part.label, '|', 5) = '1' as was, valid and part.cat in ('knot', 'crack') as prim, shape_no in (select shape_no from flat) as lost, shape_no in (select shape_no from cr) as crossed
+      from part join tch using (shape_no) left join (select shape_no, file_no, cat, prefix, r from rep) rep using (shape_no) left join free on free.file_no = part.file_no and free.cat = part.cat and free.prefix = part.prefix and free.r = rep.r),
+    outcome as (select concat('f', cast(file_no as string)) as file, cast(shape_no as int) as shape_index, valid, valid and not lost as kept, prim as "primary",
+      case when valid then concat_ws('|', cat, split_part(label, '|', 2), case when repeated then new_id else iid end, split_part(label, '|', 4),
+        case when t then '1' else '0' end, split_part(label, '|', 6)) end as label,
+      '[' || concat_ws(',', case when not valid then '{{"action":"drop_invalid_shape","from":"","to":""}}' end,
+        case when valid and not prim then '{{"action":"retain_ignored_shape","from":"' || cat || '","to":""}}' end,
+        case when valid and repeated then '{{"action":"deduplicate_instance_id","from":"' || iid || '","to":"' || new_id || '"}}' end,
+        case when valid and t <> was then '{{"action":"normalize_truncated","from":"' || cast(was as int) || '","to":"' || cast(t as int) || '"}}' end,
+        case when valid and lost then '{{"action":"drop_unrepairable_polygon","from":"","to":""}}' end,
+        case when valid and crossed then '{{"action":"flag_crossing_edges","from":"","to":""}}' end) || ']' as changes,
+      label as old_label, shape_type, x from normalized)"""
+
+
+@query("normalize_shapes", f'with {_NORMALIZED} select file, shape_index, label, valid, kept, "primary", changes from outcome')
+def _(spark, sf):
+    return H.normalize_shapes(shape_rows(spark, sf)).select("file", "shape_index", "label", "valid", "kept", "primary", F.to_json("changes").alias("changes"))
+
+
+@query("normalized_files_roundtrip", f"""
+    with {_NORMALIZED} select file, cast(row_number() over (partition by file order by shape_index) - 1 as int) as place, label, shape_type,
+      'née "' || old_label || '"' as note, cast(shape_index as bigint) * 1000000007 as stamp, x / 8 as share, true as payload_gone
+    from outcome where kept""")
+def _(spark, sf):
+    """Shape files with fields the engine does not know, cleaned, written back under their names and read again."""
+    shapes = shape_rows(spark, sf).join(fixture(spark, sf, "fx_shapes").select(c("shape_no").cast("int").alias("shape_index"), "x"), "shape_index")
+    one = F.struct("shape_index", F.struct(
+        "label", "shape_type", "points", F.concat(F.lit('née "'), "label", F.lit('"')).alias("note"),
+        F.struct((c("shape_index").cast("long") * 1000000007).alias("stamp"), F.array(c("x") / 8, F.lit(None)).alias("shares")).alias("extra")).alias("s"))
+    listed = shapes.groupBy("file").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    whole = F.struct(F.lit("5.4.1").alias("version"), F.transform("l", lambda e: e["s"]).alias("shapes"), F.lit("A" * 64).alias("imageData"),
+                     F.lit(60).alias("imageHeight"), F.lit(64).alias("imageWidth"))
+    source, target = scratch_path(spark, "shapes"), scratch_path(spark, "normalized")
+    write_shape_files(listed.select("file", F.to_json(whole).alias("document")), source.removeprefix("file:"), F.concat("file", F.lit(".json")))
+    name = F.regexp_extract("file", r"([^/]+)\.json$", 1)
+    documents = read_shape_documents(spark, source).withColumn("file", name)
+    read = read_labelme(spark, source).withColumn("file", name)
+    write_shape_files(cleaned_documents(documents, H.normalize_shapes(read)), target.removeprefix("file:"), F.concat("file", F.lit(".json")))
+    back = read_shape_documents(spark, target).select(name.alias("file"), F.from_json("document", """
+        imageData string, imageWidth int, shapes array<struct<label:string,shape_type:string,note:string,extra:struct<stamp:bigint,shares:array<double>>>>""").alias("d"))
+    return back.select("file", F.posexplode("d.shapes").alias("place", "s"), (c("d.imageData").isNull() & (c("d.imageWidth") == 64)).alias("payload_gone")).select(
+        "file", "place", "s.label", "s.shape_type", "s.note", "s.extra.stamp", c("s.extra.shares")[0].alias("share"), "payload_gone")
+
+
 @query("normalization_audit", f"""
     with {_VALID} select concat('f', cast(file_no as string)) as file, count(*) as input_shapes, count(*) filter (where valid and shape_no not in (select shape_no from flat)) as valid_instances,
       count(*) filter (where valid and cat in ('knot', 'crack')) as primary_instances, count(*) filter (where valid and cat not in ('knot', 'crack')) as ignored_instances,
