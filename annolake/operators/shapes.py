@@ -103,6 +103,62 @@ def self_intersections(polygons: DataFrame, keys: list[str], cell: float = EDGE_
     )
 
 
+def exact(value: Column) -> Column:
+    """A coordinate as a decimal of six places: differences and products of such are exact."""
+    return value.cast("decimal(14,6)")
+
+
+def turn_sign(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """Side of the point (x, y) seen along the line from 1 to 2: 1, -1, or 0 if it lies on the line. Exact on decimals."""
+    value = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    return F.when(value > 0, 1).when(value < 0, -1).otherwise(0)
+
+
+def outline_defects(polygons: DataFrame, keys: list[str], cell: float = EDGE_CELL) -> DataFrame:
+    """Polygons whose outline meets itself, each kind once (R17): ``crossing`` edges, a point ``touching`` an edge or another vertex,
+    edges ``overlapping`` along a stretch (also a spike that runs back on itself), and outlines that are ``flat`` (no area).
+
+    Signs come from decimals, so there is no tolerance; coordinates count to six places. Repeated points in a row are one. Edges
+    are spread over the grid cells they pass, so only edges sharing a cell meet.
+    """
+    whole = F.transform("polygon", lambda p: F.struct(exact(p.getItem(0)).alias("x"), exact(p.getItem(1)).alias("y")))
+    shaped = polygons.select(*keys, whole.alias("_all"))
+    step = F.zip_with("_all", rotated(F.col("_all")), lambda a, b: F.when(a != b, a))
+    shaped = shaped.select(*keys, F.array_compact(step).alias("_p"))
+    ring = F.zip_with("_p", rotated(F.col("_p")), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    area = F.aggregate(ring, F.lit(0).cast("decimal(38,12)"), lambda s, e: (s + e["x1"] * e["y2"] - e["x2"] * e["y1"]).cast("decimal(38,12)"))
+    flat = shaped.where(area == 0).select(*keys, F.lit("flat").alias("defect"))
+    edges = shaped.where(F.size("_p") >= 2).select(*keys, F.size("_p").alias("_n"), F.posexplode(ring).alias("_i", "_e"))
+    e = F.col("_e")
+    box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi).cast("double") / cell), F.floor(F.greatest(lo, hi).cast("double") / cell))
+    spread = edges.withColumn("_gx", F.explode(box(e["x1"], e["x2"]))).withColumn("_gy", F.explode(box(e["y1"], e["y2"])))
+    left = spread.withColumnRenamed("_i", "_a").withColumnRenamed("_e", "_ea")
+    right = spread.select(*keys, "_gx", "_gy", F.col("_i").alias("_b"), F.col("_e").alias("_eb"))
+    pairs = left.join(right, [*keys, "_gx", "_gy"]).where("_a < _b").select(*keys, "_n", "_a", "_b", "_ea", "_eb").distinct()
+    a, b = F.col("_ea"), F.col("_eb")
+    side = lambda s, t, end: turn_sign(s["x1"], s["y1"], s["x2"], s["y2"], t[f"x{end}"], t[f"y{end}"])
+    signed = pairs.select("*", side(a, b, 1).alias("_b1"), side(a, b, 2).alias("_b2"), side(b, a, 1).alias("_a1"), side(b, a, 2).alias("_a2"))
+
+    def within(s: Column, t: Column, end: int) -> Column:
+        x, y = t[f"x{end}"], t[f"y{end}"]
+        return x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"]))
+
+    def shared(axis: str) -> Column:
+        return F.least(F.greatest(a[f"{axis}1"], a[f"{axis}2"]), F.greatest(b[f"{axis}1"], b[f"{axis}2"])) - F.greatest(
+            F.least(a[f"{axis}1"], a[f"{axis}2"]), F.least(b[f"{axis}1"], b[f"{axis}2"]))
+
+    in_line = (F.col("_b1") == 0) & (F.col("_b2") == 0)
+    neighbours = (F.col("_b") - F.col("_a") == 1) | (F.col("_b") - F.col("_a") == F.col("_n") - 1)
+    stretch = in_line & (shared("x") >= 0) & (shared("y") >= 0) & ((shared("x") > 0) | (shared("y") > 0))
+    at_point = F.lit(False)
+    for sign, s, t, end in (("_b1", a, b, 1), ("_b2", a, b, 2), ("_a1", b, a, 1), ("_a2", b, a, 2)):
+        at_point = at_point | ((F.col(sign) == 0) & within(s, t, end))
+    kind = F.when(stretch, "overlapping").when(neighbours, None).when(
+        (F.col("_b1") * F.col("_b2") < 0) & (F.col("_a1") * F.col("_a2") < 0), "crossing").when(at_point, "touching")
+    met = signed.select(*keys, kind.alias("defect")).where("defect is not null").distinct()
+    return flat.unionByName(met)
+
+
 def normalize_shapes(shapes: DataFrame) -> DataFrame:
     """Shape by shape: the outcome, the new label and the list of changes.
 

@@ -288,6 +288,30 @@ _VALID = f"""
       abs(x * (y + 2) - (x + w) * y + (x + w) * (y + h) - (x + w - 3) * (y + 2) + (x + w - 3) * (y + h + 1) - (x - 1) * (y + h) + (x - 1) * y - x * (y + h + 1)) = 0)"""
 
 
+@query("outline_defects", f"""
+    with {_PTS}, q as (select shape_no, case when shape_type = 'polygon' then points else [[x, y], [x + w, y], [x + w, y + h], [x, y + h]] end as p
+      from pts where shape_type = 'polygon' or (w > 0 and h > 0)),
+    ed as (select shape_no, i, p[i][1] as x1, p[i][2] as y1, p[i % 4 + 1][1] as x2, p[i % 4 + 1][2] as y2 from q, range(1, 5) t(i)),
+    pr as (select a.shape_no, b.i - a.i <> 2 as adjacent, a.x1 as ax1, a.y1 as ay1, a.x2 as ax2, a.y2 as ay2, b.x1 as bx1, b.y1 as by1, b.x2 as bx2, b.y2 as by2,
+      sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) as s1, sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) as s2,
+      sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) as r1, sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) as r2,
+      least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) - greatest(least(a.x1, a.x2), least(b.x1, b.x2)) as cx,
+      least(greatest(a.y1, a.y2), greatest(b.y1, b.y2)) - greatest(least(a.y1, a.y2), least(b.y1, b.y2)) as cy
+      from ed a join ed b on a.shape_no = b.shape_no and a.i < b.i),
+    kind as (select shape_no, case when s1 = 0 and s2 = 0 and cx >= 0 and cy >= 0 and cx + cy > 0 then 'overlapping' when adjacent then null
+      when s1 * s2 < 0 and r1 * r2 < 0 then 'crossing'
+      when (s1 = 0 and bx1 between least(ax1, ax2) and greatest(ax1, ax2) and by1 between least(ay1, ay2) and greatest(ay1, ay2))
+        or (s2 = 0 and bx2 between least(ax1, ax2) and greatest(ax1, ax2) and by2 between least(ay1, ay2) and greatest(ay1, ay2))
+        or (r1 = 0 and ax1 between least(bx1, bx2) and greatest(bx1, bx2) and ay1 between least(by1, by2) and greatest(by1, by2))
+        or (r2 = 0 and ax2 between least(bx1, bx2) and greatest(bx1, bx2) and ay2 between least(by1, by2) and greatest(by1, by2)) then 'touching' end as defect from pr)
+    select distinct shape_no, defect from kind where defect is not null
+    union all select shape_no, 'flat' from q where list_sum(list_transform(range(1, 5), lambda i: p[i][1] * p[i % 4 + 1][2] - p[i % 4 + 1][1] * p[i][2])) = 0""")
+def _(spark, sf):
+    """Polygons and rectangles alike."""
+    df = shape_points(fixture(spark, sf, "fx_shapes")).select("shape_no", G.shape_to_polygon(c("shape_type"), c("points")).alias("polygon"))
+    return H.outline_defects(df.where(F.size("polygon") > 0), ["shape_no"], cell=16.0)
+
+
 # The outcome of every shape: new ids by plain definition, as in _DEDUPE, then the text of its changes.
 _NORMALIZED = f"""
     {_VALID},
