@@ -114,6 +114,7 @@ def integrity_report(
     c = F.col
     problem = lambda test, text, *parts: F.when(test, F.concat(F.lit(text), *[p.cast("string") for p in parts]))
     gap = lambda want, have: (F.lit("expected="), c(want), F.lit(", actual="), c(have))
+    # The texts of the report's errors and warnings, as written output.
     errors = F.array_compact(F.array(
         problem((c("ring_missing") > 0) | (c("ring_extra") > 0), "ring target sample mismatch: missing=", c("ring_missing"), F.lit(", extra="), c("ring_extra")),
         problem(c("ring_missing_paths") > 0, "missing ring target files: ", c("ring_missing_paths")),

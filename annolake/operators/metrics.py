@@ -277,7 +277,7 @@ def weighted_score(metrics: DataFrame, weights: dict[str, float], keys: Sequence
     """
     unknown = sorted(set(weights) - set(known)) if known is not None else []
     if unknown:
-        raise ValueError(f"invalid validation score weight: {unknown}")
+        raise ValueError(f"no such part of the score: {unknown}")
     factor = F.lit(0.0)
     for name, weight in weights.items():
         factor = F.when(F.col("metric") == name, F.lit(float(weight))).otherwise(factor)

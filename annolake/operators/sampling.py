@@ -36,11 +36,11 @@ def multilabel_weights(samples: DataFrame, labels: DataFrame, key: str = "sample
 def positive_fraction_weights(df: DataFrame, positive: Column, fraction: float) -> DataFrame:
     """Weights that draw positives with the given probability (M3)."""
     if not 0.0 < fraction < 1.0:
-        raise ValueError("fraction must be between 0 and 1")
+        raise ValueError(f"not a share of positive rows: {fraction}")
     flag = F.coalesce(positive, F.lit(False))
     counts = df.agg(F.count_if(flag).alias("p"), F.count_if(~flag).alias("n")).first()
     if not counts["p"] or not counts["n"]:
-        raise ValueError("positive-aware sampling needs positive and negative rows")
+        raise ValueError("rows of one kind only: nothing to balance")
     return df.withColumn(
         "weight", F.when(flag, F.lit(fraction / counts["p"])).otherwise(F.lit((1.0 - fraction) / counts["n"]))
     )
@@ -90,7 +90,7 @@ def task_schedule(ratios: dict[str, int]) -> list[str]:
     Step s (from 1) goes to the task whose due share, s * ratio, is furthest ahead of the steps it has had.
     """
     if not ratios or any(count <= 0 for count in ratios.values()):
-        raise ValueError(f"invalid task ratios: {ratios}")
+        raise ValueError(f"task shares that cannot be scheduled: {ratios}")
     period, steps = sum(ratios.values()), []
     while len(steps) < period:
         due = {task: (len(steps) + 1) * ratio - period * steps.count(task) for task, ratio in ratios.items()}

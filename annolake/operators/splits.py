@@ -19,7 +19,7 @@ def _cuts(total: Column, ratios: dict[str, float]) -> Column:
     Sizes are the floor of each share; the remainder goes to the largest fractions, ties by name.
     """
     if abs(sum(ratios.values()) - 1.0) > 1e-8:
-        raise ValueError(f"split ratios must sum to 1, got {ratios}")
+        raise ValueError(f"shares of the splits add up to {sum(ratios.values())} instead of 1: {ratios}")
     names = sorted(ratios)
     spots = F.sequence(F.lit(0), F.lit(len(ratios) - 1))
     shares = F.array(*[
