@@ -4,8 +4,10 @@ Level 0 encodes the listed keys, level 1 the unlisted keys of the corpus that le
 that level 1 wrongly holds, and so on until no key is wrong. A key's class is then the parity of the first level that
 does not hold it, exact for every key of the universe the cascade was built over: all distinct keys of the corpus.
 
-The key space is cut into slices by a hash, so that no filter is above ``slice_bytes``. One slice is broadcast and tested row
-by row; with more, verdicts are found for the distinct keys slice by slice, one broadcast at a time, and joined to the rows.
+The key space is cut into slices by a hash, so that no filter of listed keys is above ``slice_bytes``. A filter of wrongly held keys has
+under 1 in 100 of the slice's unlisted keys, so it is larger only where a corpus has over a hundred times as many keys as are listed.
+One slice is broadcast and tested row by row; with more, verdicts are found for the distinct keys slice by slice, one broadcast at a
+time, and joined to the rows.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; the empty host is a key like any other; null keys
 are members of nothing; repeated rows are judged each; with no listed key there is no member; an empty table gives an
