@@ -246,6 +246,28 @@ def _(spark, sf):
     return files.join(boxes, "file", "left")
 
 
+_LINES = """
+    lines as (select l_returnflag as folder, case l_partkey % 7
+        when 0 then concat(l_returnflag, ' 1 2 3') when 1 then concat(l_returnflag, ' 1,5 2 x 4') when 2 then ' ' when 3 then concat(l_returnflag, ' 1 2 3 inf')
+        when 4 then concat(l_returnflag, ' 1,25 2 3 4,75 9') else concat(l_returnflag, ' 1,25 2 ', cast(l_linenumber as string), ' 4,75') end as line,
+      case l_partkey % 7 when 0 then 'fields' when 1 then 'number' when 2 then 'blank' when 3 then 'not finite' when 4 then 'fields' end as reason, l_linenumber
+      from {items})"""
+
+
+@query("label_line_reasons", f"""
+    with {_LINES.replace('{items}', 'fx_items')}
+    select folder, coalesce(reason, 'good') as reason, count(*) as lines, cast(sum(case when reason is null then l_linenumber end) as double) as good_x2 from lines group by 1, 2""")
+def _(spark, sf):
+    """Each malformed line once with its reason; good lines are those of S7."""
+    told = spark.sql("with " + _LINES + " select folder, line from lines", items=fixture(spark, sf, "fx_items"))
+    path = _text(told, c("line"), "folder")
+    folder = F.regexp_extract("file", "folder=([^/]+)/", 1).alias("folder")
+    lines = S.label_line_reasons(spark, path, "corner_boxes").select(folder, F.coalesce("reason", F.lit("good")).alias("reason"))
+    finite = F.abs("y2") < float("inf")
+    boxes = S.read_corner_boxes(spark, path).where(c("x2").isNotNull() & finite).groupBy(folder).agg(F.sum("x2").alias("good_x2")).withColumn("reason", F.lit("good"))
+    return lines.groupBy("folder", "reason").agg(F.count(F.lit(1)).alias("lines")).join(boxes, ["folder", "reason"], "left")
+
+
 @query("label_text_roundtrip", """
     select split, lpad(cast(id as string), 8, '0') as name, (select count(*) from fx_annotations where image_id = fx_images.id) as lines from fx_images where ignored_instance_count = 0""")
 def _(spark, sf):

@@ -182,6 +182,28 @@ def read_center_polygons(spark: SparkSession, paths: str | list[str]) -> DataFra
     )
 
 
+#: Forms of label lines: fields asked for (polygons: at least), how many of them lead the numbers, and whether decimal commas are read.
+LINE_FORMS = {"corner_boxes": (5, True), "center_boxes": (5, False), "center_polygons": (7, False)}
+
+
+def label_line_reasons(spark: SparkSession, paths: str | list[str], form: str) -> DataFrame:
+    """Every line of label files with what is wrong with it (S7, S8): file, line, fields and reason.
+
+    reason is null for a good line; ``blank`` (no field), ``fields`` (too few or too many), ``odd`` (a polygon's coordinates do not
+    pair), ``number`` (a coordinate is no number) or ``not finite``. The readers skip ``blank`` and ``fields`` lines and give null or
+    the value itself in the others, so this is how a user finds what a source has lost.
+    """
+    wanted, commas = LINE_FORMS[form]
+    exact = form != "center_polygons"
+    numbers = F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(0)))
+    read = F.transform(numbers, lambda v: (F.replace(v, F.lit(","), F.lit(".")) if commas else v).try_cast("double"))
+    bad_count = (F.size("_f") != wanted) if exact else (F.size("_f") < wanted)
+    reason = (
+        F.when(F.trim("line") == "", "blank").when(bad_count, "fields").when(F.lit(not exact) & (F.size("_f") % 2 == 0), "odd")
+        .when(F.exists(read, lambda v: v.isNull()), "number").when(F.exists(read, lambda v: F.isnan(v) | (F.abs(v) == float("inf"))), "not finite"))
+    return _fields(spark, paths).select("file", "line", F.when(F.trim("line") == "", 0).otherwise(F.size("_f")).alias("fields"), reason.alias("reason"))
+
+
 def corner_box_pixels(df: DataFrame) -> DataFrame:
     """Pixel boxes of corner lines joined with width and height (G1)."""
     c = F.col
