@@ -51,6 +51,15 @@ def remove(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def separate_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with the settings of ``spark`` and some of its own, which ``spark`` keeps no trace of."""
+    own = spark.newSession()
+    for name, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A driver-side constant table. Spark knows its exact size and plans the join by it."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
