@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annolake.llm import (
     bpe, chat, clustering, codes, packing, quality, ranking, runs, secrets, sharding, simhash, topk, url_filter,
 )
+from annolake.session import separate_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,6 +132,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    # Texts, ids and decoded bytes of a batch are in memory together in four workers of an executor; other queries keep their batches.
+    spark = separate_session(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"})
     coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),

@@ -308,6 +308,14 @@ def test_bpe_like_the_library(spark, which, most):
     assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), bytes(r["decoded"])) for r in got) == expected
 
 
+def test_bpe_query_leaves_the_session_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = queries.QUERIES["op7_byte_bpe"](spark, SF)
+    assert rows.sparkSession.conf.get(name) == "500" and rows.sparkSession.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert rows.count() == documents(spark).count() and spark.conf.get(name) == before
+
+
 # SimHash
 
 @pytest.mark.parametrize("which", TABLES)
