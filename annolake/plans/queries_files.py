@@ -241,7 +241,7 @@ def _(spark, sf):
     path = scratch_path(spark, "label-files")
     K.write_label_files(label_lines(fixture(spark, sf, "fx_images"), polygon_annotations(spark, sf)), path.removeprefix("file:"))
     name = lambda column: F.regexp_extract(column, r"([^/]+/[^/]+)\.txt$", 1)
-    boxes = S.read_center_boxes(spark, f"{path}/*/*.txt").select(name("file").alias("file"), "class_id", "cx", "cy", "w", "h")
+    boxes = S.read_center_boxes(spark, f"{path}/*").select(name("file").alias("file"), "class_id", "cx", "cy", "w", "h")
     files = S.list_assets(spark, path, ["txt"]).select(name("path").alias("file"))
     return files.join(boxes, "file", "left")
 
