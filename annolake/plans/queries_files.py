@@ -7,14 +7,16 @@ from pyspark.sql import types as T
 
 from annolake import schema
 from annolake.functions.geometry import xywh
+from annolake.functions.labels import hex_hash, parse_hex_hash
 from annolake.operators import metrics as E
 from annolake.operators import profile as P
 from annolake.operators.annotations import crop_index, label_lines
+from annolake.operators.duplicates import resolve_hash
 from annolake.operators.integrity import integrity_report
 from annolake.plans.build import build_catalog
 from annolake.plans.fixtures import fixture
 from annolake.plans.queries_geometry import polygon_annotations, shape_rows
-from annolake.plans.queries_metrics import near_duplicates
+from annolake.plans.queries_metrics import hashed, near_duplicates
 from annolake.plans.registry import query
 from annolake.presets import taxonomy
 from annolake.session import scratch_path
@@ -335,6 +337,21 @@ def _(spark, sf):
     return S.read_table(spark, path, kind).groupBy("hamming_distance").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query("hash_index", """
+    with h as (select *, xor(('0x' || substr(sha256(cast(o_custkey as varchar)), 1, 15))::bigint, 1::bigint << cast(o_orderkey % 60 as int)) as phash from fx_hash)
+    select cast(sample_id as varchar) as sample_id, image_path, split, group_id, lpad(lower(to_hex(phash)), 16, '0') as phash_hex,
+      case when sample_id % 3 = 0 then 'precomputed' else 'computed' end as hash_source, phash from h""")
+def _(spark, sf):
+    """The index of hashes with their source (K8), written and read back; the text form gives the hash again."""
+    given = hashed(spark, sf)
+    resolved = resolve_hash(given.drop("phash"), given.where("sample_id % 3 = 0").select("sample_id", "phash"), given.where("sample_id < 0").select("sample_id", "image_path", "phash"))
+    fresh = resolved.join(given.select("sample_id", c("phash").alias("own")), "sample_id").withColumn("phash", F.coalesce("phash", "own"))
+    path = scratch_path(spark, "hashes")
+    K.write_index(fresh.withColumn("phash_hex", hex_hash(c("phash"))), path, "hash")
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in schema.INDEX_COLUMNS["hash"]])
+    return S.read_table(spark, path, kind).withColumn("phash", parse_hex_hash(c("phash_hex")))
+
+
 @query("mask_contract_roundtrip", "select sample_id, split, defect_mask_path as source_semantic_mask from fx_catalog where dataset_id = '2-HIGH'")
 def _(spark, sf):
     path = scratch_path(spark, "contract")
