@@ -411,6 +411,29 @@ def _(spark, sf):
     return cells.groupBy("image_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum(c("v").cast("double") * (c("i") + 1)), 2).alias("weighted"))
 
 
+# A whole 32 x 32 grey picture from every vector; the same arithmetic in both engines.
+_SHADE = "(abs(cast(floor(embedding[{at}] * 1000) as bigint)) * (y + 3) + x * x * 17 + y * 29) % 256"
+
+
+@query("perceptual_hash_32", f"""
+    with basis as (select u, i, sqrt(case when u = 0 then 1.0 else 2.0 end / 32.0) * cos(pi() * (2 * i + 1) * u / 64.0) as w from range(8) t(u), range(32) r(i)),
+    px as (select vec_id, y, x, {_SHADE.format(at='(y * 32 + x) % 64 + 1')} as v from embeddings, range(32) a(y), range(32) b(x)),
+    gr as (select vec_id, y, x, cast(v * 0.114::double + v * 0.587::double + v * 0.299::double as float)::double as g from px),
+    half as (select vec_id, y, u as v, sum(g * w) as k from gr join basis on i = x group by 1, 2, 3),
+    e as (select vec_id, u, v, sum(k * w) as k from half join basis on i = y group by 1, 2, 3),
+    d as (select vec_id, median(k) filter (where u + v > 0) as mid from e group by 1)
+    select e.vec_id, string_agg(case when k > mid then '1' else '0' end, '' order by u, v) as bits from e join d using (vec_id) group by 1""")
+def _(spark, sf):
+    """From pixels to the 32 x 32 grid (P13) and its hash."""
+    cells = fixture(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("x"))
+    shade = F.expr(_SHADE.format(at="(y * 32 + x) % 64"))
+    pixels = cells.select(c("vec_id").alias("image_id"), "y", "x", *[shade.alias(k) for k in "bgr"])
+    sizes = pixels.select("image_id").distinct().select("image_id", F.lit(32).alias("width"), F.lit(32).alias("height"))
+    grids = D.gray_grid(pixels, sizes, 32)
+    return grids.select(c("image_id").alias("vec_id"), F.lpad(F.bin(D.perceptual_hash(c("gray"), 32)), 64, "0").alias("bits"))
+
+
 # Sampling ----------------------------------------------------------------------------------
 
 
