@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annolake.functions.geometry import polygon_area, rotated, shape_to_polygon, touches_frame
 from annolake.functions.labels import format_pipe_label, parse_pipe_label
 from annolake.presets import CATEGORY_IDS
-from annolake.session import stable
+from annolake.session import spread, stable
 
 EDGE_CELL = 64.0
 
@@ -77,7 +77,7 @@ def self_intersections(polygons: DataFrame, keys: list[str], cell: float = EDGE_
 
     Edges are spread over the grid cells they pass, so only edges sharing a cell meet.
     """
-    points = F.col("polygon")
+    points, polygons = F.col("polygon"), spread(polygons, *keys)
     flat = polygons.where(polygon_area(points) == 0).select(*keys, F.lit("zero_area").alias("defect"))
     edges = polygons.select(
         *keys, F.size(points).alias("_n"),
@@ -87,9 +87,10 @@ def self_intersections(polygons: DataFrame, keys: list[str], cell: float = EDGE_
     )
     box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / cell), F.floor(F.greatest(lo, hi) / cell))
     e = F.col("_e")
-    spread = edges.withColumn("_gx", F.explode(box(e["x1"], e["x2"]))).withColumn("_gy", F.explode(box(e["y1"], e["y2"])))
-    left = spread.withColumnRenamed("_i", "_a").withColumnRenamed("_e", "_ea")
-    right = spread.select(*keys, "_gx", "_gy", F.col("_i").alias("_b"), F.col("_e").alias("_eb"))
+    placed = edges.withColumn("_gx", F.explode(box(e["x1"], e["x2"]))).withColumn("_gy", F.explode(box(e["y1"], e["y2"])))
+    left = placed.withColumnRenamed("_i", "_a").withColumnRenamed("_e", "_ea")
+    # Edges are many more than the polygons Spark knows the size of: never sent whole to every task.
+    right = placed.select(*keys, "_gx", "_gy", F.col("_i").alias("_b"), F.col("_e").alias("_eb")).hint("merge")
     turn = lambda s, x, y: F.signum((s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"]))
     a, b = F.col("_ea"), F.col("_eb")
     crossing = (
@@ -122,7 +123,7 @@ def outline_defects(polygons: DataFrame, keys: list[str], cell: float = EDGE_CEL
     are spread over the grid cells they pass, so only edges sharing a cell meet.
     """
     whole = F.transform("polygon", lambda p: F.struct(exact(p.getItem(0)).alias("x"), exact(p.getItem(1)).alias("y")))
-    shaped = polygons.select(*keys, whole.alias("_all"))
+    shaped = spread(polygons, *keys).select(*keys, whole.alias("_all"))
     step = F.zip_with("_all", rotated(F.col("_all")), lambda a, b: F.when(a != b, a))
     shaped = shaped.select(*keys, F.array_compact(step).alias("_p"))
     ring = F.zip_with("_p", rotated(F.col("_p")), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
@@ -131,9 +132,10 @@ def outline_defects(polygons: DataFrame, keys: list[str], cell: float = EDGE_CEL
     edges = shaped.where(F.size("_p") >= 2).select(*keys, F.size("_p").alias("_n"), F.posexplode(ring).alias("_i", "_e"))
     e = F.col("_e")
     box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi).cast("double") / cell), F.floor(F.greatest(lo, hi).cast("double") / cell))
-    spread = edges.withColumn("_gx", F.explode(box(e["x1"], e["x2"]))).withColumn("_gy", F.explode(box(e["y1"], e["y2"])))
-    left = spread.withColumnRenamed("_i", "_a").withColumnRenamed("_e", "_ea")
-    right = spread.select(*keys, "_gx", "_gy", F.col("_i").alias("_b"), F.col("_e").alias("_eb"))
+    placed = edges.withColumn("_gx", F.explode(box(e["x1"], e["x2"]))).withColumn("_gy", F.explode(box(e["y1"], e["y2"])))
+    left = placed.withColumnRenamed("_i", "_a").withColumnRenamed("_e", "_ea")
+    # Edges are many more than the polygons Spark knows the size of: never sent whole to every task.
+    right = placed.select(*keys, "_gx", "_gy", F.col("_i").alias("_b"), F.col("_e").alias("_eb")).hint("merge")
     pairs = left.join(right, [*keys, "_gx", "_gy"]).where("_a < _b").select(*keys, "_n", "_a", "_b", "_ea", "_eb").distinct()
     a, b = F.col("_ea"), F.col("_eb")
     side = lambda s, t, end: turn_sign(s["x1"], s["y1"], s["x2"], s["y2"], t[f"x{end}"], t[f"y{end}"])

@@ -7,6 +7,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Least number of tasks for rows that are about to grow.
+SPREAD = 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. Only a session on one machine may do without the setting."""
@@ -69,3 +72,12 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) ->
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to at least ``SPREAD`` tasks, for steps that make many rows of one.
+
+    Spark deals rows by their size before such a step, so a small file would grow to millions of rows in one task. Steps
+    that group by the same keys afterwards need no further shuffle.
+    """
+    return df.repartition(max(SPREAD, shuffle_partitions(df)), *keys)
