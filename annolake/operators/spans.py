@@ -49,7 +49,8 @@ def areas(runs: DataFrame, keys: Sequence[str], name: str = "area") -> DataFrame
 def overlaps(left: DataFrame, right: DataFrame, row: Sequence[str], keys: Sequence[str], name: str = "inter") -> DataFrame:
     """Shared pixels of masks that meet in a ``row``, summed by ``keys`` (of either side), from disjoint runs."""
     a, b = left.withColumnsRenamed({"x1": "_a1", "x2": "_a2"}), right.withColumnsRenamed({"x1": "_b1", "x2": "_b2"})
-    both = a.join(b, list(row)).where("_a1 < _b2 and _b1 < _a2")
+    # Runs are many more than the outlines Spark knows the size of: never sent whole to every task.
+    both = a.join(b.hint("merge"), list(row)).where("_a1 < _b2 and _b1 < _a2")
     return both.groupBy(*keys).agg(F.sum((F.least("_a2", "_b2") - F.greatest("_a1", "_b1")).cast("long")).alias(name))
 
 
