@@ -10,13 +10,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_pixel_span, rotated
 from annolake.presets import IGNORE_VALUE
-from annolake.session import stable
+from annolake.session import spread, stable
 
 DISTANCE_TAU = 16.0
 TILE = 256
@@ -32,12 +33,10 @@ def polygon_spans(df: DataFrame, keys: Sequence[str], points: str = "points", wi
     ys = F.transform(points, lambda p: p.getItem(1))
     first = F.greatest(F.lit(0), F.ceil(F.array_min(ys)).cast("int"))
     last = F.least(F.col(height) - 1, F.floor(F.array_max(ys)).cast("int"))
-    lines = (
-        df.where(F.size(points) >= 3)
-        .select(*keys, F.col(points).alias("_p"), F.col(width).alias("_w"), first.alias("_a"), last.alias("_b"))
-        .where(F.col("_a") <= F.col("_b"))
-        .withColumn("y", F.explode(F.sequence("_a", "_b")))
-    )
+    shapes = df.where(F.size(points) >= 3).select(
+        *keys, F.col(points).alias("_p"), F.col(width).alias("_w"), first.alias("_a"), last.alias("_b")
+    ).where(F.col("_a") <= F.col("_b"))
+    lines = spread(shapes, *keys[:1]).withColumn("y", F.explode(F.sequence("_a", "_b")))
     y = F.col("y")
     cuts = F.array_sort(F.array_compact(F.zip_with(
         "_p", rotated(F.col("_p")),
@@ -77,7 +76,10 @@ def rasterize(df: DataFrame, keys: Sequence[str], border: bool = False, **names:
 
 
 def trace_lines(df: DataFrame, keys: Sequence[str], closed: bool, points: str = "points", width: str = "width", height: str = "height") -> DataFrame:
-    """Distinct one-pixel line pixels through the rounded vertices, inside the image (R2)."""
+    """Distinct one-pixel line pixels through the rounded vertices, inside the image (R2).
+
+    Lines are dealt by their first key, the image, before they become pixels; no pixel is shuffled.
+    """
     whole = rounded_points(F.col(points))
     ends = rotated(F.col("_p")) if closed else F.slice("_p", 2, F.size("_p"))
     edges = F.filter(
@@ -85,9 +87,9 @@ def trace_lines(df: DataFrame, keys: Sequence[str], closed: bool, points: str =
     )
     at = lambda end, axis: F.col(f"_e.{end}").getItem(axis)
     dx, dy = at("b", 0) - at("a", 0), at("b", 1) - at("a", 1)
+    shapes = df.where(F.size(points) >= 2).select(*keys, F.col(width).alias("_w"), F.col(height).alias("_h"), whole.alias("_p"))
     lines = (
-        df.where(F.size(points) >= 2)
-        .select(*keys, F.col(width).alias("_w"), F.col(height).alias("_h"), whole.alias("_p"))
+        spread(shapes, *keys[:1])
         .select(*keys, "_w", "_h", F.explode(edges).alias("_e"))
         .withColumn("_n", F.greatest(F.abs(dx), F.abs(dy)).cast("int"))
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
@@ -123,36 +125,151 @@ def dilate(pixels: DataFrame, radius: int, sizes: DataFrame | None = None, keys:
     return result.select(*keys, "y", "x")
 
 
+#: A gap beyond every image.
+FAR = 1 << 20
+_GRID, _SKELETON, _VALID, _INSTANCE, _LABEL = range(5)
+
+
+def _layer_kernel(kind: T.StructField, names: Sequence[str], tile: int, radius: int, tau: float, masked: bool):
+    """Kernel over rows sorted by tile: the pixels of a tile with the layers ``names``, by array passes over rows and columns."""
+    reach = int(np.ceil(tau))
+    margin = max(reach, radius)
+    types = {"distance": (pa.float64(), T.DoubleType()), "instance": (pa.int32(), T.IntegerType())}
+    arrow, spark = zip(*[types.get(name, (pa.bool_(), T.BooleanType())) for name in names])
+    schema = T.StructType([
+        kind, T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *map(T.StructField, names, spark)])
+
+    def gap(marked: np.ndarray) -> np.ndarray:
+        """Distance to the nearest marked pixel of the same row, for the columns inside the margin."""
+        x = np.arange(marked.shape[1])
+        left = np.maximum.accumulate(np.where(marked, x, -FAR), axis=1)
+        right = np.minimum.accumulate(np.where(marked, x, FAR)[:, ::-1], axis=1)[:, ::-1]
+        return np.minimum(x - left, right - x)[:, margin:marked.shape[1] - margin]
+
+    def layers(top: int, left: int, of: np.ndarray, y: np.ndarray, x: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """y, x and layers for each size of the tile's image."""
+        sizes = list(zip(y[of == _GRID].tolist(), x[of == _GRID].tolist()))
+        if not sizes:
+            return
+        h, w = min(tile, max(s[0] for s in sizes) - top), min(tile, max(s[1] for s in sizes) - left)
+        y, x = y - top, x - left
+
+        def spots(kinds: tuple[int, ...], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            hit = np.isin(of, kinds) & (y >= -edge) & (x >= -edge) & (y < h + edge) & (x < w + edge)
+            return y[hit] + edge, x[hit] + edge, hit
+
+        marked = np.zeros((h + 2 * margin, w + 2 * margin), bool)
+        marked[spots((_SKELETON,), margin)[:2]] = True
+        # Skeleton pixels outside the image thicken its rim, but no distance is measured to them.
+        image = np.zeros_like(marked)
+        for height, width in set(sizes):
+            image[max(0, margin - top):max(0, height - top + margin), max(0, margin - left):max(0, width - left + margin)] = True
+        inside = np.full((h, w), not masked)
+        inside[spots((_VALID, _LABEL), 0)[:2]] = True
+        made = {"skeleton": marked[margin:margin + h, margin:margin + w], "valid": inside}
+        if "distance" in names:
+            flat, square = gap(marked & image) ** 2, np.full((h, w), FAR * FAR)
+            for dy in range(-reach, reach + 1):
+                np.minimum(square, flat[margin + dy:margin + dy + h] + dy * dy, out=square)
+            made["distance"] = np.where(inside, np.minimum(np.sqrt(square) / tau, 1.0), 1.0)
+        if "boundary" in names:
+            close, thick = gap(marked) <= radius, np.zeros((h, w), bool)
+            for dy in range(-radius, radius + 1):
+                thick |= close[margin + dy:margin + dy + h]
+            made["boundary"] = thick & inside
+        if "instance" in names:
+            made["instance"] = np.zeros((h, w), np.int32)
+            at_y, at_x, hit = spots((_INSTANCE, _LABEL), 0)
+            made["instance"][at_y, at_x] = n[hit]
+        for height, width in sizes:
+            ys, xs = np.mgrid[0:max(0, min(h, height - top)), 0:max(0, min(w, width - left))]
+            yield tuple(v.ravel() for v in (ys + top, xs + left, *[made[name][:ys.shape[0], :ys.shape[1]] for name in names]))
+
+    def filled(block: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [block.column(name).to_numpy() for name in ("_ty", "_tx", "kind", "y", "x")]
+        n = block.column("n").fill_null(0).to_numpy()
+        own, parts, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            at = np.repeat(own, [len(part[0]) for part in parts])
+            values = [np.concatenate(column) for column in zip(*parts)]
+            return pa.RecordBatch.from_arrays(
+                [block.column("image_id").take(pa.array(at)).combine_chunks(),
+                 *[pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), *arrow))]], names=schema.names)
+
+        for a, b in zip(starts, [*starts[1:], block.num_rows]):
+            ty, tx, of, y, x = (column[a:b] for column in columns)
+            for part in layers(int(ty[0]) * tile, int(tx[0]) * tile, of, y, x, n[a:b]):
+                own.append(a)
+                parts.append(part)
+                size += len(part[0])
+                if size >= tile * tile:
+                    yield batch()
+                    own, parts, size = [], [], 0
+        if parts:
+            yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            block = more if held is None else pa.concat_tables([held, more]).combine_chunks()
+            if not block.num_rows:
+                continue
+            image = block.column("image_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            place = np.stack([image, block.column("_ty").to_numpy(), block.column("_tx").to_numpy()])
+            starts = np.concatenate(([0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1))
+            # The last tile may go on in the next batch.
+            held = block.slice(starts[-1])
+            if len(starts) > 1:
+                yield from filled(block.slice(0, starts[-1]).combine_chunks(), starts[:-1])
+        if held is not None and held.num_rows:
+            yield from filled(held.combine_chunks(), np.zeros(1, int))
+
+    return run, schema
+
+
+def grid_layers(
+    skeleton: DataFrame, sizes: DataFrame, names: Sequence[str], valid: DataFrame | None = None, labels: DataFrame | None = None,
+    radius: int = 0, tau: float = DISTANCE_TAU, tile: int = TILE,
+) -> DataFrame:
+    """Every pixel of every image with the layers ``names``: skeleton, boundary (within ``radius`` of it), distance (over ``tau``, 1 at most), instance, valid.
+
+    Pixels that carry something are dealt to tiles once, skeleton pixels also to the tiles they reach; the grid is only made in the
+    task of its tile, so nothing is joined to it. Valid pixels come from ``valid`` or, with numbers, from ``labels`` (instance,
+    valid); without both every pixel is valid.
+    """
+    margin = max(int(np.ceil(tau)), radius)
+    cell = lambda v: F.floor(v / tile).cast("int")
+    span = lambda first, last: F.explode(F.sequence(F.greatest(F.lit(0), cell(first)), cell(last)))
+    rows = lambda df, ty, tx, kind, y="y", x="x", n=F.lit(None): df.withColumn("_ty", ty).withColumn("_tx", tx).select(
+        "image_id", "_ty", "_tx", kind.cast("int").alias("kind"), F.col(y).cast("int").alias("y"), F.col(x).cast("int").alias("x"), n.cast("int").alias("n"))
+    known = lambda df: df.where("image_id is not null and y is not null and x is not null")
+    own = lambda df, kind, n=F.lit(None): rows(known(df), cell(F.col("y")), cell(F.col("x")), kind, n=n)
+
+    same = Window.partitionBy("image_id")
+    grids = sizes.where((F.col("width") > 0) & (F.col("height") > 0)).select(
+        "image_id", "width", "height", F.max("height").over(same).alias("_h"), F.max("width").over(same).alias("_w"))
+    marked = known(skeleton).where((F.col("y") >= -margin) & (F.col("x") >= -margin))
+    events = rows(grids, span(F.lit(0), F.col("_h") - 1), span(F.lit(0), F.col("_w") - 1), F.lit(_GRID), "height", "width").unionByName(
+        rows(marked, span(F.col("y") - margin, F.col("y") + margin), span(F.col("x") - margin, F.col("x") + margin), F.lit(_SKELETON)))
+    if labels is not None:
+        events = events.unionByName(own(labels, F.when(F.col("valid"), _LABEL).otherwise(_INSTANCE), F.col("instance")))
+    if valid is not None:
+        events = events.unionByName(own(valid, F.lit(_VALID)))
+    place = ["image_id", "_ty", "_tx"]
+    kernel, schema = _layer_kernel(events.schema["image_id"], names, tile, radius, tau, valid is not None or labels is not None)
+    made = spread(events, *place).sortWithinPartitions(*place).mapInArrow(kernel, schema)
+    typed = image_grid(sizes).schema
+    return made.select("image_id", *[F.col(v).cast(typed[v].dataType).alias(v) for v in ("y", "x")], *names)
+
+
 def truncated_distance(skeleton: DataFrame, sizes: DataFrame, valid: DataFrame | None = None, tau: float = DISTANCE_TAU) -> DataFrame:
     """min(distance to the nearest skeleton pixel / tau, 1) per pixel, 1 outside ``valid``.
 
-    Two passes over single rows and columns: the nearest skeleton pixel along the row, then
-    the best of the rows within tau. Windows hold one row or one column of one image.
+    Two passes in each tile: the nearest skeleton pixel along the row, then the best of the rows within tau.
     """
-    reach = int(np.ceil(tau))
-    marked = skeleton.select("image_id", "y", "x", F.lit(True).alias("_on")).distinct()
-    grid = image_grid(sizes).join(marked, ["image_id", "y", "x"], "left")
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    seen = F.when(F.col("_on"), F.col("x"))
-    left = F.last(seen, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(seen, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("x") - left, right - F.col("x"))
-    flat = grid.withColumn("_dx", gap)
-    column = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-reach, reach)
-    near = F.collect_list(F.when(F.col("_dx") <= reach, F.struct("y", "_dx"))).over(column)
-    square = F.array_min(F.transform(
-        near, lambda e: (e["y"] - F.col("y")) * (e["y"] - F.col("y")) + e["_dx"] * e["_dx"]
-    ))
-    result = flat.withColumn("_sq", square).select(
-        "image_id", "y", "x",
-        F.coalesce(F.least(F.sqrt(F.col("_sq")) / tau, F.lit(1.0)), F.lit(1.0)).alias("distance"),
-    )
-    if valid is None:
-        return result
-    inside = valid.select("image_id", "y", "x", F.lit(True).alias("_valid")).distinct()
-    return result.join(inside, ["image_id", "y", "x"], "left").select(
-        "image_id", "y", "x", F.when(F.col("_valid"), F.col("distance")).otherwise(1.0).alias("distance")
-    )
+    return grid_layers(skeleton, sizes, ["distance"], valid, tau=tau)
 
 
 def label_skeleton(pixels: DataFrame, background: int = IGNORE_VALUE) -> DataFrame:
@@ -164,7 +281,8 @@ def label_skeleton(pixels: DataFrame, background: int = IGNORE_VALUE) -> DataFra
 
 def apply_valid_mask(skeleton: DataFrame, mask: DataFrame, level: int = 128) -> DataFrame:
     """Skeleton pixels where the mask reaches ``level``."""
-    valid = mask.where(F.col("value") >= level).select("image_id", "y", "x")
+    # A mask has every pixel of its image: never sent whole to every task.
+    valid = mask.where(F.col("value") >= level).select("image_id", "y", "x").hint("merge")
     return skeleton.join(valid, ["image_id", "y", "x"], "left_semi")
 
 
@@ -195,16 +313,22 @@ def ring_order(polygons: DataFrame) -> DataFrame:
     """Rings numbered from 0 by area inside their image, as ``ring``."""
     from annolake.functions.geometry import polygon_area
 
-    sized = polygons.where(F.size("points") >= 3).withColumn("_area", polygon_area(F.col("points")))
+    sized = spread(polygons.where(F.size("points") >= 3), "image_id").withColumn("_area", polygon_area(F.col("points")))
     # The rings of one image are few, so a window holds one image.
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("_area", "shape_index"))
     return sized.withColumn("ring", (place - 1).cast("int")).drop("_area")
 
 
-def ring_cover(rings: DataFrame) -> DataFrame:
+def ring_cover(rings: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """For every pixel in a ring fill, the sorted numbers of the rings that cover it."""
-    fill = rasterize(rings, ["image_id", "ring"], border=True)
-    return fill.groupBy("image_id", "y", "x").agg(F.array_sort(F.collect_set("ring")).alias("rings"))
+    fill = rasterize(rings, [*keys, "ring"], border=True)
+    return fill.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_set("ring")).alias("rings"))
+
+
+def _cover_with_last(rings: DataFrame) -> DataFrame:
+    """The cover of every pixel with the number of the image's last ring, which goes with the rings, so no pixel is joined."""
+    known = rings.where("image_id is not null")
+    return ring_cover(known.withColumn("_last", F.max("ring").over(Window.partitionBy("image_id"))), ["image_id", "_last"])
 
 
 def ring_instances(rings: DataFrame) -> DataFrame:
@@ -212,10 +336,9 @@ def ring_instances(rings: DataFrame) -> DataFrame:
 
     A pixel in ring i but not in ring i-1 belongs to i; the largest such i wins.
     """
-    last = rings.groupBy("image_id").agg(F.max("ring").alias("_last"))
     own = F.filter("rings", lambda i: (i > 0) & ~F.array_contains("rings", i - 1))
     valid = F.array_contains("rings", F.col("_last"))
-    return ring_cover(rings).join(last, "image_id").select(
+    return _cover_with_last(rings).select(
         "image_id", "y", "x",
         F.when(valid, F.coalesce(F.array_max(own), F.lit(0))).otherwise(0).alias("instance"), valid.alias("valid"),
     )
@@ -226,7 +349,7 @@ def non_nested_pairs(rings: DataFrame) -> DataFrame:
     last = rings.groupBy("image_id").agg(F.max("ring").alias("_last"))
     loose = F.filter("rings", lambda i: (i < F.col("_last")) & ~F.array_contains("rings", i + 1))
     bad = (
-        ring_cover(rings).join(last, "image_id").select("image_id", F.explode(loose).alias("inner"))
+        _cover_with_last(rings).select("image_id", F.explode(loose).alias("inner"))
         .distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("_bad"))
     )
     return last.join(bad, "image_id", "left").select(
@@ -234,23 +357,14 @@ def non_nested_pairs(rings: DataFrame) -> DataFrame:
     )
 
 
+_LAYERS = ["skeleton", "boundary", "distance", "instance", "valid"]
+
+
 def _targets(
-    skeleton: DataFrame, sizes: DataFrame, valid: DataFrame | None, instance: DataFrame | None, boundary_width: int, tau: float,
+    skeleton: DataFrame, sizes: DataFrame, valid: DataFrame | None, labels: DataFrame | None, boundary_width: int, tau: float,
 ) -> DataFrame:
-    """The five target layers on the whole grid; without ``valid`` every pixel is, without ``instance`` all are 0."""
-    spot = ["image_id", "y", "x"]
-    flag = lambda df, name: df.select(*spot, F.lit(True).alias(name)).distinct()
-    layers = truncated_distance(skeleton, sizes, valid, tau).join(flag(skeleton, "_skeleton"), spot, "left")
-    layers = layers.join(flag(dilate(skeleton, max(0, (boundary_width - 1) // 2), sizes), "_thick"), spot, "left")
-    inside = F.lit(True)
-    if valid is not None:
-        layers, inside = layers.join(flag(valid, "_valid"), spot, "left"), F.coalesce("_valid", F.lit(False))
-    number = F.lit(0)
-    if instance is not None:
-        layers, number = layers.join(instance.select(*spot, "instance"), spot, "left"), F.coalesce("instance", F.lit(0))
-    yes = lambda name: F.coalesce(name, F.lit(False))
-    return layers.select(
-        *spot, yes("_skeleton").alias("skeleton"), (yes("_thick") & inside).alias("boundary"), "distance", number.alias("instance"), inside.alias("valid"))
+    """The five target layers on the whole grid; without ``valid`` and ``labels`` every pixel is valid, without ``labels`` instances are 0."""
+    return grid_layers(skeleton, sizes, _LAYERS, valid, labels, max(0, (boundary_width - 1) // 2), tau)
 
 
 def ring_targets(polygons: DataFrame, sizes: DataFrame, boundary_width: int = 5, tau: float = DISTANCE_TAU) -> DataFrame:
@@ -258,7 +372,7 @@ def ring_targets(polygons: DataFrame, sizes: DataFrame, boundary_width: int = 5,
     rings = ring_order(polygons)
     labels = ring_instances(rings)
     skeleton = trace_lines(rings, ["image_id"], closed=True)
-    return _targets(skeleton, sizes, labels.where("valid"), labels, boundary_width, tau)
+    return _targets(skeleton, sizes, None, labels, boundary_width, tau)
 
 
 def ring_targets_raster(labels: DataFrame, sizes: DataFrame, boundary_width: int = 5, tau: float = DISTANCE_TAU) -> DataFrame:
@@ -507,9 +621,8 @@ def paint_annotations(annotations: DataFrame) -> DataFrame:
 
 def near_far_regions(masks: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
     """Every pixel tagged near (within the dilated union of masks) or far."""
-    near = dilate(masks, radius, sizes).select("image_id", "y", "x", F.lit(True).alias("_near"))
-    return image_grid(sizes).join(near, ["image_id", "y", "x"], "left").select(
-        "image_id", "y", "x", F.when(F.col("_near"), "near").otherwise("far").alias("region")
+    return grid_layers(masks, sizes, ["boundary"], radius=radius, tau=0.0).select(
+        "image_id", "y", "x", F.when(F.col("boundary"), "near").otherwise("far").alias("region")
     )
 
 

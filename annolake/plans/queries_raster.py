@@ -224,7 +224,7 @@ def _(spark, sf):
       0 as instance, true as valid from gr left join lb using (image_id, y, x)""")
 def _(spark, sf):
     df = pixels(spark, sf)
-    grid = R.image_grid(frames(df)).join(df.where("v > 150").select(*SPOT, F.lit(1).alias("one")), SPOT, "left")
+    grid = R.image_grid(frames(df)).join(df.where("v > 150").select(*SPOT, F.lit(1).alias("one")).hint("merge"), SPOT, "left")
     labels = grid.select(*SPOT, F.when(c("one").isNull(), 255).otherwise(7).alias("value"))
     return R.ring_targets_raster(labels, frames(df), boundary_width=3).drop("distance")
 
