@@ -40,12 +40,19 @@ def _brackets(text: Column) -> Column:
     return _count(bare, "{[") - _count(bare, "]")
 
 
+def _quiet(piece: Column) -> Column:
+    """A piece without its escapes."""
+    return F.regexp_replace(piece, r"\\.", "")
+
+
 def _pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, block, id, piece (without its closing brace), quiet (without escapes), in file order by block and id."""
+    """file, block, id, piece (without its closing brace), its quotes and the change of its brackets if it begins outside strings (plain)
+    and inside one (turned), in file order by block and id. With these numbers only one later pass needs the text."""
     text = spark.read.option("lineSep", "}").text(paths if isinstance(paths, str) else list(paths))
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
-        F.col("value").alias("piece")).withColumn("quiet", F.regexp_replace("piece", r"\\.", "")).withColumn("quotes", _count(F.col("quiet"), '"'))
+        F.col("value").alias("piece"), _count(_quiet(F.col("value")), '"').alias("quotes"),
+        _brackets(_quiet(F.col("value"))).alias("plain"), _brackets(F.concat(F.lit('"'), _quiet(F.col("value")))).alias("turned"))
 
 
 def list_elements(spark: SparkSession, paths: str | Sequence[str], lists: Sequence[str]) -> DataFrame:
@@ -65,7 +72,7 @@ def list_elements(spark: SparkSession, paths: str | Sequence[str], lists: Sequen
     def change(in_string: Column) -> Column:
         """Depth from the start of a piece to behind its closing brace."""
         ends_in = (F.col("quotes") + in_string.cast("int")) % 2 == 1
-        return _brackets(F.when(in_string, F.concat(F.lit('"'), "quiet")).otherwise(F.col("quiet"))) - (~ends_in).cast("int")
+        return F.when(in_string, F.col("turned")).otherwise(F.col("plain")) - (~ends_in).cast("int")
 
     both = pieces.select("file", "block", "quotes", change(starts_in(F.lit(0))).alias("plain"), change(starts_in(F.lit(1))).alias("turned"))
     sums = both.groupBy("file", "block").agg(*[F.sum(c).alias(c) for c in ("quotes", "plain", "turned")])
@@ -76,7 +83,7 @@ def list_elements(spark: SparkSession, paths: str | Sequence[str], lists: Sequen
     told = told.withColumn("depth", F.col("level") + zero(F.sum("change").over(before)))
     # The brace of the document itself is no element's: a piece at depth 0 is read from behind it.
     opens = F.col("depth") == 0
-    quiet, raw = (F.when(opens, F.regexp_replace(c, r"^[^{]*\{", "")).otherwise(F.col(c)) for c in ("quiet", "piece"))
+    quiet, raw = (F.when(opens, F.regexp_replace(c, r"^[^{]*\{", "")).otherwise(c) for c in (_quiet(F.col("piece")), F.col("piece")))
     head = F.when(quiet.rlike(_HEAD), F.regexp_extract(quiet, _HEAD, 1))
     at = F.greatest(F.col("depth"), F.lit(1)) + _brackets(head)
     opened = F.when(at == 1, F.lit("")).when((at == 2) & head.rlike(_OPENED), F.regexp_extract(head, _OPENED, 1))

@@ -80,3 +80,12 @@ def test_layers_over_tile_edges(spark):
             want.append((image, y, x, (image, y, x) in spots, thick and inside, min(nearest / 4.5, 1.0) if inside else 1.0, 0, inside))
     order = lambda rows: sorted(((str(r[0]), *r[1:5], round(r[5], 9), *r[6:]) for r in rows))
     assert order(got.collect()) == order(want)
+
+
+def test_document_pieces_hold_their_text_once(spark, tmp_path):
+    from annolake.sources.documents import _pieces
+
+    (tmp_path / "d.json").write_text('{"a": [{"t": "x\\"}y"}, {"n": [1, 2]}]}')
+    pieces = _pieces(spark, str(tmp_path / "d.json"))
+    assert [f.name for f in pieces.schema if f.dataType.simpleString() == "string"] == ["file", "piece"]
+    assert pieces.agg(F.sum("quotes")).first()[0] == 8
