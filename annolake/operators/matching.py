@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from annolake.functions.geometry import box_iou, xyxy
 from annolake.presets import IOU_THRESHOLDS
 
+#: Least ratio of the sides of one size level. Wider levels have fewer rows to shuffle and more boxes in a cell.
+WIDE_LEVEL = 64.0
+_CELL = ["_lw", "_lh", "_gx", "_gy"]
+
 
 def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequence[str] = ("image_id", "class")) -> DataFrame:
     """Box pairs with IoU of at least ``min_iou`` inside each key.
@@ -21,67 +25,62 @@ def iou_pairs(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, keys: Sequ
     ``preds``: keys, pred_id, score, box; ``gts``: keys, gt_id, box (xyxy). An IoU of t needs
     widths and heights within a factor t of each other and centres closer than
     (1-t)/(1+t) of the larger side. Truths get one cell by size level and centre;
-    predictions look up the few cells in reach. A pair meets in one cell only.
+    predictions look up the few cells in reach. A pair meets in one cell only. Every cell in
+    reach is a row to shuffle, so levels are wide: most predictions have one or two a side.
     """
     if not 0 < min_iou <= 1:
         raise ValueError("min_iou must be in (0, 1]")
     keys = list(keys)
-    base = 1.0 / max(min_iou, 1e-3) ** 2 if min_iou < 0.99 else 2.0
-    reach = (1 - min_iou) / (1 + min_iou)
-    log = math.log(base)
-
-    def sized(df: DataFrame, tag: str) -> DataFrame:
-        corners = {f"{tag}{k}": F.col(f"box.{k}") for k in ("x1", "y1", "x2", "y2")}
-        side = lambda axis: F.col(f"{tag}{axis}2") - F.col(f"{tag}{axis}1")
-        middle = lambda axis: (F.col(f"{tag}{axis}1") + F.col(f"{tag}{axis}2")) / 2
-        return (
-            df.withColumns(corners)
-            .withColumns({"_w": side("x"), "_h": side("y"), "_cx": middle("x"), "_cy": middle("y")})
-            .where((F.col("_w") > 0) & (F.col("_h") > 0))
-            .withColumn(f"{tag}area", F.col("_w") * F.col("_h"))
-        )
-
-    level = lambda size: F.floor(F.log(size) / log).cast("int")
-    # Largest partner of a truth at this level has side base**(level+1) / t.
-    cell = lambda lv: F.greatest(F.lit(1e-9), F.pow(F.lit(base), lv + 1)) * max(2 * reach / min_iou, 1e-3)
-    cells = ["_lw", "_lh", "_gx", "_gy"]
-    flat = lambda tag: [f"{tag}{k}" for k in ("x1", "y1", "x2", "y2", "area")]
-    truth = (
-        sized(gts, "g").withColumn("_lw", level(F.col("_w"))).withColumn("_lh", level(F.col("_h")))
-        .withColumn("_gx", F.floor(F.col("_cx") / cell(F.col("_lw"))))
-        .withColumn("_gy", F.floor(F.col("_cy") / cell(F.col("_lh"))))
-        .select(*keys, *cells, "gt_id", *flat("g"))
-    )
-    slack = 1e-9
-    levels = lambda size: F.sequence(level(size * (min_iou - slack)), level(size / (min_iou - slack)))
-    span = lambda centre, size, lv: F.sequence(
-        F.floor((centre - reach * size / min_iou - slack) / cell(lv)),
-        F.floor((centre + reach * size / min_iou + slack) / cell(lv)),
-    )
-    wide = (
-        sized(preds, "p")
-        .withColumn("_lw", F.explode(levels(F.col("_w")))).withColumn("_lh", F.explode(levels(F.col("_h"))))
-        .withColumn("_gx", F.explode(span(F.col("_cx"), F.col("_w"), F.col("_lw"))))
-        .withColumn("_gy", F.explode(span(F.col("_cy"), F.col("_h"), F.col("_lh"))))
-        .select(*keys, *cells, "pred_id", "score", *flat("p"))
-    )
+    truth = box_cells(gts, [*keys, "gt_id"], "g", min_iou)
+    wide = box_cells(preds, [*keys, "pred_id", "score"], "p", min_iou, around=True)
     # A cheap bound first, so that the ratio is worked out for likely pairs only.
     c = F.col
     across = F.least(c("px2"), c("gx2")) - F.greatest(c("px1"), c("gx1"))
     down = F.least(c("py2"), c("gy2")) - F.greatest(c("py1"), c("gy1"))
+    area = lambda tag: (c(f"{tag}x2") - c(f"{tag}x1")) * (c(f"{tag}y2") - c(f"{tag}y1"))
     likely = (across > 0) & (down > 0) & (
-        across * down * (1 + min_iou) >= (c("parea") + c("garea")) * (min_iou * (1 - 1e-9))
+        across * down * (1 + min_iou) >= (area("p") + area("g")) * (min_iou * (1 - 1e-9))
     )
     corners = lambda tag: xyxy(*[c(f"{tag}{k}") for k in ("x1", "y1", "x2", "y2")])
     # The work per row is high, so the join is spread over shuffle tasks even if one side is small.
     return (
-        wide.hint("merge").join(truth, [*keys, *cells]).where(likely)
+        wide.hint("merge").join(truth, [*keys, *_CELL]).where(likely)
         .withColumn("iou", box_iou(corners("p"), corners("g")))
         .where(F.col("iou") >= min_iou)
         .select(*keys, "pred_id", "score", "gt_id", "iou")
     )
 
 
+def box_cells(boxes: DataFrame, columns: Sequence[str], tag: str, min_iou: float, around: bool = False) -> DataFrame:
+    """The columns, cell and corners of each box: its own cell, or ``around`` it every cell that a box of this IoU with it can have."""
+    base = max(WIDE_LEVEL, 1.0 / max(min_iou, 1e-3) ** 2)
+    reach = (1 - min_iou) / (1 + min_iou)
+    level = lambda size: F.floor(F.log(size) / math.log(base)).cast("int")
+    # Largest partner of a box at this level has side base**(level+1) / t.
+    cell = lambda lv: F.greatest(F.lit(1e-9), F.pow(F.lit(base), lv + 1)) * max(2 * reach / min_iou, 1e-3)
+    corners = {f"{tag}{k}": F.col(f"box.{k}") for k in ("x1", "y1", "x2", "y2")}
+    side = lambda axis: F.col(f"{tag}{axis}2") - F.col(f"{tag}{axis}1")
+    middle = lambda axis: (F.col(f"{tag}{axis}1") + F.col(f"{tag}{axis}2")) / 2
+    sized = boxes.withColumns(corners).withColumns(
+        {"_w": side("x"), "_h": side("y"), "_cx": middle("x"), "_cy": middle("y")}).where((F.col("_w") > 0) & (F.col("_h") > 0))
+    if around:
+        slack = 1e-9
+        levels = lambda size: F.explode(F.sequence(level(size * (min_iou - slack)), level(size / (min_iou - slack))))
+        place = lambda centre, size, lv: F.explode(F.sequence(
+            F.floor((centre - reach * size / min_iou - slack) / cell(lv)),
+            F.floor((centre + reach * size / min_iou + slack) / cell(lv)),
+        ))
+    else:
+        levels = level
+        place = lambda centre, size, lv: F.floor(centre / cell(lv))
+    return (
+        sized.withColumn("_lw", levels(F.col("_w"))).withColumn("_lh", levels(F.col("_h")))
+        .withColumn("_gx", place(F.col("_cx"), F.col("_w"), F.col("_lw")))
+        .withColumn("_gy", place(F.col("_cy"), F.col("_h"), F.col("_lh")))
+        .select(*columns, *_CELL, *corners)
+    )
+
+
 def greedy_assign(
     pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[Column],
     weight: str, thresholds: Sequence[float] = (0.0,),

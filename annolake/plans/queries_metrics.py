@@ -16,6 +16,7 @@ from annolake.operators import spans as I
 from annolake.plans.fixtures import fixture
 from annolake.plans.registry import query
 from annolake.presets import IOU_THRESHOLDS
+from annolake.session import stable
 
 c = F.col
 _ROW = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -119,7 +120,9 @@ def _(spark, sf):
 
 
 def predictions(spark, sf):
-    df = fixture(spark, sf, "fx_boxes").withColumn("box", to_xyxy(xywh(c("x"), c("y"), c("w"), c("h"))))
+    boxes = fixture(spark, sf, "fx_boxes").select("image_id", "class", "is_pred", "box_id", "x", "y", "w", "h", "score")
+    # Staged: each side is read once or twice, and grouping the items again would shuffle all of them.
+    df = stable(boxes).withColumn("box", to_xyxy(xywh(c("x"), c("y"), c("w"), c("h"))))
     preds = df.where("is_pred").select("image_id", "class", c("box_id").alias("pred_id"), "score", "box")
     return preds, df.where("not is_pred").select("image_id", "class", c("box_id").alias("gt_id"), "box")
 
@@ -157,8 +160,8 @@ def match_detections(spark, sf):
     from pr group by 1""")
 def _(spark, sf):
     """What any greedy match must satisfy: one-to-one, and no pair left with both sides free."""
-    pairs = M.iou_pairs(*predictions(spark, sf), 0.5)
-    matches = M.match_detections(pairs, [0.5])
+    pairs = stable(M.iou_pairs(*predictions(spark, sf), 0.5))
+    matches = stable(M.match_detections(pairs, [0.5]))
     repeated = lambda side: matches.groupBy("class", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("class").agg(F.count(F.lit(1)).alias(f"r_{side}"))
     loose = (
         pairs.join(matches.select("class", "pred_id", F.lit(1).alias("mp")), ["class", "pred_id"], "left")

@@ -1,19 +1,40 @@
 """Steps that make many rows of one: dealt to many tasks first, and their rows never sent whole to every task."""
 
 import itertools
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from annolake.operators import matching as M
 from annolake.operators import raster as R
+from annolake.operators import sampling as N
 from annolake.operators import shapes as S
 from annolake.operators import spans as I
+from annolake.plans import all_queries
+from annolake.plans.queries_metrics import predictions
+from annolake.sinks import tables as K
+from annolake.sources import files, scan
 
 SQUARE = "array(array(2.0D, 2.0D), array(20.0D, 2.0D), array(20.0D, 20.0D), array(2.0D, 20.0D)) as points"
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def unknown_sizes(spark):
+    """Joins as Spark plans them for tables too large to send around."""
+    given = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in given.items():
+        spark.conf.set(name, value)
+    yield
+    for name in given:
+        spark.conf.unset(name)
+
+
 def plan(df, capsys) -> str:
     df.explain()
     return capsys.readouterr().out
@@ -89,3 +110,21 @@ def test_document_pieces_hold_their_text_once(spark, tmp_path):
     pieces = _pieces(spark, str(tmp_path / "d.json"))
     assert [f.name for f in pieces.schema if f.dataType.simpleString() == "string"] == ["file", "piece"]
     assert pieces.agg(F.sum("quotes")).first()[0] == 8
+
+
+def test_a_box_is_looked_up_in_few_cells(spark):
+    boxes = spark.range(3000).selectExpr("id as image_id", "exp(7 * rand(1)) as w", "exp(7 * rand(2)) as h", "4000 * rand(3) as x", "4000 * rand(4) as y").selectExpr(
+        "image_id", "named_struct('x1', x, 'y1', y, 'x2', x + w, 'y2', y + h) as box")
+    # Before, eleven rows were shuffled for each prediction.
+    assert M.box_cells(boxes, ["image_id"], "p", 0.5, around=True).count() < 4 * 3000
+    assert M.box_cells(boxes, ["image_id"], "g", 0.5).count() == 3000
+
+
+def test_boxes_are_made_of_items_once(spark, capsys):
+    for side in predictions(spark, SF):
+        assert "Exchange" not in plan(side, capsys)
+
+
+def test_bounds_read_pairs_and_matches_that_are_made_once(spark, capsys):
+    text = plan(all_queries()[0]["match_bounds"](spark, SF), capsys)
+    assert "MapInPandas" not in text and "_lw" not in text
