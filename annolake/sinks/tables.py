@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,9 @@ from annolake.presets import CATEGORY_IDS
 from annolake.schema import CATALOG, INDEX_COLUMNS
 from annolake.sinks.files import write_named_files
 
+#: Lines of one compressed file at most.
+FILE_LINES = 500_000
+
 
 def csv_ready(df: DataFrame) -> DataFrame:
     """Booleans as 0/1, arrays joined by semicolon, maps as JSON with sorted keys."""
@@ -70,16 +73,18 @@ def _annotation_json(df: DataFrame) -> Column:
     return F.concat(head, F.lit(',"segmentation":'), _segmentation_json(df), F.lit("}"))
 
 
-def write_coco_tables(images: DataFrame, annotations: DataFrame, path: str) -> None:
+def write_coco_tables(images: DataFrame, annotations: DataFrame, path: str, compression: str = "gzip") -> None:
     """Line-delimited images, annotations and categories partitioned by split (K3).
 
-    This is the form for large sets: no split is ever gathered in one place.
+    This is the form for large sets: no split is ever gathered in one place. The lines repeat their field names, so the files are
+    compressed; a file has at most ``FILE_LINES`` lines, as one task reads a compressed file from its start.
     """
-    images.write.mode("overwrite").partitionBy("split").json(f"{path}/images")
-    annotations.select("split", _annotation_json(annotations).alias("value")).write.mode("overwrite").partitionBy(
-        "split"
-    ).text(f"{path}/annotations")
-    categories_table(images).write.mode("overwrite").partitionBy("split").json(f"{path}/categories")
+    def writer(df: DataFrame) -> DataFrameWriter:
+        return df.write.mode("overwrite").partitionBy("split").options(compression=compression, maxRecordsPerFile=FILE_LINES)
+
+    writer(images).json(f"{path}/images")
+    writer(annotations.select("split", _annotation_json(annotations).alias("value"))).text(f"{path}/annotations")
+    writer(categories_table(images)).json(f"{path}/categories")
 
 
 def categories_table(images: DataFrame) -> DataFrame:

@@ -128,3 +128,17 @@ def test_boxes_are_made_of_items_once(spark, capsys):
 def test_bounds_read_pairs_and_matches_that_are_made_once(spark, capsys):
     text = plan(all_queries()[0]["match_bounds"](spark, SF), capsys)
     assert "MapInPandas" not in text and "_lw" not in text
+
+
+def test_exchange_tables_are_compressed_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "FILE_LINES", 10)
+    images = spark.range(40).selectExpr("id", "concat(id, '.png') as file_name", "10 as width", "8 as height", "if(id % 4 = 0, 'val', 'train') as split")
+    rows = images.selectExpr("split", "id", "id as image_id", "1 as category_id", "array(1.0D, 2.0D, 3.0D, 4.0D) as bbox", "array(array(0.0D, 0.0D, 1.0D, 1.0D, 2.0D, 0.0D)) as polygons")
+    K.write_coco_tables(images, rows, f"{tmp_path}/t")
+    for name in ("images", "annotations"):
+        written = [p for p in (tmp_path / "t" / name).rglob("part-*") if p.is_file()]
+        assert written and all(p.suffix == ".gz" for p in written)
+        assert spark.read.text([str(p) for p in written]).groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0] <= 10
+    back, annotations, _ = files.read_coco_tables(spark, f"{tmp_path}/t")
+    assert sorted(r[0] for r in back.select("id").collect()) == list(range(40))
+    assert {(r["id"], r["split"], len(r["polygons"][0])) for r in annotations.collect()} == {(i, "train" if i % 4 else "val", 6) for i in range(40)}
