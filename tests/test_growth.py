@@ -142,3 +142,15 @@ def test_exchange_tables_are_compressed_files_of_bounded_length(spark, tmp_path,
     back, annotations, _ = files.read_coco_tables(spark, f"{tmp_path}/t")
     assert sorted(r[0] for r in back.select("id").collect()) == list(range(40))
     assert {(r["id"], r["split"], len(r["polygons"][0])) for r in annotations.collect()} == {(i, "train" if i % 4 else "val", 6) for i in range(40)}
+
+
+def test_no_task_reads_a_whole_split_of_a_document(spark, unknown_sizes, capsys, tmp_path):
+    images = spark.range(500).selectExpr("id", "concat(id, '.png') as file_name", "10 as width", "8 as height", "'train' as split")
+    rows = images.selectExpr("split", "id", "id as image_id", "1 as category_id", "array(1.0D, 2.0D, 3.0D, 4.0D) as bbox", "array(array(0.0D, 0.0D, 1.0D, 1.0D, 2.0D, 0.0D)) as polygons")
+    assert "SortMergeJoin" not in plan(K.coco_document_lines(images, rows), capsys)
+    K.write_coco(images, rows, f"{tmp_path}/d")
+    parts = sorted((tmp_path / "d" / "split=train").glob("part-*"))
+    # Before, as many parts as Spark has shuffle tasks (8 here), whatever the size.
+    assert len(parts) > 8
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert [r["id"] for r in document["images"]] == [r["id"] for r in document["annotations"]] == list(range(500))
