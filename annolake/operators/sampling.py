@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annolake.operators.catalog import task_samples, union_catalogs
 from annolake.operators.order import ranked, running
+from annolake.session import spread, stable
 
 EMPTY_SHARE = 0.25
 #: Units that the least positive weight of a draw has at least, and digits of the total at most.
@@ -17,15 +18,18 @@ LEAST_UNITS, TOTAL_DIGITS = 1_000, 35
 
 
 def inverse_frequency_weights(df: DataFrame, label: str) -> DataFrame:
-    """Weight 1/count of the row's class (M1); counted first, so no class is one window."""
+    """Weight 1/count of the row's class (M1); counted first, so no class is one window. The counts, one row per class, go to the
+    rows: dealt by class, a large class would be one task."""
     counts = df.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return df.join(counts, label)
+    return df.join(F.broadcast(counts), label)
 
 
 def multilabel_weights(samples: DataFrame, labels: DataFrame, key: str = "sample_id", label: str = "label") -> DataFrame:
     """Largest 1/instance-count over a sample's labels; empty samples share 0.25 (M2)."""
-    counts = labels.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("_w"))
-    best = labels.select(key, label).distinct().join(counts, label).groupBy(key).agg(F.max("_w").alias("_w"))
+    # Dealt by sample and counted once, for the class counts and for the weights of the samples.
+    held = stable(spread(labels.select(key, label), key).groupBy(key, label).agg(F.count(F.lit(1)).alias("_n")))
+    counts = held.groupBy(label).agg((F.lit(1.0) / F.sum("_n")).alias("_w"))
+    best = held.select(key, label).join(F.broadcast(counts), label).groupBy(key).agg(F.max("_w").alias("_w"))
     joined = samples.join(best, key, "left")
     empty = joined.agg(F.greatest(F.lit(1), F.count_if(F.col("_w").isNull())))
     return joined.select(

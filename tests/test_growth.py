@@ -154,3 +154,14 @@ def test_no_task_reads_a_whole_split_of_a_document(spark, unknown_sizes, capsys,
     assert len(parts) > 8
     document = json.loads("".join(p.read_text() for p in parts))
     assert [r["id"] for r in document["images"]] == [r["id"] for r in document["annotations"]] == list(range(500))
+
+
+def test_rows_are_not_dealt_by_class(spark, unknown_sizes, capsys):
+    labels = spark.range(300).selectExpr("id % 100 as sample_id", "if(id % 50 = 0, 'rare', 'common') as label")
+    assert "SortMergeJoin" not in plan(N.inverse_frequency_weights(labels, "label"), capsys)
+    found = N.multilabel_weights(spark.range(110).withColumnRenamed("id", "sample_id"), labels)
+    text = plan(found, capsys)
+    # Before, the labels were dealt by class for the join with the counts, so that a class was one task.
+    assert "BroadcastHashJoin" in text and "hashpartitioning(label" not in text.split("BroadcastHashJoin")[0]
+    got = {r["sample_id"]: r["weight"] for r in found.collect()}
+    assert got == {i: 1 / 6 if i in (0, 50) else 1 / 294 if i < 100 else 0.025 for i in range(110)}
