@@ -108,14 +108,15 @@ def inheritance_violations(
 def attach_annotation(assets: DataFrame, annotations: DataFrame, keys: Sequence[str], names: Sequence[Column]) -> DataFrame:
     """First existing candidate name per asset as ``annotation_path``.
 
-    ``annotations`` has the keys, ``name`` and ``path``; candidates are tried in order.
+    ``annotations`` has the keys, ``name`` and ``path``; candidates are tried in order. Joined by merging: listings grow from
+    few rows, and Spark only knows their size before.
     """
     lookup = least_per_key(annotations.select(*keys, "name", "path"), *keys, "name")
     result, found = assets, []
     for position, candidate in enumerate(names):
         column = f"_hit{position}"
         hit = lookup.select(*keys, F.col("name").alias("_name"), F.col("path").alias(column))
-        result = result.withColumn("_name", candidate).join(hit, [*keys, "_name"], "left").drop("_name")
+        result = result.withColumn("_name", candidate).join(hit.hint("merge"), [*keys, "_name"], "left").drop("_name")
         found.append(F.col(column))
     result = result.withColumn("annotation_path", F.coalesce(*found))
     return result.select(*assets.columns, "annotation_path")

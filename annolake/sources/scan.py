@@ -19,6 +19,7 @@ from annolake.operators.profile import distinct_join
 from annolake.operators.shapes import parsed_shapes
 from annolake.operators.taxonomy import map_taxonomy
 from annolake.presets import CATEGORY_IDS
+from annolake.session import spread
 from annolake.sources import files
 
 
@@ -116,7 +117,10 @@ def _defect_columns(annotation: str = "defect_path") -> dict[str, Column]:
 
 def _with_summary(rows: DataFrame, shapes: DataFrame, workspace: str, annotation: str = "defect_path") -> DataFrame:
     summary = shape_summary(shapes.withColumn("file", files.relative_to(F.col("file"), workspace)))
-    return rows.join(summary.withColumnRenamed("file", annotation), annotation, "left")
+    # Rows without a file have a null key and would meet in one task; a number spreads them.
+    spare = F.when(F.col(annotation).isNull(), F.pmod(F.xxhash64("path"), F.lit(1024)).cast("int")).otherwise(0)
+    summary = summary.withColumnRenamed("file", annotation).withColumn("_spare", F.lit(0))
+    return rows.withColumn("_spare", spare).join(summary, [annotation, "_spare"], "left").drop("_spare")
 
 
 def scan_ring_and_defect_polygons(
@@ -215,18 +219,19 @@ def scan_cube_faces(
     rings = listing.select(
         flat.alias("cube"), F.regexp_extract("name", r"^([A-F])_ann\.png$", 1).alias("face"), F.col("path").alias("ring_path")
     ).where((F.col("cube") != "") & (F.col("face") != ""))
-    defects = listing.select(
+    # Dealt by cube before a cube becomes six letters; sets of this size are joined by merging.
+    defects = spread(listing.select(
         F.regexp_extract("rel", r"^([^/]+)/defects/[^/]+\.json$", 1).alias("cube"), "name", "path"
-    ).where(F.col("cube") != "")
+    ).where(F.col("cube") != ""), "cube")
     # Completeness is judged over the six letters, with or without an image of the face.
     letters = defects.select("cube").distinct().withColumn("face", F.explode(F.array(*[F.lit(c) for c in "ABCDEF"])))
     names = [F.concat("face", F.lit("_col.json")), F.concat("face", F.lit(".json"))]
     found = attach_annotation(letters, defects, ["cube"], names)
     whole = complete_sets(found, "cube", "face", 6).select("cube")
-    chosen = found.join(whole, "cube", "left_semi").select("cube", "face", F.col("annotation_path").alias("defect_path"))
+    chosen = found.join(whole.hint("merge"), "cube", "left_semi").select("cube", "face", F.col("annotation_path").alias("defect_path"))
     if shapes is None:
         shapes = _optional(lambda: files.read_labelme(spark, f"{root}/*/defects/*.json"), spark, _SHAPE_DDL)
-    rows = images.join(rings, ["cube", "face"], "left").join(chosen, ["cube", "face"], "left")
+    rows = images.join(rings.hint("merge"), ["cube", "face"], "left").join(chosen.hint("merge"), ["cube", "face"], "left")
     rows = _with_summary(rows, shapes, workspace)
     has_ring, has_defect = F.col("ring_path").isNotNull(), F.col("defect_path").isNotNull()
     return catalog_rows(

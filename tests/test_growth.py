@@ -165,3 +165,19 @@ def test_rows_are_not_dealt_by_class(spark, unknown_sizes, capsys):
     assert "BroadcastHashJoin" in text and "hashpartitioning(label" not in text.split("BroadcastHashJoin")[0]
     got = {r["sample_id"]: r["weight"] for r in found.collect()}
     assert got == {i: 1 / 6 if i in (0, 50) else 1 / 294 if i < 100 else 0.025 for i in range(110)}
+
+
+def test_rows_without_a_file_are_spread(spark, unknown_sizes):
+    rows = spark.range(4000).selectExpr("concat('img/', id) as path", "if(id % 100 = 0, concat('ann/', id), null) as defect_path")
+    shapes = spark.createDataFrame([("/w/ann/100", 0, "knot|na|K01|clear|0|1", "rectangle", [[2.0, 3.0], [7.0, 11.0]], 60, 64)], scan._SHAPE_DDL)
+    out = scan._with_summary(rows, shapes, "/w")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    # Before, 3960 rows with a null key were in one task.
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+    assert sorted(out.columns) == sorted([*rows.columns, *[c for c in scan.shape_summary(shapes).columns if c != "file"]])
+
+
+def test_cube_listings_are_dealt_and_not_broadcast(spark, capsys):
+    text = plan(all_queries()[0]["scan_cube_faces"](spark, SF), capsys)
+    # Before, Spark took the listing for small, sent it around and made six letters of every cube in one task.
+    assert "BroadcastHashJoin" not in text and "REPARTITION_BY_NUM" in text
