@@ -18,6 +18,7 @@ empty table gives an empty table; columns other than doc_id and text are ignored
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,14 +147,12 @@ def fit(good: np.ndarray, bad: np.ndarray, penalty: float = PENALTY, steps: int
 def score_quantile(scores: DataFrame, share: float) -> float:
     """The middle between the last score within the lowest ``share`` of all rows and the next greater one.
 
-    ``scores`` has a column s. Counts by bin find the bin, counts in a finer bin the place; both lists have at most ``BINS`` rows.
+    ``scores`` has a column s. Counts by bin find the bin, counts in ever finer bins the place; a list has at most ``BINS`` rows.
     """
     total, low, high = scores.agg(F.count("s"), F.min("s"), F.max("s")).first()
     wanted, before = max(1, min(total, round(share * total))), 0
-    for _ in range(2):
-        width = (high - low) / BINS
-        if width <= 0:
-            break
+    while low < high:
+        width = max((high - low) / BINS, sys.float_info.min * sys.float_info.epsilon)
         bin_of = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("s") - low) / width)))
         inside = scores.where((F.col("s") >= low) & (F.col("s") <= high)).groupBy(bin_of.alias("bin")).agg(
             F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))

@@ -245,3 +245,8 @@ def test_quantile_lies_between_its_neighbours(spark, values, share):
 @pytest.mark.parametrize("name", ["op12_periodic_runs", "op13_centroid_clusters"])
 def test_same_rows_as_sql_at_the_next_size(spark, name):
     assert compare(name, spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", queries.QUERIES, queries.ORACLES) == ""
+
+
+@pytest.mark.parametrize("values, share, cut", [([0.0, 1.0, 6.8e-15, 4e-91], 0.0, 2e-91), ([0.0, 5e-324, 1.0], 0.7, 0.5), ([0.3, 0.3], 0.5, 0.3)])
+def test_quantile_of_scores_of_very_different_size(spark, values, share, cut):
+    assert ranking.score_quantile(spark.createDataFrame([(v,) for v in values], "s double"), share) == cut
