@@ -19,7 +19,7 @@ from annolake.plans.queries_geometry import polygon_annotations, shape_rows
 from annolake.plans.queries_metrics import hashed, near_duplicates
 from annolake.plans.registry import query
 from annolake.presets import taxonomy
-from annolake.session import scratch_path
+from annolake.session import SPREAD, scratch_path, shuffle_partitions
 from annolake.sinks import tables as K
 from annolake.sources import files as S
 from annolake.sources import scan as Z
@@ -49,12 +49,16 @@ def _text(df, value, *by) -> str:
 
 
 def _xml(df, item, key, root="annotations") -> str:
-    """Write items as XML documents, one per value of ``key``, each under one root element."""
-    path = scratch_path(df.sparkSession, "xml")
-    rows = df.select(key.alias("d"), F.lit(1).alias("o"), item.alias("value"))
-    ends = rows.select("d").distinct().select("d", F.inline(F.array(
+    """Write items as XML documents, each under one root element and those of one ``key`` in the same one.
+
+    There is one document per task, not per key: every file costs an opening, a rename and a listing, whatever it holds.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "xml")
+    parts = max(SPREAD, shuffle_partitions(df))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("d"), F.lit(1).alias("o"), item.alias("value"))
+    ends = spark.range(parts).select(c("id").cast("int").alias("d"), F.inline(F.array(
         F.struct(F.lit(0).alias("o"), F.lit(f"<{root}>").alias("value")), F.struct(F.lit(2).alias("o"), F.lit(f"</{root}>").alias("value")))))
-    rows.unionByName(ends).repartition("d").sortWithinPartitions("d", "o").select("d", "value").write.partitionBy("d").text(path)
+    rows.unionByName(ends).repartitionById(parts, "d").sortWithinPartitions("o").select("value").write.text(path)
     return path
 
 
