@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.session import stable
+from annolake.session import spread, stable
 
 HASH_BITS = 64
 HOT_BUCKET = 2_000
@@ -96,7 +97,7 @@ def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None
     ``blocks - threshold`` blocks, so each choice of that many blocks is an equi-join key. A
     pair found under several choices is kept only under the first, decided from its XOR, so
     no pass over the pairs removes repeats. Buckets above ``hot`` values are keyed once more
-    by the blocks left over, which splits clusters of alike values.
+    by the blocks left over, which splits clusters of alike values. The pairs are staged.
     """
     if not 0 <= threshold < HASH_BITS:
         raise ValueError("threshold must be between 0 and 63")
@@ -119,42 +120,99 @@ def near_hash_pairs(hashes: DataFrame, threshold: int, blocks: int | None = None
         "phash",
         F.posexplode(F.array(*[F.col("phash").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "key"),
     )
-    crowded = (
-        keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-        .select("choice", "key", F.lit(True).alias("_hot"))
-    )
+    # Keys are dealt and sorted once; a task then goes through its buckets one after the other.
+    sorted_keys = spread(keyed, "choice", "key").sortWithinPartitions("key", "choice")
+    met = stable(sorted_keys.mapInArrow(_bucket_pairs(masks, threshold, hot), "a long, b long, distance int"))
+    pairs = met.where("distance >= 0")
+    crowded = met.where("distance < 0").select(F.col("a").alias("phash"), F.col("b").cast("int").alias("choice"))
+    if crowded.isEmpty():
+        return pairs
     # Inside a crowded bucket the chosen blocks agree, so the differing bits lie in the other
     # ``threshold`` blocks; cutting their bits into one part more gives another agreeing key.
     rest = [[i for i in range(blocks) if i not in chosen] for chosen in sets]
     fine = [_even_masks([spans[i] for i in others], threshold + 1) for others in rest]
     fine_masks = F.array(*[F.array(*[F.lit(signed(m)).cast("long") for m in parts]) for parts in fine])
-    marked = keyed.join(crowded, ["choice", "key"], "left")
-    single = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits")))
-    finer = F.transform(
-        F.get(fine_masks, F.col("choice")),
-        lambda m, i: F.struct(i.alias("part"), F.col("phash").bitwiseAND(m).alias("bits")),
-    )
-    spread = marked.select(
-        "phash", "choice", "key", F.explode(F.when(F.col("_hot"), finer).otherwise(single)).alias("s")
-    ).select("phash", "choice", "key", F.col("s.part").alias("part"), F.col("s.bits").alias("bits"))
-
-    left = spread.withColumnRenamed("phash", "a")
-    right = spread.withColumnRenamed("phash", "b")
+    cells = crowded.select("phash", "choice", F.posexplode(F.get(fine_masks, F.col("choice"))).alias("part", "_mask")).select(
+        "phash", "choice", F.col("phash").bitwiseAND(F.get(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("choice"))).alias("key"),
+        "part", F.col("phash").bitwiseAND(F.col("_mask")).alias("bits"))
+    left, right = cells.withColumnRenamed("phash", "a"), cells.withColumnRenamed("phash", "b")
     # Buckets fan out into many candidates, so even a small table is spread over shuffle tasks.
-    pairs = left.hint("merge").join(right, ["choice", "key", "part", "bits"]).where(F.col("a") < F.col("b"))
+    close = left.hint("merge").join(right, ["choice", "key", "part", "bits"]).where(F.col("a") < F.col("b"))
     xor = F.col("a").bitwiseXOR(F.col("b"))
     agrees = lambda mask: xor.bitwiseAND(F.lit(mask).cast("long")) == 0
     first_choice = F.coalesce(*[F.when(agrees(m), i) for i, m in enumerate(masks)])
-    part_masks = F.get(fine_masks, F.col("choice"))
-    earlier = F.exists(
-        F.slice(part_masks, 1, F.greatest(F.col("part"), F.lit(0))),
-        lambda m: xor.bitwiseAND(m) == 0,
-    )
-    return (
-        pairs.where(F.bit_count(xor) <= threshold)
-        .where((F.col("choice") == first_choice) & ((F.col("part") < 0) | ~earlier))
-        .select("a", "b", F.bit_count(xor).alias("distance"))
-    )
+    earlier = F.exists(F.slice(F.get(fine_masks, F.col("choice")), F.lit(1), F.col("part")), lambda m: xor.bitwiseAND(m) == 0)
+    close = close.where(F.bit_count(xor) <= threshold).where((F.col("choice") == first_choice) & ~earlier)
+    return stable(pairs.unionByName(close.select("a", "b", F.bit_count(xor).alias("distance"))))
+
+
+def _bucket_pairs(masks: list[int], threshold: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows phash, choice, key, those of a bucket in a row, to the close pairs a < b whose first choice this is.
+
+    Values of a bucket above ``hot`` come out as rows (value, choice, -1). At most a batch and ``hot`` rows are held.
+    """
+    # Pairs that are put together at once.
+    most = 1 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.asarray(masks, np.int64)
+
+        def out(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(distance.astype(np.int32), pa.int32())], names=["a", "b", "distance"])
+
+        def many(value: np.ndarray, choice: np.ndarray) -> pa.RecordBatch:
+            return out(value, choice.astype(np.int64), np.full(len(value), -1))
+
+        def close(value: np.ndarray, choice: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of every row with the ``left`` rows of its bucket that follow it."""
+            ends = np.cumsum(left)
+            begin = 0
+            while begin < len(value):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+                times = left[begin:end]
+                one = np.repeat(np.arange(begin, end), times)
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times)
+                xor = value[one] ^ value[two]
+                distance = np.bitwise_count(xor.view(np.uint64))
+                near = np.flatnonzero(distance <= threshold)
+                near = near[np.argmax((xor[near, None] & bits) == 0, axis=1) == choice[one[near]]]
+                if len(near):
+                    a, b = value[one[near]], value[two[near]]
+                    yield out(np.minimum(a, b), np.maximum(a, b), distance[near])
+                begin = end
+
+        held = None  # rows of the last bucket, which the next batch may go on with
+        crowd = None  # a bucket known to be crowded
+        for batch in batches:
+            value, choice, key = (batch.column(name).to_numpy() for name in ("phash", "choice", "key"))
+            if not len(value):
+                continue
+            if crowd is not None:
+                same = (choice == crowd[0]) & (key == crowd[1])
+                n = len(same) if same.all() else int(np.argmin(same))
+                if n:
+                    yield many(value[:n], choice[:n])
+                    value, choice, key = value[n:], choice[n:], key[n:]
+                if not len(value):
+                    continue
+                crowd = None
+            if held is not None:
+                value, choice, key = (np.concatenate(both) for both in zip(held, (value, choice, key)))
+            starts = np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1))
+            sizes = np.diff(np.append(starts, len(value)))
+            for start, size in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist()):
+                yield many(value[start:start + size], choice[start:start + size])
+            # The last bucket waits for the next batch, unless it is crowded already.
+            last = int(starts[-1])
+            held, crowd = (None, (choice[last], key[last])) if sizes[-1] > hot else ((value[last:], choice[last:], key[last:]), None)
+            left = np.repeat(starts + sizes, sizes) - np.arange(len(value)) - 1
+            left[np.repeat(sizes > hot, sizes)] = 0
+            yield from close(value[:last], choice[:last], left[:last])
+        if held is not None:
+            yield from close(held[0], held[1], np.arange(len(held[0]))[::-1])
+
+    return run
 
 
 def _even_masks(spans: list[int], parts: int) -> list[int]:
@@ -204,8 +262,8 @@ def duplicate_summary(df: DataFrame, threshold: int = 4, cross_key: str = "split
     Pairs over two hashes = n(a) n(b) less those of equal split; within one hash likewise.
     """
     rows = df.where(F.col("phash").isNotNull())
-    counts = rows.groupBy("phash", cross_key).agg(F.count(F.lit(1)).alias("n"))
-    near = stable(near_hash_pairs(rows, threshold))
+    counts = stable(rows.groupBy("phash", cross_key).agg(F.count(F.lit(1)).alias("n")))
+    near = near_hash_pairs(rows, threshold)
     total = counts.groupBy("phash").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     exact = total.agg(F.coalesce(F.sum(((F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long")), F.lit(0)))
     side = lambda key, name: total.select(F.col("phash").alias(key), F.col("n").alias(name))
@@ -219,7 +277,7 @@ def duplicate_summary(df: DataFrame, threshold: int = 4, cross_key: str = "split
         near.join(mine, "a").join(theirs, ["b", "s"])
         .agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)))
     )
-    return rows.agg(F.count(F.lit(1)).alias("images_hashed")).select(
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("images_hashed")).select(
         "images_hashed",
         (across.scalar() - within.scalar() + exact.scalar()).alias("cross_split_candidates"),
         exact.scalar().alias("exact_hash_candidates"),
