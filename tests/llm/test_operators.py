@@ -308,6 +308,45 @@ def test_bpe_like_the_library(spark, which, most):
     assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist()), bytes(r["decoded"])) for r in got) == expected
 
 
+def test_bpe_words_are_cut_without_an_object_for_each():
+    import time
+
+    import pyarrow as pa
+    import regex
+
+    assert bpe.CLASS_PATTERN == public_tokenizers.PATTERN
+    find, rnd = regex.compile(public_tokenizers.PATTERN).findall, random.Random(5)
+    chars = ["'srtevmld \t'", "' slrev\t\n", "' srtevmld'  \t\n\x1c\x85\u00a0ab1½.,éÀ中𝒳𝟘😀\u0301"]
+    tables = [["".join(rnd.choices(rnd.choice(chars), k=rnd.randrange(30))) or None for _ in range(rnd.randrange(9))] for _ in range(600)]
+    for texts in [[], [None, "", None], ["'s", "s", "'", "ll", "  ", " x"], [t for _, t, *_ in awkward()], *tables]:
+        column = pa.array(["cut off", *texts], pa.string()).slice(1)
+        for pattern in (public_tokenizers.PATTERN, r"\S+|\s"):
+            words, ends = bpe.splitter(pattern)(column)
+            got = [[w.decode() for w in words[a:b].to_pylist()] for a, b in zip(ends[:-1], ends[1:])]
+            assert got == [regex.findall(pattern, text or "") for text in texts]
+    text = " ".join(f"it's {i} wörds," for i in range(100_000))
+    took = []
+    for split, value in ((find, text), (bpe.splitter(public_tokenizers.PATTERN), pa.array([text]))):
+        began = time.process_time()
+        split(value)
+        took.append(time.process_time() - began)
+    assert 2 * took[1] < took[0]
+
+
+def test_bpe_slices_keep_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    rnd = random.Random(3)
+    for _ in range(200):
+        texts = [rnd.choice([None, "", "a", "four", "x" * 25]) for _ in range(rnd.randrange(12))]
+        cuts = sorted(rnd.choices(range(len(texts) + 1), k=3))
+        batches = [pa.record_batch({"text": pa.array(texts[a:b], pa.string())}) for a, b in zip([0, *cuts], [*cuts, len(texts)])]
+        slices = [batch.column("text").to_pylist() for batch in bpe._slices(iter(batches), "text")]
+        assert sum(slices, []) == texts
+        assert all(len(some) == 1 or sum(len(text or "") for text in some[:-1]) <= 10 for some in slices)
+
+
 def test_bpe_query_leaves_the_session_alone(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
