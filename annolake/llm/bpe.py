@@ -239,6 +239,14 @@ def frequent_words(counts: DataFrame, most_words: int = MOST_WORDS) -> DataFrame
     return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
 
 
+def _ranked(words: pa.Array) -> np.ndarray:
+    """The ids of all words, one after the other."""
+    ids = words.flatten()
+    if ids.null_count:
+        raise KeyError("a byte without a rank")
+    return ids.to_numpy(zero_copy_only=False).astype(np.uint32)
+
+
 class WordTable:
     """Words and their ids, found by hash and then compared; the last row stands for all other words and has ``GAP`` as id."""
 
@@ -249,7 +257,7 @@ class WordTable:
             ("word", pa.binary()), ("ids", pa.list_(pa.int32()))))
         self.words = pa.concat_arrays([words, pa.array([b""])])
         ends = np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64))
-        flat = np.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.uint32(GAP))
+        flat = np.append(_ranked(ids), np.uint32(GAP))
         self.ids = pa.ListArray.from_arrays(pa.array(np.append(ends, len(flat)), pa.int32()), pa.array(flat))
 
     def find(self, words: pa.Array) -> np.ndarray:
@@ -272,7 +280,7 @@ def _filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.ones(len(flat), np.int64)
         sizes[gap] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         flat = np.repeat(flat, sizes)
-        flat[np.repeat(gap, sizes)] = words.flatten().to_numpy(zero_copy_only=False)
+        flat[np.repeat(gap, sizes)] = _ranked(words)
         ends = np.append(0, np.cumsum(sizes))[ends]
     return flat, ends
 
