@@ -36,7 +36,7 @@ _SIGNS = np.zeros(256, np.int8)
 _SIGNS[list(b"{[")], _SIGNS[list(b"}]")], _SIGNS[ord('"')] = 1, -1, _QUOTE
 _KEPT = ("closes", "opened")
 _CHUNKS = (
-    "file string, block long, seq long, text binary, quotes int, depth array<int>, "
+    "file string, block long, seq long, piece string, quotes long, depth array<int>, "
     "closes array<map<int,long>>, opened array<map<int,string>>")
 _ELEMENTS = "file string, list string, place long, block long, seq long, part int, text string"
 #: Parts of an element: all of it, or its first, a further or its last one.
@@ -83,11 +83,11 @@ def _summary(data: np.ndarray) -> tuple[int, list, list, list]:
         up = np.flatnonzero(change == 1)[::-1]
         levels, last = np.unique(depth[up], return_index=True)
         opened.append([(int(d), _name(data, at, sign, int(place[up[i]]))) for d, i in zip(levels, last)])
-    return int(quotes[-1]) % 2 if len(quotes) else 0, depths, closes, opened
+    return int(quotes[-1]) if len(quotes) else 0, depths, closes, opened
 
 
-def _chunks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Chunks of every file in order by block and seq, each with its summary."""
+def _pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every file in chunks, in order by block and seq, each one piece of text with its summary."""
     most = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +106,9 @@ def _chunks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                     text = data[ends[first]:ends[after]]
                     quotes, depth, closes, opened = _summary(text)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("file").slice(first, 1), batch.column("block").slice(first, 1), pa.array([seq]), pa.array([text.tobytes()], pa.binary()),
-                        pa.array([quotes], pa.int32()), pa.array([depth], pa.list_(pa.int32())), pa.array([closes], pa.list_(pa.map_(pa.int32(), pa.int64()))),
-                        pa.array([opened], pa.list_(pa.map_(pa.int32(), pa.string())))], names=["file", "block", "seq", "text", "quotes", "depth", *_KEPT])
+                        batch.column("file").slice(first, 1), batch.column("block").slice(first, 1), pa.array([seq]),
+                        pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int32)), pa.py_buffer(text)]), pa.array([quotes], pa.int64()), pa.array([depth], pa.list_(pa.int32())), pa.array([closes], pa.list_(pa.map_(pa.int32(), pa.int64()))),
+                        pa.array([opened], pa.list_(pa.map_(pa.int32(), pa.string())))], names=["file", "block", "seq", "piece", "quotes", "depth", *_KEPT])
                     first, seq = after, seq + 1
 
     text = spark.read.option("lineSep", "}").text(paths if isinstance(paths, str) else list(paths))
@@ -135,7 +135,7 @@ def _elements(chunks: DataFrame, lists: Sequence[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
+                data = np.frombuffer(batch.column("piece")[row].as_buffer(), np.uint8)
                 file, block, seq, flip, level, closed, now = (batch.column(c)[row].as_py() for c in ("file", "block", "seq", "flip", "level", "closed", "open"))
                 at, sign, quotes = _signs(data)
                 place = at[(sign != _QUOTE) & ((quotes + flip) % 2 == 0)]
@@ -166,13 +166,13 @@ def _elements(chunks: DataFrame, lists: Sequence[str]) -> DataFrame:
                     pa.array([*[WHOLE] * len(places), *[p[0] for p in parts]], pa.int32()), texts.combine_chunks()],
                     names=["file", "list", "place", "block", "seq", "part", "text"])
 
-    return chunks.select("file", "block", "seq", "flip", "level", "closed", "open", "text").mapInArrow(run, _ELEMENTS)
+    return chunks.select("file", "block", "seq", "flip", "level", "closed", "open", "piece").mapInArrow(run, _ELEMENTS)
 
 
 def list_elements(spark: SparkSession, paths: str | Sequence[str], lists: Sequence[str]) -> DataFrame:
     """file, list, place (from 0 over the whole file) and text of every object in the named top-level lists."""
     # Staged once: the chunks below must be those that were summed.
-    chunks = stable(_chunks(spark, paths))
+    chunks = stable(_pieces(spark, paths))
     before = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
 
     def zero(column: Column) -> Column:
@@ -180,13 +180,13 @@ def list_elements(spark: SparkSession, paths: str | Sequence[str], lists: Sequen
 
     # The index of what a chunk holds for the way it begins, and the depth from its start at which elements end.
     own, ends_at = F.col("flip"), (2 - F.col("level")).cast("int")
-    entered = chunks.drop("text").withColumn("flip", (zero(F.sum("quotes").over(before)) % 2).cast("int"))
+    entered = chunks.drop("piece").withColumn("flip", (zero(F.sum("quotes").over(before)) % 2).cast("int"))
     entered = entered.withColumn("level", zero(F.sum(F.get("depth", own)).over(before)))
     entered = entered.withColumn("closed", zero(F.sum(F.get("closes", own)[ends_at]).over(before))).withColumn(
         "open", F.last(F.get("opened", own)[ends_at], ignorenulls=True).over(before))
     # One row per chunk, of a few numbers and a name: sent to the chunks, as dealing them would move all text.
     entered = stable(entered.select("file", "block", "seq", "flip", "level", "closed", "open"))
-    found = stable(_elements(chunks.select("file", "block", "seq", "text").join(F.broadcast(entered), ["file", "block", "seq"]), lists))
+    found = stable(_elements(chunks.select("file", "block", "seq", "piece").join(F.broadcast(entered), ["file", "block", "seq"]), lists))
     remove(chunks)
     parts = F.array_sort(F.collect_list(F.struct("block", "seq", "part", "text")))
     spanning = found.where(F.col("part") != WHOLE).groupBy("file", "list", "place").agg(parts.alias("parts"))
