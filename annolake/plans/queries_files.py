@@ -51,14 +51,16 @@ def _text(df, value, *by) -> str:
 def _xml(df, item, key, root="annotations") -> str:
     """Write items as XML documents, each under one root element and those of one ``key`` in the same one.
 
-    There is one document per task, not per key: every file costs an opening, a rename and a listing, whatever it holds.
+    There is one document per task, not per key: every file costs an opening, a rename and a listing, whatever it holds. Rows
+    are dealt before they become text and documents are compressed, as tags take many times the room of what they hold.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "xml")
     parts = max(SPREAD, shuffle_partitions(df))
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("d"), F.lit(1).alias("o"), item.alias("value"))
-    ends = spark.range(parts).select(c("id").cast("int").alias("d"), F.inline(F.array(
-        F.struct(F.lit(0).alias("o"), F.lit(f"<{root}>").alias("value")), F.struct(F.lit(2).alias("o"), F.lit(f"</{root}>").alias("value")))))
-    rows.unionByName(ends).repartitionById(parts, "d").sortWithinPartitions("o").select("value").write.text(path)
+    rows = df.withColumns({"_part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "_order": F.lit(1)})
+    ends = spark.range(parts).select(c("id").cast("int").alias("_part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("_order"))
+    dealt = rows.unionByName(ends, allowMissingColumns=True).repartitionById(parts, "_part").sortWithinPartitions("_order")
+    text = F.when(c("_order") == 0, f"<{root}>").when(c("_order") == 2, f"</{root}>").otherwise(item)
+    dealt.select(text.alias("value")).write.text(path, compression="gzip")
     return path
 
 
